@@ -94,3 +94,12 @@ def top(df: DataFrame, order: Sequence[Column], limit: int | None, offset: int =
     if offset:
         out = out.offset(offset)
     return out if limit is None else out.limit(limit)
+
+
+def beside(df: DataFrame, *rows: DataFrame) -> DataFrame:
+    """Add the columns of one-row DataFrames, as scalar subqueries; nothing is joined."""
+    for i, row in enumerate(rows):
+        name = f"_row{i}"
+        whole = row.select(F.struct(*row.columns).alias(name)).scalar()
+        df = df.withColumn(name, whole).select("*", f"{name}.*").drop(name)
+    return df

@@ -137,6 +137,16 @@ BOT_BLOCK_MINUTES = 30
 TIMEOUT_BACKOFF_MINUTES = 5
 TIMEOUTS_BEFORE_BACKOFF = 3
 
+# --- opening lines; the last one is used when none of the others applies -------------------
+OPENING_PLACE = "I noticed you're helping students in the {city} area"
+OPENING_SPECIALTY = "Your focus on {specialty} tutoring caught my attention"
+OPENING_REVIEWS = "I saw your excellent {rating}-star rating from {reviews} reviews"
+OPENING_STAFF = "I see you have a team of tutors working with students"
+OPENING_OTHER = "I came across {name} while researching tutoring businesses"
+OPENING_MIN_RATING = 4.5
+OPENING_MIN_REVIEWS = 10
+FIRST_NAME_PATTERN = r"^([A-Z][a-z]+)(?:'s|\s)"
+
 # --- status values -----------------------------------------------------------------------
 BUSINESS_TYPES = ["agency", "solo_tutor", "franchise", "online_platform"]
 COUNTRIES = ["US", "CA"]

@@ -175,10 +175,11 @@ def lead_stats(leads: DataFrame, lead_emails: DataFrame) -> DataFrame:
         F.count("*").alias("leads_with_emails"),
         F.coalesce(F.sum("_valid"), F.lit(0)).alias("verified_emails"),
     )
-    return (
-        totals.crossJoin(mails)
-        .crossJoin(as_map(stage_counts(leads), "pipeline_stage", "by_stage"))
-        .crossJoin(as_map(source_counts(leads), "source", "by_source"))
+    return C.beside(
+        totals,
+        mails,
+        as_map(stage_counts(leads), "pipeline_stage", "by_stage"),
+        as_map(source_counts(leads), "source", "by_source"),
     )
 
 
@@ -205,7 +206,7 @@ def extended_stats(
     sends = outreach_stats(send_log, as_of).select(
         F.col("total").alias("outreach_total"), F.col("today").alias("outreach_today")
     )
-    out = base.crossJoin(have).crossJoin(queue).crossJoin(never).crossJoin(checks).crossJoin(sends)
+    out = C.beside(base, have, queue, never, checks, sends)
     rate = C.half_up(F.col("leads_with_emails") * 100 / F.col("total_leads"))
     return out.withColumn(
         "email_success_rate", F.when(F.col("total_leads") > 0, rate).otherwise(F.lit(0)).cast("long")
