@@ -19,8 +19,6 @@ PREFERRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Long pages: keep the Arrow batches handed to the HTML pass small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    # Recording the call site of every Column costs more than building it.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -43,6 +41,8 @@ def local_session(cpus: int = 8, app: str = "contactmill", **extra: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Recording the call site of every Column costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
