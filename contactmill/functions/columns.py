@@ -55,6 +55,12 @@ def first_contained(value: Column, words: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(value.contains(w), F.lit(w)) for w in words])
 
 
+def all_contained(value: Column, words: Sequence[str], limit: int) -> Column:
+    """The words of the list found in the text, in list order, at most ``limit``."""
+    hits = [F.when(value.contains(w), F.lit(w)) for w in words]
+    return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+
+
 def contained_mask(value: Column, words: Sequence[str]) -> Column:
     """Bit ``i`` is set when word ``i`` occurs; at most 63 words."""
     if len(words) > 63:
@@ -64,6 +70,7 @@ def contained_mask(value: Column, words: Sequence[str]) -> Column:
 
 
 def words_of_mask(mask: Column, words: Sequence[str], limit: int) -> Column:
+    """The words of a mask. ``mask`` should be a plain column, as it is read once per word."""
     hits = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)) for i, w in enumerate(words)]
     return F.slice(F.array_compact(F.array(*hits)), 1, limit)
 

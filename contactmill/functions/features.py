@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactmill.functions import fixed_values as fv
-from contactmill.functions.columns import contains_any, contained_mask, first_contained, words_of_mask
+from contactmill.functions.columns import all_contained, contains_any, first_contained
 
 
 def business_type(name: Column, types: Column | None = None) -> Column:
@@ -34,18 +34,20 @@ def is_skipped_lead(name: Column, website: Column) -> Column:
     )
 
 
-def scheduling_tool(text: Column, tools: Sequence[str] = tuple(fv.SCHEDULING_TOOLS)) -> Column:
-    return first_contained(F.lower(text), tools)
+# The three searches below take lower-cased text. Lower-case a text in a projection of its own
+# (``withColumn``): written inside the search it would be computed anew for every word.
+def scheduling_tool(low: Column, tools: Sequence[str] = tuple(fv.SCHEDULING_TOOLS)) -> Column:
+    return first_contained(low, tools)
 
 
-def has_staff(text: Column, phrases: Sequence[str] = tuple(fv.STAFF_PHRASES)) -> Column:
-    return contains_any(F.lower(text), phrases)
+def has_staff(low: Column, phrases: Sequence[str] = tuple(fv.STAFF_PHRASES)) -> Column:
+    return contains_any(low, phrases)
 
 
 def specialties(
-    text: Column, words: Sequence[str] = tuple(fv.SPECIALTIES), limit: int = fv.MAX_SPECIALTIES
+    low: Column, words: Sequence[str] = tuple(fv.SPECIALTIES), limit: int = fv.MAX_SPECIALTIES
 ) -> Column:
-    return words_of_mask(contained_mask(F.lower(text), words), words, limit)
+    return all_contained(low, words, limit)
 
 
 def base_url(website: Column) -> Column:

@@ -72,11 +72,12 @@ RANK_FUNCTIONAL_PREFIXES = [
 
 # --- contact links -------------------------------------------------------------------
 SOCIAL_LINK = "facebook|linkedin|twitter|instagram|youtube|tiktok"
-CONTACT_LINK = (
-    r"\b(contact|about|team|staff|people|connect|reach|get.?in.?touch|inquiry|support|founder"
-    r"|owner|leadership|meet|principal)\b"
+# Whole words of letters, digits and underscores.
+CONTACT_LINK_WORDS = (
+    "contact|about|team|staff|people|connect|reach|get.?in.?touch|inquiry|support|founder"
+    "|owner|leadership|meet|principal"
 )
-NAV_LINK = r"\b(meet|our|story|approach|learn|tutor|work|welcome|hire|bio|profile)\b"
+NAV_LINK_WORDS = "meet|our|story|approach|learn|tutor|work|welcome|hire|bio|profile"
 SITEMAP_LINK = "contact|about|team|staff|people|founder|owner"
 # (pattern, points) on the lower-cased link text and on the link target
 LINK_TEXT_POINTS = [

@@ -308,7 +308,9 @@ def site_features(pages: DataFrame, **options) -> DataFrame:
     return merge_sites(page_features(limited, **options), **merge)
 
 
-def contact_links(pages: DataFrame) -> DataFrame:
+def contact_links(
+    pages: DataFrame, strict: str = fv.CONTACT_LINK_WORDS, broad: str = fv.NAV_LINK_WORDS
+) -> DataFrame:
     """Links that probably lead to contact details, best first inside each page.
 
     Social links and other hosts are dropped; a strict word is needed, or a broad one inside the
@@ -320,8 +322,10 @@ def contact_links(pages: DataFrame) -> DataFrame:
     )
     text, href = C.squeeze_ends(F.lower("a.text")), F.col("a.href")
 
-    def either(pattern: str) -> Column:
-        return text.rlike("(?i)" + pattern) | href.rlike("(?i)" + pattern)
+    def either(words: str) -> Column:
+        # Spelled out, as the meaning of \\b for other letters differs between Java versions.
+        pattern = rf"(?i)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
+        return text.rlike(pattern) | href.rlike(pattern)
 
     def points(flag: Column, value: int) -> Column:
         return F.when(flag, F.lit(value)).otherwise(F.lit(0))
@@ -335,7 +339,7 @@ def contact_links(pages: DataFrame) -> DataFrame:
     target = F.substring_index(F.regexp_replace("a.url", r"/\z", ""), "?", 1)
     return (
         links.filter(~href.rlike("(?i)" + fv.SOCIAL_LINK))
-        .filter(either(fv.CONTACT_LINK) | (F.col("a.in_nav") & either(fv.NAV_LINK)))
+        .filter(either(strict) | (F.col("a.in_nav") & either(broad)))
         .filter(site_of(F.col("a.url")) == F.col("site"))
         .select("page_id", "site", target.alias("link"), score.alias("score"), F.col("a.pos").alias("pos"))
         .groupBy("page_id", "site", "link")

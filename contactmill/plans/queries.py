@@ -41,6 +41,8 @@ BLOCKED = [d for d in fv.BLOCKED_DOMAINS if d != "example.com"]
 TOOL_WORDS = ["qui", "and", "the", "und", "que"]
 STAFF_WORDS = ["that", "mit", "les"]
 TOPIC_WORDS = ["the", "and", "que", "sch", "der", "ion", "est", "par", "ando", "ing", "for", "von"]
+LINK_STRICT = "the|and|que|der"
+LINK_BROAD = "de|les|und|that|con"
 RULES = G.SendingRules(warmup_start="2024-01-10")
 
 _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -246,7 +248,7 @@ def listing_page_details(t):
         "id", "score", "part", "outreach_sent",
         F.size("emails").alias("n_emails"),
         F.array_join(F.transform("emails", lambda e: e["email"]), ",").alias("emails"),
-        F.col("enrichment.enrichment_attempts").alias("attempts"),
+        F.coalesce("enrichment.enrichment_attempts", F.lit(0)).alias("attempts"),
         F.col("enrichment.existing_scheduling_tool").alias("tool"),
     )
 
@@ -441,25 +443,22 @@ def email_role_rank(t):
 
 @query
 def document_features(t):
-    low = t.documents.withColumn("low", F.lower("text"))
-    return low.select(
+    return t.documents.select("doc_id", F.lower("text").alias("low")).select(
         "doc_id",
-        C.first_contained(F.col("low"), TOOL_WORDS).alias("tool"),
-        C.contains_any(F.col("low"), STAFF_WORDS).alias("has_staff"),
-        F.array_join(
-            C.words_of_mask(C.contained_mask(F.col("low"), TOPIC_WORDS), TOPIC_WORDS, 10), ","
-        ).alias("topics"),
+        X.scheduling_tool(F.col("low"), TOOL_WORDS).alias("tool"),
+        X.has_staff(F.col("low"), STAFF_WORDS).alias("has_staff"),
+        F.array_join(X.specialties(F.col("low"), TOPIC_WORDS), ",").alias("topics"),
     )
 
 
 @query
 def default_features(t):
     """The shipped word lists on the documents."""
-    return t.documents.select(
+    return t.documents.select("doc_id", F.lower("text").alias("low")).select(
         "doc_id",
-        X.scheduling_tool(F.col("text")).alias("tool"),
-        X.has_staff(F.col("text")).alias("has_staff"),
-        F.array_join(X.specialties(F.col("text")), ",").alias("topics"),
+        X.scheduling_tool(F.col("low")).alias("tool"),
+        X.has_staff(F.col("low")).alias("has_staff"),
+        F.array_join(X.specialties(F.col("low")), ",").alias("topics"),
     )
 
 
@@ -542,7 +541,8 @@ def site_features(t):
 
 @query
 def contact_links(t):
-    return P.contact_links(t.pages)
+    """The shipped patterns hardly match the synthetic pages, so frequent words stand in."""
+    return P.contact_links(t.pages, strict=LINK_STRICT, broad=LINK_BROAD).drop("first_pos")
 
 
 @query
@@ -758,7 +758,8 @@ def send_plan(t):
         t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
         G.SendingRules(daily_limit=20),
     )
-    return plan.select("id", "lead_id", "rank", "step_number", "outcome", "hold_reason")
+    step = F.coalesce("step_number", F.lit(0)).alias("step_number")
+    return plan.select("id", "lead_id", "rank", step, "outcome", "hold_reason")
 
 
 @query
@@ -888,7 +889,7 @@ def _effects(t: Tables) -> DataFrame:
 
 @query
 def reply_effects(t):
-    return _effects(t)
+    return _effects(t).withColumn("sequence_id", F.coalesce("sequence_id", F.lit(-1)))
 
 
 @query

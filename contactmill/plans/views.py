@@ -97,7 +97,7 @@ FROM {part} WHERE p_size >= 45
 SELECT l_orderkey AS email_id, min(CASE l_returnflag WHEN 'A' THEN 250 WHEN 'R' THEN 550 ELSE 451 END) AS code, bool_or(l_tax > 0.07) AS catch_all_accepted, bool_or(l_quantity < 2) AS timed_out FROM {lineitem} GROUP BY l_orderkey
 """,
     "fetch_log": """
-SELECT event_id AS fetch_id, concat('site', CAST(user_id % 100 AS STRING), '.example.net') AS domain, CAST(ts AS TIMESTAMP) AS at,
+SELECT event_id AS fetch_id, concat('site', CAST(user_id % 100 AS STRING), '.example.net') AS domain, CAST(ts AS TIMESTAMP) AS fetched_at,
   CASE event_type WHEN 'signup' THEN 403 WHEN 'error' THEN NULL ELSE 200 END AS status_code, event_type = 'click' AND value < 5 AS bot_page, event_type = 'error' AS network_error
 FROM {events}
 """,

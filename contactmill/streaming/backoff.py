@@ -35,7 +35,7 @@ def is_refusal() -> Column:
 
 
 def backoff_history(fetches: DataFrame) -> DataFrame:
-    """State of the domain after each fetch of ``(fetch_id, domain, at, status_code, bot_page,
+    """State of the domain after each fetch of ``(fetch_id, domain, fetched_at, status_code, bot_page,
     network_error)``.
 
     Running values per domain. To keep a busy domain from ending up in one task, the log is cut
@@ -43,9 +43,9 @@ def backoff_history(fetches: DataFrame) -> DataFrame:
     hours before, which are one row per domain and hour.
     """
     marked = (
-        fetches.withColumn("_hour", F.date_trunc("hour", "at"))
-        .withColumn("_blocked_at", F.when(is_refusal(), F.col("at")))
-        .withColumn("_failed_at", F.when(F.col("network_error"), F.col("at")))
+        fetches.withColumn("_hour", F.date_trunc("hour", "fetched_at"))
+        .withColumn("_blocked_at", F.when(is_refusal(), F.col("fetched_at")))
+        .withColumn("_failed_at", F.when(F.col("network_error"), F.col("fetched_at")))
         .withColumn("_failed", F.when(F.col("network_error"), 1).otherwise(0))
     )
     before = W.partitionBy("domain").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
@@ -63,7 +63,7 @@ def backoff_history(fetches: DataFrame) -> DataFrame:
         )
     )
     so_far = (
-        W.partitionBy("domain", "_hour").orderBy("at", "fetch_id").rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy("domain", "_hour").orderBy("fetched_at", "fetch_id").rowsBetween(W.unboundedPreceding, 0)
     )
     rows = (
         marked.withColumn("_b1", F.max("_blocked_at").over(so_far))
@@ -74,7 +74,7 @@ def backoff_history(fetches: DataFrame) -> DataFrame:
     blocked_at = F.greatest("_b0", "_b1")
     failed_at = F.greatest("_f0", "_f1")
     failures = F.col("_n0") + F.col("_n1")
-    return rows.select("domain", "at", "fetch_id", *_verdict(F.col("at"), blocked_at, failures, failed_at))
+    return rows.select("domain", "fetched_at", "fetch_id", *_verdict(F.col("fetched_at"), blocked_at, failures, failed_at))
 
 
 def _verdict(at: Column, blocked_at: Column, failures: Column, failed_at: Column) -> list[Column]:
@@ -91,12 +91,12 @@ def _verdict(at: Column, blocked_at: Column, failures: Column, failed_at: Column
 
 def domain_state(fetches: DataFrame) -> DataFrame:
     """Where each domain stands after its whole log. One aggregation, combined before the shuffle."""
-    rests_from = F.max(F.when(F.col("network_error"), F.col("at")))
+    rests_from = F.max(F.when(F.col("network_error"), F.col("fetched_at")))
     failures = F.count_if("network_error")
     return fetches.groupBy("domain").agg(
-        F.max("at").alias("seen_at"),
+        F.max("fetched_at").alias("seen_at"),
         failures.alias("failures"),
-        (F.max(F.when(is_refusal(), F.col("at"))) + F.expr(f"INTERVAL {fv.BOT_BLOCK_MINUTES} MINUTES")).alias(
+        (F.max(F.when(is_refusal(), F.col("fetched_at"))) + F.expr(f"INTERVAL {fv.BOT_BLOCK_MINUTES} MINUTES")).alias(
             "blocked_until"
         ),
         F.when(
@@ -135,9 +135,9 @@ class DomainBackoff(StatefulProcessor):
         for batch in rows:
             refused = batch["status_code"].isin([403, 429]) | batch["bot_page"].eq(True)
             failed = batch["network_error"].eq(True)
-            blocked_at = _later(blocked_at, latest(batch.loc[refused, "at"]))
-            failed_at = _later(failed_at, latest(batch.loc[failed, "at"]))
-            seen_at = _later(seen_at, latest(batch["at"]))
+            blocked_at = _later(blocked_at, latest(batch.loc[refused, "fetched_at"]))
+            failed_at = _later(failed_at, latest(batch.loc[failed, "fetched_at"]))
+            seen_at = _later(seen_at, latest(batch["fetched_at"]))
             failures += int(failed.sum())
         self._state.update((blocked_at, failures, failed_at, seen_at))
         tired = failures >= fv.TIMEOUTS_BEFORE_BACKOFF

@@ -71,10 +71,10 @@ def rolling_breaker(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
     rated = with_rates(
         counted.groupBy(F.window("sent_at", "24 hours", "1 hour").alias("w"))
         .agg(*status_counts())
-        .withColumn("at", F.col("w.end"))
+        .withColumn("judged_at", F.col("w.end"))
         .drop("w")
     )
-    return with_breaker(rated).select("at", "total", "bounce_rate", "complaint_rate", "pause", "reason")
+    return with_breaker(rated).select("judged_at", "total", "bounce_rate", "complaint_rate", "pause", "reason")
 
 
 def new_records(records: DataFrame, at: str = "seen_at", lateness: str = "1 hour") -> DataFrame:

@@ -91,7 +91,7 @@ def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
     fetches = _events(spark, folder).select(
         F.col("event_id").alias("fetch_id"),
         F.concat(F.lit("site"), (F.col("user_id") % 100).cast("string"), F.lit(".example.net")).alias("domain"),
-        F.col("ts").cast("timestamp").alias("at"),
+        F.col("ts").cast("timestamp").alias("fetched_at"),
         F.when(kind == "signup", 403).when(kind == "error", F.lit(None)).otherwise(200).alias("status_code"),
         ((kind == "click") & (F.col("value") < 5)).alias("bot_page"),
         (kind == "error").alias("network_error"),
