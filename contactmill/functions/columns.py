@@ -46,6 +46,11 @@ def squeeze_ends(value: Column) -> Column:
     return F.regexp_replace(value, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(value: Column, words: Sequence[str]) -> Column:
     return reduce(or_, [value.contains(w) for w in words], F.lit(False))
 

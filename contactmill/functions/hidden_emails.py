@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactmill.functions.columns import SPACE
+from contactmill.functions.columns import SPACE, contains_any, let
 from contactmill.functions.emails import find_emails
 
 # Full-width forms U+FF01..U+FF5E stand for ASCII 0x21..0x7E; U+3002 is the ideographic stop.
@@ -70,25 +70,38 @@ def hidden_emails(text: Column) -> Column:
     Nearly all texts hold none of the words and signs; one search tells so.
     """
     nothing = F.array().cast("array<string>")
-    plain = to_ascii_forms(text)
-
-    def spelled(pattern: str) -> Column:
-        return F.transform(
-            F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)),
-            lambda m: F.lower(F.regexp_replace(m, pattern, "$1@$2.$3")),
-        )
-
-    decoded = plain
-    for pattern, sign in _SIGNS:
-        decoded = F.regexp_replace(decoded, pattern, sign)
-    by_words = F.when(
-        plain.rlike("(?i)dot"), F.concat(*[spelled(p) for p in SPELLED_FORMS])
-    ).otherwise(nothing)
-    by_signs = F.when(
-        decoded != plain, F.transform(find_emails(decoded), lambda e: F.lower(e))
-    ).otherwise(nothing)
-    return F.when(text.rlike(_ANY_TRACE), F.concat(by_words, by_signs)).otherwise(nothing)
-
-
-# Full-width letters may spell any of the words, so they count as a trace.
-_ANY_TRACE = r"(?i)dot|[(\[{]at[)\]}]|&#64;|&#x40;|&commat;|[\uff01-\uff5e\u3002]"
+
+    def in_words(plain: Column) -> Column:
+        def spelled(pattern: str) -> Column:
+            return F.transform(
+                F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)),
+                lambda m: F.lower(F.regexp_replace(m, pattern, "$1@$2.$3")),
+            )
+
+        found = F.concat(*[spelled(p) for p in SPELLED_FORMS])
+        return F.when(plain.rlike("(?i)dot"), found).otherwise(nothing)
+
+    def in_signs(plain: Column) -> Column:
+        decoded = plain
+        for pattern, sign in _SIGNS:
+            decoded = F.regexp_replace(decoded, pattern, sign)
+
+        def found(d: Column) -> Column:
+            return F.when(d != plain, F.transform(find_emails(d), F.lower)).otherwise(nothing)
+
+        return let(decoded, found)
+
+    def traced(t: Column) -> Column:
+        searched = let(to_ascii_forms(t), lambda p: F.concat(in_words(p), in_signs(p)))
+        return F.when(_any_trace(t), searched).otherwise(nothing)
+
+    return let(text, traced)
+
+
+_TRACES = ["dot", "(at", "[at", "{at", "&#64;", "&#x40;", "&commat;"]
+
+
+def _any_trace(text: Column) -> Column:
+    """Whether a text may hold a hidden address. Full-width letters may spell any of the words."""
+    wide = (F.octet_length(text) != F.length(text)) & text.rlike(r"[\uff01-\uff5e\u3002]")
+    return let(F.lower(text), lambda low: contains_any(low, _TRACES)) | wide

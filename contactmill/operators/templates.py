@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactmill.functions import fixed_values as fv
-from contactmill.functions.columns import squeeze_ends
+from contactmill.functions.columns import let, squeeze_ends
 from contactmill.operators.sendlog import plain_number
 
 _VARIABLE = r"\{\{(\w+)\}\}"
@@ -23,16 +23,18 @@ def _block(word: str) -> str:
 
 def _rewrite(text: Column, pattern: str, replacement) -> Column:
     """Replace every match by ``replacement(match)`` in a single pass over the text."""
-    between = F.split(text, pattern)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(
-        between,
-        matches,
-        lambda plain, match: F.concat(
-            plain, F.when(match.isNull(), F.lit("")).otherwise(replacement(match))
-        ),
-    )
-    return F.array_join(pieces, "")
+
+    def rewritten(t: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(t, pattern),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            lambda plain, match: F.concat(
+                plain, F.when(match.isNull(), F.lit("")).otherwise(replacement(match))
+            ),
+        )
+        return F.when(t.contains("{{"), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, rewritten)
 
 
 def render(template: Column, variables: Column) -> Column:
@@ -53,7 +55,7 @@ def render(template: Column, variables: Column) -> Column:
             keep = is_set if keep_if_set else ~is_set
             return F.when(keep, F.regexp_extract(match, pattern, 2)).otherwise("")
 
-        return F.when(text.contains("{{#" + word), _rewrite(text, pattern, kept)).otherwise(text)
+        return _rewrite(text, pattern, kept)
 
     filled = _rewrite(template, _VARIABLE, lambda m: F.coalesce(value(m, _VARIABLE), m))
     return squeeze_ends(conditional(conditional(filled, "if", True), "unless", False))
