@@ -346,14 +346,15 @@ def with_details(
     fields: tuple[str, ...] = ("has_multiple_tutors", "existing_scheduling_tool", "enrichment_attempts"),
     send_log: DataFrame | None = None,
     per_row: int = EMAILS_PER_ROW,
+    few: bool = True,
 ) -> DataFrame:
     """Attach the e-mail array and an enrichment struct to leads.
 
-    E-mails are first cut down to the leads at hand, then gathered. ``send_log`` adds
-    ``outreach_sent``, as the view of a single lead has it.
+    ``few`` says that the leads are a small part of all: e-mails are then cut down to them before
+    they are gathered. ``send_log`` adds ``outreach_sent``, as the view of a single lead has it.
     """
     keys = leads_page.select(F.col("id").alias("lead_id"))
-    own = lead_emails.join(keys, "lead_id", "left_semi")
+    own = lead_emails.join(keys, "lead_id", "left_semi") if few else lead_emails
     lists = email_lists(own, per_row).withColumnRenamed("lead_id", "id")
     features = enrichment.select(
         F.col("lead_id").alias("id"),

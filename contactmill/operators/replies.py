@@ -22,10 +22,12 @@ REPLY_EFFECTS = {
 def reply_effects(replies: DataFrame, send_log: DataFrame) -> DataFrame:
     """Match ``(reply_id, ses_message_id, reply_class, received_at)`` to sends and look up effects.
 
-    The latest send of a message id counts. Replies to unknown messages are left out.
+    The latest send of a message id counts. Replies to unknown messages are left out. The log is
+    cut down to the messages replied to before anything of it is grouped.
     """
+    asked = replies.select("ses_message_id").filter("ses_message_id IS NOT NULL").distinct()
     sends = (
-        send_log.filter("ses_message_id IS NOT NULL")
+        send_log.join(asked, "ses_message_id", "left_semi")
         .groupBy("ses_message_id")
         .agg(
             F.max_by(F.struct("lead_id", "sequence_id"), F.struct("sent_at", "id")).alias("_send")

@@ -183,11 +183,30 @@ def score_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def rescored_leads(
+    leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame, config: Mapping
+) -> DataFrame:
+    """Score and save in one go: the next lead snapshot, without joining the scores back."""
+    scored = with_scores(score_context(leads, lead_emails, enrichment), config)
+    kind = leads.schema["score"].dataType
+    return (
+        scored.withColumn("score", F.col("total_score").cast(kind))
+        .withColumn("pipeline_stage", _stage_after_scoring())
+        .select(*leads.columns)
+    )
+
+
+def _stage_after_scoring() -> Column:
+    return F.when(F.col("pipeline_stage") == "new", "scored").otherwise(F.col("pipeline_stage"))
+
+
 def save_scores(leads: DataFrame, scored: DataFrame) -> DataFrame:
-    """The next lead snapshot: scores written, and the stage moved on from ``new`` only."""
+    """The next lead snapshot: scores written, and the stage moved on from ``new`` only.
+
+    For scores of some of the leads; :func:`rescored_leads` does all of them with less work.
+    """
     new = scored.select("id", F.col("total_score").alias("_total"))
-    was_scored = F.col("_total").isNotNull()
-    stage = F.when(was_scored & (F.col("pipeline_stage") == "new"), "scored").otherwise(
+    stage = F.when(F.col("_total").isNotNull(), _stage_after_scoring()).otherwise(
         F.col("pipeline_stage")
     )
     return (

@@ -126,27 +126,36 @@ def stage_changes(enrolled: DataFrame) -> DataFrame:
 
 def due_enrollments(
     enrollments: DataFrame, leads: DataFrame, lead_emails: DataFrame, sequences: DataFrame,
-    as_of: datetime | str, limit: int | None = 50,
+    as_of: datetime | str, limit: int | None = 50, keys_hold: bool = True,
 ) -> DataFrame:
-    """Active enrolments of active sequences whose next send is due, oldest first."""
+    """Active enrolments of active sequences whose next send is due, oldest first.
+
+    ``keys_hold`` says that every enrolment has its lead and e-mail, as the keys of the tables
+    demand. The list is then cut to ``limit`` before the joins with those large tables, which are
+    left with a handful of rows. Without it the joins come first, so that an enrolment whose lead
+    or e-mail is missing takes nobody's place.
+    """
+    order = [F.asc("next_send_at"), F.col("id")]
     due = enrollments.filter(
         (F.col("status") == "active") & (F.col("next_send_at") <= C.moment(as_of))
     )
     lead_parts = ["business_name", "website", "city", "state_province"]
+    due = due.join(
+        active_sequences(sequences).select(
+            F.col("id").alias("sequence_id"), F.col("name").alias("sequence_name"), "total_steps"
+        ),
+        "sequence_id",
+    )
+    if keys_hold and limit is not None:
+        due = C.top(due, order, limit)
     rows = (
-        due.join(
-            active_sequences(sequences).select(
-                F.col("id").alias("sequence_id"), F.col("name").alias("sequence_name"), "total_steps"
-            ),
-            "sequence_id",
-        )
-        .join(leads.select(F.col("id").alias("lead_id"), *lead_parts), "lead_id")
+        due.join(leads.select(F.col("id").alias("lead_id"), *lead_parts), "lead_id")
         .join(
             lead_emails.select(F.col("id").alias("email_id"), F.col("email").alias("email_address")),
             "email_id",
         )
     )
-    return C.top(rows, [F.asc("next_send_at"), F.col("id")], limit)
+    return C.top(rows, order, limit)
 
 
 def nest_due(due: DataFrame) -> DataFrame:
@@ -350,7 +359,8 @@ def book_results(
 
     ``outcomes`` has ``(id, success, message_id, error)`` per planned send. A success is logged as
     sent and advances the enrolment; a failure is logged as bounced, and ends the enrolment when
-    its text speaks of a bounce or an invalid address. Planned completions are carried out.
+    its text speaks of a bounce or an invalid address. Planned completions are carried out. The
+    plan is used several times: pass the stored one that was sent, see ``session.stored``.
     """
     now = C.moment(as_of)
     done = plan.filter(F.col("outcome") == "send").join(outcomes, "id")

@@ -26,6 +26,7 @@ from contactmill.operators import snapshots as U
 from contactmill.operators import templates as M
 from contactmill.operators import verify as D
 from contactmill.plans.views import Tables
+from contactmill.session import stored
 from contactmill.sources import exports, tables
 from contactmill.sources.files import load_rules
 from contactmill.streaming import backoff, delivery, runs
@@ -92,7 +93,8 @@ def score_explanations(t):
 
 @query
 def save_scores(t):
-    return K.save_scores(t.leads, _scored(t)).select("id", "score", "pipeline_stage")
+    rows = K.rescored_leads(t.leads, t.lead_emails, t.lead_enrichment, load_rules())
+    return rows.select("id", "score", "pipeline_stage")
 
 
 # -- lead queries ---------------------------------------------------------------------------------
@@ -186,10 +188,11 @@ def lead_stats(t):
 @query
 def lead_stats_maps(t):
     row = L.lead_stats(t.leads, t.lead_emails)
-    stages = row.select(F.lit("stage").alias("kind"), F.explode("by_stage").alias("value", "n"))
-    return stages.unionByName(
-        row.select(F.lit("source").alias("kind"), F.explode("by_source").alias("value", "n"))
+    both = F.array(
+        F.struct(F.lit("stage").alias("kind"), F.col("by_stage").alias("counts")),
+        F.struct(F.lit("source").alias("kind"), F.col("by_source").alias("counts")),
     )
+    return row.select(F.inline(both)).select("kind", F.explode("counts").alias("value", "n"))
 
 
 @query
@@ -782,9 +785,11 @@ def planned_times(t):
 
 @query
 def booked_results(t):
-    plan = G.send_plan(
-        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
-        G.SendingRules(daily_limit=20),
+    plan = stored(
+        G.send_plan(
+            t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
+            G.SendingRules(daily_limit=20),
+        )
     )
     outcomes = t.sequence_enrollments.select(
         "id", (F.col("id") % 3 != 0).alias("success"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("message_id"),

@@ -7,8 +7,9 @@ value of its own, so a cluster's tuning always wins.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results: every "day" and "hour" in the package is a UTC one.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
@@ -51,6 +52,17 @@ def local_session(cpus: int = 8, app: str = "contactmill", **extra: str) -> Spar
     return spark
 
 
+def stored(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint: several uses cost one computation, and lost executors cost
+    a re-read. For results that must stay the same once fixed, such as a send plan.
+    """
+    path = f"{root or checkpoint_root(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and streaming state.
 

@@ -77,7 +77,7 @@ def nested_leads(
     A lead with more than ``per_row`` e-mails is written as several records, told apart by
     ``part``; together they hold all of its e-mails.
     """
-    rows = L.with_details(leads, lead_emails, enrichment, JSON_ENRICHMENT, per_row=per_row)
+    rows = L.with_details(leads, lead_emails, enrichment, JSON_ENRICHMENT, per_row=per_row, few=False)
     fields = ("email", "role", "verification_status", "is_primary")
     return rows.withColumn(
         "emails",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -19,34 +19,47 @@ def file_stream(spark, schema, path: str, files_per_trigger: int | None = None)
     return reader.parquet(path)
 
 
-def latest_status_stream(events: DataFrame, snapshot_root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the last status per message in versioned snapshots under ``snapshot_root``.
+def latest_status_stream(events: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Collect the last status per message below ``root``, to be read by :func:`read_latest_status`.
 
-    Each micro-batch is reduced to one row per message and merged with the snapshot of the batch
-    before. The merge goes by key and event time, so it takes events of any lateness; and as batch
-    ``n`` always reads snapshot ``n - 1`` and overwrites snapshot ``n``, a repeated batch gives the
-    same result. Old snapshots may be dropped once newer ones exist.
+    Each micro-batch is reduced to one row per message and written to a folder of its own, so the
+    work of a batch grows with the batch and not with all messages known. A repeated batch
+    overwrites its folder. Statuses are merged by key and event time, so events of any lateness
+    are taken.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.filter("ses_message_id IS NOT NULL").select("ses_message_id", "status", "at")
-        if batch_id > 0:
-            kept = spark.read.schema(fresh.schema).parquet(f"{snapshot_root}/version={batch_id - 1}")
-            fresh = fresh.unionByName(kept)
-        merged = fresh.groupBy("ses_message_id").agg(
-            F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at")
-        )
-        merged.write.mode("overwrite").parquet(f"{snapshot_root}/version={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _last_of_each(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return (
-        events.writeStream.foreachBatch(merge)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+STATUS = "ses_message_id string, status string, at timestamp"
+
+
+def _last_of_each(events: DataFrame) -> DataFrame:
+    return (
+        events.filter("ses_message_id IS NOT NULL")
+        .groupBy("ses_message_id")
+        .agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
+    )
+
+
+def read_latest_status(spark: SparkSession, *roots: str) -> DataFrame:
+    """The last status per message over the batches of one or more roots.
+
+    Writing the result to a new folder compacts them: read that folder, as ``<folder>/batch=0``,
+    along with the root of later batches.
+    """
+    parts = spark.read.schema(STATUS).option("recursiveFileLookup", True).parquet(*roots)
+    return _last_of_each(parts)
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Batch form of the above."""
     return latest(events.filter("ses_message_id IS NOT NULL"), "ses_message_id", "status", "at")
@@ -66,15 +79,23 @@ def daily_sent(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def rolling_breaker(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Circuit breaker over the trailing 24 hours, judged at every full hour."""
+    """Circuit breaker over the trailing 24 hours, judged at every full hour.
+
+    Rows are counted per hour first; only the hourly counts are then put into the 24 windows each
+    of them belongs to.
+    """
     counted = sends.withWatermark("sent_at", lateness) if sends.isStreaming else sends
+    hourly = counted.groupBy(F.window("sent_at", "1 hour").alias("h")).agg(*status_counts())
+    names = [c for c in hourly.columns if c != "h"]
     rated = with_rates(
-        counted.groupBy(F.window("sent_at", "24 hours", "1 hour").alias("w"))
-        .agg(*status_counts())
+        hourly.groupBy(F.window(F.window_time("h"), "24 hours", "1 hour").alias("w"))
+        .agg(*[F.sum(c).alias(c) for c in names])
         .withColumn("judged_at", F.col("w.end"))
         .drop("w")
     )
-    return with_breaker(rated).select("judged_at", "total", "bounce_rate", "complaint_rate", "pause", "reason")
+    return with_breaker(rated).select(
+        "judged_at", "total", "bounce_rate", "complaint_rate", "pause", "reason"
+    )
 
 
 def new_records(records: DataFrame, at: str = "seen_at", lateness: str = "1 hour") -> DataFrame:

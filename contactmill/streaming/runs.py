@@ -59,10 +59,8 @@ def to_files(stream: DataFrame, where: str) -> DataFrame:
 def latest_status(spark: SparkSession, folder: str) -> DataFrame:
     where = _folder(spark)
     events = _sends(spark, folder).withColumnRenamed("sent_at", "at")
-    done = delivery.latest_status_stream(events, f"{where}/snapshots", f"{where}/checkpoint")
-    done.awaitTermination()
-    last = max((p["batchId"] for p in done.recentProgress), default=0)
-    return spark.read.parquet(f"{where}/snapshots/version={last}").select("ses_message_id", "status")
+    delivery.latest_status_stream(events, f"{where}/status", f"{where}/checkpoint").awaitTermination()
+    return delivery.read_latest_status(spark, f"{where}/status").select("ses_message_id", "status")
 
 
 def daily_sent(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,15 +72,17 @@ def test_latest_status_takes_late_events_and_repeats(spark, tmp_path):
         [("a", "delivered", minutes(9)), ("b", "delivered", minutes(1)), (None, "sent", minutes(3))],
         [("a", "opened", minutes(5)), ("c", "bounced", minutes(-9999))],
     ]
-    last = None
     for n, rows in enumerate(batches):
         write(spark.createDataFrame(rows, schema), tmp_path / "in", n)
         query = delivery.latest_status_stream(
-            delivery.file_stream(spark, schema, f"{tmp_path}/in/*"), f"{tmp_path}/snap", f"{tmp_path}/cp"
+            delivery.file_stream(spark, schema, f"{tmp_path}/in/*"), f"{tmp_path}/status", f"{tmp_path}/cp"
         )
         query.awaitTermination()
-        last = spark.read.parquet(f"{tmp_path}/snap/version={n}")
+    last = delivery.read_latest_status(spark, f"{tmp_path}/status")
     assert {r.ses_message_id: r.status for r in last.collect()} == {"a": "delivered", "b": "opened", "c": "bounced"}
+    last.write.parquet(f"{tmp_path}/compacted/batch=0")
+    again = delivery.read_latest_status(spark, f"{tmp_path}/compacted", f"{tmp_path}/status")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, last.collect()))
     everything = spark.createDataFrame([r for b in batches for r in b], schema)
     assert sorted(map(tuple, delivery.latest_status(everything).collect())) == sorted((r.ses_message_id, r.status) for r in last.collect())
 
