@@ -309,26 +309,33 @@ EMAILS_PER_ROW = 1000
 _EMAIL_FIELDS = ["id", "email", "role", "verification_status", "is_primary"]
 
 
+def _large_leads(lead_emails: DataFrame, per_row: int) -> DataFrame:
+    """Leads with more e-mails than one row should hold, and the rows they are spread over."""
+    return (
+        lead_emails.groupBy("lead_id")
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > per_row)
+        .select("lead_id", F.ceil(F.col("_n") * 2 / per_row).cast("int").alias("_parts"))
+    )
+
+
 def email_lists(lead_emails: DataFrame, per_row: int = EMAILS_PER_ROW) -> DataFrame:
     """E-mails as arrays, primary first: ``(lead_id, part, emails)``.
 
     A lead with up to ``per_row`` e-mails has the one row ``part = 0``. The e-mails of a larger
     lead are spread over as many rows as needed, so no group grows without bound and none is cut.
+    The rows are partitioned by lead and part: by lead alone, all parts would meet in one task.
     """
     fields = [c for c in _EMAIL_FIELDS if c in lead_emails.columns]
-    large = (
-        lead_emails.groupBy("lead_id")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > per_row)
-        .select("lead_id", F.ceil(F.col("_n") * 2 / per_row).alias("_parts"))
-    )
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
     entry = F.struct((~F.col("is_primary")).alias("_later"), *fields)
     return (
-        lead_emails.join(large, "lead_id", "left")
+        lead_emails.join(_large_leads(lead_emails, per_row), "lead_id", "left")
         .withColumn("part", part)
+        .select("lead_id", "part", entry.alias("_entry"))
+        .repartition("lead_id", "part")
         .groupBy("lead_id", "part")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_emails"))
+        .agg(F.sort_array(F.collect_list("_entry")).alias("_emails"))
         .select(
             "lead_id",
             "part",
@@ -348,23 +355,29 @@ def with_details(
     per_row: int = EMAILS_PER_ROW,
     few: bool = True,
 ) -> DataFrame:
-    """Attach the e-mail array and an enrichment struct to leads.
+    """Attach the e-mail array and an enrichment struct to leads, one row per lead and part.
 
     ``few`` says that the leads are a small part of all: e-mails are then cut down to them before
     they are gathered. ``send_log`` adds ``outreach_sent``, as the view of a single lead has it.
+    Leads meet their e-mails by lead and part, so a large lead is joined in several tasks too.
     """
     keys = leads_page.select(F.col("id").alias("lead_id"))
     own = lead_emails.join(keys, "lead_id", "left_semi") if few else lead_emails
     lists = email_lists(own, per_row).withColumnRenamed("lead_id", "id")
+    large = _large_leads(own, per_row).withColumnRenamed("lead_id", "id")
     features = enrichment.select(
         F.col("lead_id").alias("id"),
         F.struct(*[f for f in fields if f in enrichment.columns]).alias("enrichment"),
     )
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     out = (
-        leads_page.join(lists, "id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
+        leads_page.join(features, "id", "left")
+        .join(large, "id", "left")
+        .withColumn("part", F.explode(parts))
+        .join(lists, ["id", "part"], "left")
+        .filter(F.col("_parts").isNull() | F.col("emails").isNotNull())
         .withColumn("emails", F.coalesce("emails", F.array().cast(lists.schema["emails"].dataType)))
-        .join(features, "id", "left")
+        .drop("_parts")
     )
     if send_log is None:
         return out

@@ -103,10 +103,13 @@ def append_sends(send_log: DataFrame, sends: DataFrame) -> DataFrame:
 def apply_delivery_events(send_log: DataFrame, events: DataFrame) -> DataFrame:
     """Set the status from ``(ses_message_id, status, at)`` events, the last one per message.
 
-    A message id that several log rows carry updates all of them.
+    A message id that several log rows carry updates all of them. Rows that never got an id, which
+    may be many, stay out of the join.
     """
     last = latest(events.filter("ses_message_id IS NOT NULL"), "ses_message_id", "status", "at")
-    return patch(send_log, last, "ses_message_id", ["status"])
+    known = F.col("ses_message_id").isNotNull()
+    updated = patch(send_log.filter(known), last, "ses_message_id", ["status"])
+    return updated.unionByName(send_log.filter(~known))
 
 
 def set_send_status(send_log: DataFrame, changes: DataFrame) -> DataFrame:

@@ -667,6 +667,12 @@ add(
     FROM leads l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY is_primary DESC, id) AS rn FROM lead_emails) m ON m.lead_id = l.id AND m.rn = 1
     LEFT JOIN lead_enrichment e ON e.lead_id = l.id""",
 )
+add(
+    "export_hot", _LE,
+    """SELECT CAST(l.id AS VARCHAR) AS id, coalesce(m.email, '') AS email, CAST(score AS VARCHAR) AS score, 'hot' AS tier
+    FROM (SELECT * FROM leads WHERE score >= 70 ORDER BY score DESC NULLS LAST, id LIMIT 200) l
+    LEFT JOIN (SELECT lead_id, min(id) AS id, min_by(email, id) AS email FROM lead_emails WHERE is_primary GROUP BY 1) m ON m.lead_id = l.id""",
+)
 add(
     "export_nested", _E3,
     """SELECT l.id, 0 AS part, CAST(coalesce(n, 0) AS INT) AS n_emails, coalesce(mails, '') AS emails, existing_scheduling_tool AS tool, linkedin_url

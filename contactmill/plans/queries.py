@@ -913,6 +913,15 @@ def export_flat(t):
     return exports.flat_leads(t.leads, t.lead_emails, t.lead_enrichment)
 
 
+@query
+def export_hot(t):
+    """A limited export of one filter: the best hot leads with their e-mail."""
+    chosen = exports.selected_leads(
+        "hot", t.leads, t.lead_emails, t.lead_enrichment, t.send_log, SEND_AT, limit=200
+    )
+    return exports.flat_leads(chosen, t.lead_emails, t.lead_enrichment).select("id", "email", "score", "tier")
+
+
 @query
 def export_nested(t):
     rows = exports.nested_leads(t.leads, t.lead_emails, t.lead_enrichment)

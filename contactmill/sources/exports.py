@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,20 @@ JSON_ENRICHMENT = (
 )
 
 
+def selected_leads(
+    name: str, leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame, send_log: DataFrame,
+    as_of: datetime | str, limit: int | None = None,
+) -> DataFrame:
+    """The leads of a named filter for an export: newest first for ``all``, else best score first.
+
+    Without a limit nothing is sorted, as the files of a parallel export have no order.
+    """
+    rows = L.filtered(name, leads, lead_emails, enrichment, send_log, as_of)
+    if limit is None:
+        return rows
+    return L.newest(rows, limit) if name == "all" else L.page(rows, 1, limit)
+
+
 def flat_leads(leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame) -> DataFrame:
     """One text row per lead with its primary (or any) e-mail and its enrichment."""
     mail = L.first_email(lead_emails).select(

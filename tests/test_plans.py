@@ -59,6 +59,14 @@ def test_filters_reach_the_scan(t):
     assert "GreaterThanOrEqual(o_totalprice,430000.0)" in plan
 
 
+def test_parts_of_a_large_lead_are_spread(t, no_broadcast):
+    plan = plan_of(Q.export_nested(t))
+    assert "REPARTITION_BY_COL" in plan
+    # The gathered arrays and the leads meet by lead and part, without another shuffle of arrays.
+    after = plan[: plan.index("REPARTITION_BY_COL")]
+    assert "hashpartitioning(id" in after and "part" in after
+
+
 def test_joins_by_lead_share_one_partitioning(t, no_broadcast):
     plan = plan_of(Q.score_leads(t))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
