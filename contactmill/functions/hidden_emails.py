@@ -21,16 +21,19 @@ def to_ascii_forms(text: Column) -> Column:
 def decode_cf(encoded: Column) -> Column:
     """Undo the XOR coding of ``data-cfemail``: the first byte is the key. Null without an @."""
 
-    def byte(start: Column) -> Column:
-        return F.conv(F.substring(encoded, start, F.lit(2)), 16, 10).cast("int")
+    def byte(code: Column, start: Column) -> Column:
+        return F.conv(F.substring(code, start, F.lit(2)), 16, 10).cast("int")
 
-    key = byte(F.lit(1))
-    letters = F.transform(
-        F.sequence(F.lit(3), F.length(encoded), F.lit(2)),
-        lambda i: F.char(byte(i).bitwiseXOR(key)),
-    )
-    plain = F.when(F.length(encoded) >= 3, F.concat_ws("", letters))
-    return F.when(plain.contains("@"), plain)
+    def decoded(code: Column) -> Column:
+        starts = F.sequence(F.lit(3), F.length(code), F.lit(2))
+
+        def letters(key: Column) -> Column:
+            return F.transform(starts, lambda i: F.char(byte(code, i).bitwiseXOR(key)))
+
+        plain = F.array_join(let(byte(code, F.lit(1)), letters), "")
+        return F.when(F.length(code) >= 3, plain)
+
+    return let(let(encoded, decoded), lambda plain: F.when(plain.contains("@"), plain))
 
 
 def _spelled(user: str, at: str, dot: str, ignore_case: bool = True) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -36,7 +37,11 @@ def _row(**fields: T.DataType) -> T.StructType:
 
 LINK = _row(pos=_I, href=_S, url=_S, text=_S, in_nav=_B, in_footer=_B)
 HINT = _row(kind=_S, value=_S, context=_S)
-SECTION = _row(kind=_S, rank=_I, pos=_I, text=_S, html=_S)
+# A section is given by its place in the text and markup of the page. Sections may lie inside each
+# other, so copies could add up to many times the page.
+SECTION = _row(
+    kind=_S, rank=_I, pos=_I, text_from=_I, text_length=_I, markup_from=_I, markup_length=_I
+)
 
 # Kinds of address hints in the order they are searched.
 HINT_ORDER = {
@@ -65,7 +70,8 @@ ENDED_BY = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
-# A section whose text cannot hold an address is not worth shipping back.
+# A section whose text cannot hold an address is not worth a search.
+_COMMENT_END = re.compile(r"--!?\s*>")
 _MAYBE_ADDRESS = re.compile(r"[@＠]|dot|&#|&commat|[(\[{]at[)\]}]", re.I)
 
 
@@ -80,11 +86,11 @@ def _matches(tag: str, attrs: dict, selector: tuple[str, str]) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "pos", "text_from", "html_from", "in_nav", "in_footer", "uses")
+    __slots__ = ("tag", "attrs", "pos", "piece", "text_from", "markup_from", "in_nav", "in_footer", "uses")
 
-    def __init__(self, tag, attrs, pos, text_from, html_from, in_nav, in_footer, uses):
-        self.tag, self.attrs, self.pos = tag, attrs, pos
-        self.text_from, self.html_from = text_from, html_from
+    def __init__(self, tag, attrs, pos, piece, text_from, markup_from, in_nav, in_footer, uses):
+        self.tag, self.attrs, self.pos, self.piece = tag, attrs, pos, piece
+        self.text_from, self.markup_from = text_from, markup_from
         self.in_nav, self.in_footer, self.uses = in_nav, in_footer, uses
 
 
@@ -94,12 +100,15 @@ class PageReader(HTMLParser):
     def __init__(self, base: str = "") -> None:
         super().__init__(convert_charrefs=True)
         self._base = base
-        self.text: list[str] = []
-        self.markup: list[str] = []
+        self.text = self.markup = ""
+        self._pieces: list[str] = []
+        self._markup: list[str] = []
+        self._text_length = self._markup_length = 0
         self.links: list[dict] = []
         self.hints: list[dict] = []
         self.sections: list[dict] = []
         self._open: list[_Element] = []
+        self._open_tags: Counter[str] = Counter()
         self._dropped: str | None = None
         self._depth = 0
         self._json_ld: list[str] | None = None
@@ -107,6 +116,16 @@ class PageReader(HTMLParser):
         self._metas: set[int] = set()
         self._footers = 0
         self._pos = 0
+        self._source: str | None = None
+        self._last_comment_end = -1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Give up at once on a comment that nothing closes; the search would read to the end of the
+        page for each of them."""
+        if self._source is not self.rawdata:
+            self._source = self.rawdata
+            self._last_comment_end = max((m.end() for m in _COMMENT_END.finditer(self.rawdata)), default=-1)
+        return -1 if i > self._last_comment_end else super().parse_comment(i, report)
 
     # -- tags -------------------------------------------------------------------------
     def handle_starttag(self, tag: str, pairs: list) -> None:
@@ -124,9 +143,11 @@ class PageReader(HTMLParser):
             return
         if tag in UNSEEN:
             self._unseen = tag
+        if tag == "a" and self._open_tags["a"]:
+            self.handle_endtag("a")
         ended = ENDED_BY.get(tag)
         while ended and self._open and self._open[-1].tag in ended:
-            self._close(self._open.pop())
+            self._close_last()
         if attrs:
             self._attribute_hints(tag, attrs)
         self._write_markup(tag, attrs)
@@ -146,9 +167,11 @@ class PageReader(HTMLParser):
             in_nav = in_nav or any(_matches(tag, attrs, s) for s in fv.NAV_REGIONS)
             in_footer = in_footer or any(_matches(tag, attrs, s) for s in fv.LINK_FOOTER_REGIONS)
             self._footers += any(kind == "footer" for kind, _ in uses)
+        self._open_tags[tag] += 1
         self._open.append(
             _Element(
-                tag, attrs, self._pos, len(self.text), len(self.markup), in_nav, in_footer, uses
+                tag, attrs, self._pos, len(self._pieces), self._text_length, self._markup_length,
+                in_nav, in_footer, uses,
             )
         )
 
@@ -167,24 +190,22 @@ class PageReader(HTMLParser):
             return
         if tag == self._unseen:
             self._unseen = None
-        if any(e.tag == tag for e in reversed(self._open)):
-            while True:
-                element = self._open.pop()
-                self._close(element)
-                if element.tag == tag:
-                    break
+        if self._open_tags[tag]:
+            while self._close_last() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if self._json_ld is not None:
             self._json_ld.append(data)
         elif not self._dropped and not self._unseen:
-            self.text.append(data)
+            self._pieces.append(data)
+            self._text_length += len(data)
             if self._footers:
-                self.markup.append(escape(data, quote=False))
+                self._add_markup(escape(data, quote=False))
 
     def handle_comment(self, data: str) -> None:
         if self._footers and not self._dropped:
-            self.markup.append(f"<!--{data}-->")
+            self._add_markup(f"<!--{data}-->")
 
     # -- what is collected ---------------------------------------------------------------
     def _hint(self, kind: str, pos: int, value: str, context: str) -> None:
@@ -214,16 +235,22 @@ class PageReader(HTMLParser):
             if attrs.get("type") in ("hidden", "text") and "@" in value:
                 self._hint("input", self._pos, value, "hidden input")
 
+    def _add_markup(self, part: str) -> None:
+        self._markup.append(part)
+        self._markup_length += len(part)
+
     def _write_markup(self, tag: str, attrs: dict) -> None:
         if self._footers:
             inside = "".join(f' {name}="{escape(value)}"' for name, value in attrs.items())
-            self.markup.append(f"<{tag}{inside}>")
+            self._add_markup(f"<{tag}{inside}>")
 
-    def _close(self, element: _Element) -> None:
+    def _close_last(self) -> str:
+        element = self._open.pop()
+        self._open_tags[element.tag] -= 1
         attrs = element.attrs
 
         def text() -> str:
-            return "".join(self.text[element.text_from :])
+            return "".join(self._pieces[element.piece :])
 
         if element.tag == "a" and "href" in attrs:
             self.links.append(
@@ -240,26 +267,20 @@ class PageReader(HTMLParser):
                 attrs.get("content") or attrs.get("href", "").replace("mailto:", "", 1) or text()
             )
             self._hint("itemprop", element.pos, value, "schema.org itemprop")
-        if element.uses:
-            self._close_section(element, text())
+        for kind, rank in element.uses:
+            self.sections.append(
+                {
+                    "kind": kind, "rank": rank, "pos": element.pos,
+                    "text_from": element.text_from,
+                    "text_length": self._text_length - element.text_from,
+                    "markup_from": element.markup_from,
+                    "markup_length": self._markup_length - element.markup_from if kind == "footer" else 0,
+                }
+            )
+        self._footers -= any(kind == "footer" for kind, _ in element.uses)
         if self._footers:
-            self.markup.append(f"</{element.tag}>")
-
-    def _close_section(self, element: _Element, words: str) -> None:
-        is_footer = any(kind == "footer" for kind, _ in element.uses)
-        markup = "".join(self.markup[element.html_from :]) if is_footer else ""
-        if _MAYBE_ADDRESS.search(words) or _MAYBE_ADDRESS.search(markup):
-            for kind, rank in element.uses:
-                self.sections.append(
-                    {
-                        "kind": kind, "rank": rank, "pos": element.pos, "text": words,
-                        "html": markup if kind == "footer" else "",
-                    }
-                )
-        if is_footer:
-            self._footers -= 1
-            if not self._footers:
-                self.markup.clear()
+            self._add_markup(f"</{element.tag}>")
+        return element.tag
 
     def _end_json_ld(self) -> None:
         if self._json_ld is None:
@@ -276,13 +297,23 @@ class PageReader(HTMLParser):
         self.close()
         self._end_json_ld()
         while self._open:
-            self._close(self._open.pop())
+            self._close_last()
+        self.text, self.markup = "".join(self._pieces), "".join(self._markup)
+        self.sections = [part for part in self.sections if self._may_hold_address(part)]
         # Elements are met in closing order; everything after wants document order.
         self.links.sort(key=lambda link: link["pos"])
         self.hints.sort(key=lambda hint: (HINT_ORDER[hint["kind"]], hint["pos"]))
         self.sections.sort(key=lambda part: (part["rank"], part["pos"]))
 
 
+    def _may_hold_address(self, part: dict) -> bool:
+        start, stop = part["text_from"], part["text_from"] + part["text_length"]
+        if _MAYBE_ADDRESS.search(self.text, start, stop):
+            return True
+        start, stop = part["markup_from"], part["markup_from"] + part["markup_length"]
+        return _MAYBE_ADDRESS.search(self.markup, start, stop) is not None
+
+
 def _resolve(base: str, href: str) -> str | None:
     try:
         return urljoin(base, href.strip())
@@ -327,7 +358,9 @@ def read_page(html: str | None, base: str | None = None) -> PageReader:
 
 
 def parse_pages(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
-    """Replace the ``html`` column by ``text``, ``links``, ``hints`` and ``sections``.
+    """Replace the ``html`` column by ``text``, ``markup``, ``links``, ``hints`` and ``sections``.
+
+    ``text`` is the visible text as written; ``markup`` the inside of the footers.
 
     ``base`` names the column that relative links are resolved against.
     Narrow and map-only: no shuffle, one page in memory at a time besides its Arrow batch.
@@ -335,6 +368,7 @@ def parse_pages(pages: DataFrame, html: str = "html", base: str = "url") -> Data
     kept = [f for f in pages.schema.fields if f.name != html]
     added = [
         T.StructField("text", T.StringType()),
+        T.StructField("markup", T.StringType()),
         T.StructField("links", T.ArrayType(LINK)),
         T.StructField("hints", T.ArrayType(HINT)),
         T.StructField("sections", T.ArrayType(SECTION)),
@@ -352,8 +386,7 @@ def parse_pages(pages: DataFrame, html: str = "html", base: str = "url") -> Data
                 )
             ]
             columns = {name: batch.column(name) for name in kept_names}
-            columns["text"] = pa.array(["".join(r.text) for r in readers], kinds["text"])
-            for name in ("links", "hints", "sections"):
+            for name in ("text", "markup", "links", "hints", "sections"):
                 # Keys that only served the order, as the position of a hint, are left out.
                 columns[name] = pa.array([getattr(r, name) for r in readers], kinds[name])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -77,7 +77,7 @@ def first_pages_per_site(pages: DataFrame, limit: int = fv.MAX_PAGES_PER_SITE) -
 
 
 def read_pages(pages: DataFrame, tools: Sequence[str] = tuple(fv.SCHEDULING_TOOLS)) -> DataFrame:
-    """Visible text, links, address hints and sections of each page, plus its tool.
+    """Visible text (raw and squeezed), links, address hints and sections of each page, and its tool.
 
     The tool is searched in the page source and the text. The source is searched before the
     HTML pass and only its position in the list and its last letters are carried along, so the
@@ -94,7 +94,8 @@ def read_pages(pages: DataFrame, tools: Sequence[str] = tuple(fv.SCHEDULING_TOOL
     )
     return (
         parse_pages(prepared)
-        .withColumn("text", C.squeeze(F.col("text")))
+        .withColumnRenamed("text", "raw_text")
+        .withColumn("text", C.squeeze(F.col("raw_text")))
         .withColumn("_low", F.lower(F.concat_ws(" ", "_html_tail", "text")))
         .withColumn("_tool", F.least("_tool_in_html", _first_position(F.col("_low"), tools)))
         .withColumn("scheduling_tool", F.get(F.array(*[F.lit(t) for t in tools]), F.col("_tool")))
@@ -140,15 +141,19 @@ def _candidates() -> Column:
             about_written.alias("about_written"),
         )
 
+    def text_of(section: Column) -> Column:
+        return F.substring("raw_text", section["text_from"] + 1, section["text_length"])
+
     def contact(rank: Column) -> Column:
         parts = F.filter("sections", lambda s: (s["kind"] == "contact") & (s["rank"] == rank))
-        whole = F.array_join(F.transform(parts, lambda s: s["text"]), "")
+        whole = F.array_join(F.transform(parts, text_of), "")
         about = F.lit("contact section")
         return place(whole, whole, about, about)
 
     def footer(section: Column) -> Column:
-        both = F.concat(section["text"], F.lit(" "), section["html"])
-        return place(section["text"], both, F.lit("footer"), F.lit("footer"))
+        markup = F.substring("markup", section["markup_from"] + 1, section["markup_length"])
+        both = F.concat(text_of(section), F.lit(" "), markup)
+        return place(text_of(section), both, F.lit("footer"), F.lit("footer"))
 
     def search(spot: Column) -> Column:
         spelled = F.transform(hidden_emails(spot["spelled"]), lambda e: F.struct(e, spot["about_spelled"]))
@@ -214,7 +219,7 @@ def page_emails(
         )
         .withColumn("_hits", F.transform("_hits", described))
         .withColumn("emails", F.transform("_hits", with_role))
-        .drop("_all", "_valid", "_first", "_hits")
+        .drop("_all", "_valid", "_first", "_hits", "raw_text", "markup", "sections")
     )
 
 

@@ -82,10 +82,19 @@ def test_hidden_parts_are_not_read(spark):
 
 def test_text_of_broken_markup():
     reader = read_page("<p>one<p><b>two<br>&amp; <i>three</b></div> four<![x</p>&nbsp;five")
-    assert " ".join("".join(reader.text).split()).startswith("onetwo& three four")
+    assert " ".join(reader.text.split()).startswith("onetwo& three four")
     reader = read_page('<div class="contact">a@s.org<p>b</div><p>c@s.org')
-    assert [s["text"] for s in reader.sections if s["rank"] == 1] == ["a@s.orgb"]
-    assert read_page(None).text == []
+    texts = [reader.text[s["text_from"] :][: s["text_length"]] for s in reader.sections if s["rank"] == 1]
+    assert texts == ["a@s.orgb"]
+    assert read_page(None).text == ""
+    unclosed = read_page("<a href=x>one <b><a href=y>two <a href=z>three")
+    assert [link["text"] for link in unclosed.links] == ["one ", "two ", "three"]
+
+
+def test_deeply_nested_sections_stay_small():
+    reader = read_page('<div class="contact">x@s.org ' * 3000)
+    assert len(reader.sections) == 2 * 3000  # by class and by part of a class
+    assert len(reader.text) == 8 * 3000
 
 
 def test_tool_staff_topics_and_social_links(spark):
