@@ -120,12 +120,13 @@ class PageReader(HTMLParser):
         self._last_comment_end = -1
 
     def parse_comment(self, i: int, report: bool = True) -> int:
-        """Give up at once on a comment that nothing closes; the search would read to the end of the
-        page for each of them."""
+        """A comment that nothing closes goes on to the end of the page."""
         if self._source is not self.rawdata:
             self._source = self.rawdata
             self._last_comment_end = max((m.end() for m in _COMMENT_END.finditer(self.rawdata)), default=-1)
-        return -1 if i > self._last_comment_end else super().parse_comment(i, report)
+        if i > self._last_comment_end:
+            return len(self.rawdata)
+        return super().parse_comment(i, report)
 
     # -- tags -------------------------------------------------------------------------
     def handle_starttag(self, tag: str, pairs: list) -> None:

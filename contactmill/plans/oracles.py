@@ -90,6 +90,31 @@ add(
 
 # -- lead queries ---------------------------------------------------------------------------------
 _LEAD = "id, business_name, score, pipeline_stage"
+add("lead_by_id", "leads", f"SELECT {_LEAD} FROM leads WHERE id = {Q.ONE_LEAD}")
+add("emails_of_lead", "lead_emails", f"SELECT id, email, is_primary FROM lead_emails WHERE lead_id = {Q.ONE_LEAD}")
+add("enrichment_of_lead", "lead_enrichment", f"SELECT lead_id, enrichment_attempts FROM lead_enrichment WHERE lead_id = {Q.ONE_LEAD}")
+add("ascii_forms", "lead_emails", "SELECT id, email FROM lead_emails")
+add(
+    "enrollment_lookups", "sequence_enrollments",
+    f"""SELECT 'of sequence' AS kind, id, status FROM sequence_enrollments WHERE lead_id = {Q.ONE_LEAD} AND sequence_id = 4
+    UNION ALL SELECT 'active', id, status FROM sequence_enrollments WHERE lead_id = {Q.ONE_LEAD} AND status = 'active'""",
+)
+add(
+    "sequence_lookups", "sequences sequence_steps",
+    """SELECT 'named' AS kind, id, 0 AS step FROM sequences WHERE name = 'ASIA' UNION ALL SELECT 'active', id, 0 FROM sequences WHERE status = 'active'
+    UNION ALL SELECT 'step', sequence_id, step_number FROM sequence_steps WHERE sequence_id = 3""",
+)
+add("send_history", "send_log", "SELECT id, status, sent_at FROM send_log WHERE lead_id = 7")
+add(
+    "address_parts", "",
+    """SELECT p_partkey, CASE WHEN p_size > 2 THEN p_name END AS city, CASE WHEN p_size > 2 THEN p_type END AS state_province,
+    CASE WHEN p_size > 2 AND p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'CA' END END AS country FROM part""",
+)
+add(
+    "manual_leads", "",
+    f"""SELECT s_name AS business_name, CASE WHEN s_nationkey >= 12 THEN 'https://x.org' END AS website, CAST(s_nationkey AS VARCHAR) AS city, 'manual' AS source,
+    0 AS score, 'new' AS pipeline_stage, TIMESTAMP '{Q.SEND_AT}' AS created_at FROM supplier WHERE s_acctbal >= 0""",
+)
 add("lead_by_source_id", "leads", f"SELECT {_LEAD} FROM leads WHERE source = 'yelp' AND source_id = '5'")
 add("leads_top_scored", "leads", f"SELECT {_LEAD} FROM leads WHERE score > 0 ORDER BY score DESC NULLS LAST, id LIMIT 100")
 add("leads_by_stage", "leads", f"SELECT {_LEAD} FROM leads WHERE pipeline_stage = 'new' ORDER BY score DESC NULLS LAST, id LIMIT 100")
@@ -667,6 +692,13 @@ add(
     FROM leads l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY is_primary DESC, id) AS rn FROM lead_emails) m ON m.lead_id = l.id AND m.rn = 1
     LEFT JOIN lead_enrichment e ON e.lead_id = l.id""",
 )
+_SQL["export_csv"] = _SQL["export_flat"].replace(
+    "business_name, coalesce(business_type", "'\"' || business_name || '\", Inc.' || chr(10) || city AS business_name, coalesce(business_type", 1
+)
+add(
+    "export_json", _LE,
+    "SELECT l.id, l.score, e.email, e.role, e.is_primary FROM leads l JOIN lead_emails e ON e.lead_id = l.id",
+)
 add(
     "export_hot", _LE,
     """SELECT CAST(l.id AS VARCHAR) AS id, coalesce(m.email, '') AS email, CAST(score AS VARCHAR) AS score, 'hot' AS tier

@@ -14,7 +14,7 @@ from contactmill.functions import columns as C
 from contactmill.functions import emails as E
 from contactmill.functions import features as X
 from contactmill.functions import fixed_values as fv
-from contactmill.functions.hidden_emails import decode_cf, hidden_emails
+from contactmill.functions.hidden_emails import decode_cf, hidden_emails, to_ascii_forms
 from contactmill.operators import ingest as B
 from contactmill.operators import leads as L
 from contactmill.operators import pages as P
@@ -26,7 +26,7 @@ from contactmill.operators import snapshots as U
 from contactmill.operators import templates as M
 from contactmill.operators import verify as D
 from contactmill.plans.views import Tables
-from contactmill.session import stored
+from contactmill.session import scratch, stored
 from contactmill.sources import exports, tables
 from contactmill.sources.files import load_rules
 from contactmill.streaming import backoff, delivery, runs
@@ -35,6 +35,8 @@ SEND_AT = "2024-01-31 00:00:00"
 ENROL_AT = "1998-01-01 00:00:00"
 ENRICH_AT = "2001-08-01 00:00:00"
 SEQUENCE = 1
+# The lead of the single-row look-ups; the look-up by key is their feature.
+ONE_LEAD = 43
 
 # The synthetic addresses all lie under a domain of the default list.
 BLOCKED = [d for d in fv.BLOCKED_DOMAINS if d != "example.com"]
@@ -98,6 +100,11 @@ def save_scores(t):
 
 
 # -- lead queries ---------------------------------------------------------------------------------
+@query
+def lead_by_id(t):
+    return L.by_id(t.leads, ONE_LEAD).select(*LEAD)
+
+
 @query
 def lead_by_source_id(t):
     return L.by_source(t.leads, "yelp", "5").select(*LEAD)
@@ -180,6 +187,16 @@ def email_exists(t):
     return L.email_exists(t.lead_emails, wanted)
 
 
+@query
+def emails_of_lead(t):
+    return L.emails_of_lead(t.lead_emails, ONE_LEAD).select("id", "email", "is_primary")
+
+
+@query
+def enrichment_of_lead(t):
+    return L.by_id(t.lead_enrichment, ONE_LEAD, "lead_id").select("lead_id", "enrichment_attempts")
+
+
 @query
 def lead_stats(t):
     return L.lead_stats(t.leads, t.lead_emails).drop("by_stage", "by_source")
@@ -329,6 +346,36 @@ def ingest_new_leads(t):
     )
 
 
+@query
+def address_parts(t):
+    """City, state and country out of component arrays with repeated and misleading components."""
+
+    def part(long: str, short: str, *types: str):
+        return F.struct(F.expr(long).alias("long_name"), F.expr(short).alias("short_name"), F.array(*map(F.lit, types)).alias("types"))
+
+    components = F.when(
+        F.col("p_size") > 2,
+        F.array(
+            part("p_brand", "'x'", "political", "locality"),
+            part("p_name", "'NO'", "locality", "administrative_area_level_1"),
+            part("'Region'", "p_type", "administrative_area_level_1"),
+            part("'Land'", "CASE WHEN p_size % 5 = 0 THEN 'MX' WHEN p_size % 2 = 0 THEN 'US' ELSE 'CA' END", "country"),
+        ),
+    )
+    return t.part.select("p_partkey", B.parse_address(components).alias("a")).select("p_partkey", "a.*")
+
+
+@query
+def manual_leads(t):
+    wanted = t.supplier.select(
+        F.when(F.col("s_acctbal") >= 0, F.col("s_name")).otherwise("").alias("business_name"),
+        F.when(F.col("s_nationkey") < 12, "").otherwise("https://x.org").alias("website"),
+        F.col("s_nationkey").cast("string").alias("city"),
+    )
+    rows = B.manual_leads(wanted, SEND_AT)
+    return rows.select("business_name", "website", "city", "source", "score", "pipeline_stage", "created_at")
+
+
 @query
 def business_type(t):
     extra = (
@@ -484,6 +531,14 @@ def decoded_cf_emails(t):
     return t.lead_emails.select("id", decode_cf(coded).alias("email"))
 
 
+@query
+def ascii_forms(t):
+    """Addresses written in full-width letters, read as plain ones."""
+    plain = "".join(chr(c) for c in range(0x21, 0x7F))
+    wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+    return t.lead_emails.select("id", to_ascii_forms(F.translate("email", plain, wide)).alias("email"))
+
+
 @query
 def lead_sites(t):
     bare = F.regexp_replace("website", "^https://", "")
@@ -663,6 +718,24 @@ def enrollment_status_updates(t):
     return G.set_enrollment_status(current, changes, ENROL_AT).select("id", "status", "completed_at")
 
 
+@query
+def enrollment_lookups(t):
+    """Enrolments of one lead: in a sequence, and active ones."""
+    one = G.enrollment_of(t.sequence_enrollments, ONE_LEAD, 4).select(F.lit("of sequence").alias("kind"), "id", "status")
+    running = G.active_enrollments_of(t.sequence_enrollments, ONE_LEAD)
+    return one.unionByName(running.select(F.lit("active").alias("kind"), "id", "status"))
+
+
+@query
+def sequence_lookups(t):
+    named = G.sequence_by_name(t.sequences, "ASIA").select(F.lit("named").alias("kind"), "id", F.lit(0).alias("step"))
+    active = G.active_sequences(t.sequences).select(F.lit("active").alias("kind"), "id", F.lit(0).alias("step"))
+    steps = G.steps_of(t.sequence_steps, 3).select(
+        F.lit("step").alias("kind"), F.col("sequence_id").alias("id"), F.col("step_number").alias("step")
+    )
+    return named.unionByName(active).unionByName(steps)
+
+
 @query
 def enrollment_counts(t):
     return G.enrollment_counts(t.sequence_enrollments)
@@ -848,6 +921,11 @@ def sent_per_day(t):
     return H.sent_per_day(t.send_log)
 
 
+@query
+def send_history(t):
+    return H.history_of_lead(t.send_log, 7).select("id", "status", "sent_at")
+
+
 @query
 def outreach_stats(t):
     return H.outreach_stats(t.send_log, "2024-01-30 12:00:00")
@@ -922,6 +1000,26 @@ def export_hot(t):
     return exports.flat_leads(chosen, t.lead_emails, t.lead_enrichment).select("id", "email", "score", "tier")
 
 
+@query
+def export_csv(t):
+    """The flat export written as CSV files and read back."""
+    rows = exports.flat_leads(t.leads, t.lead_emails, t.lead_enrichment)
+    quoted = rows.withColumn("business_name", F.concat(F.lit('"'), "business_name", F.lit('", Inc.\n'), "city"))
+    path = scratch(t.spark)
+    exports.write_csv(quoted, path)
+    return exports.read_csv(t.spark, path)
+
+
+@query
+def export_json(t):
+    """The nested export written as JSON and read back, one row per e-mail."""
+    rows = exports.nested_leads(t.leads, t.lead_emails, t.lead_enrichment)
+    path = scratch(t.spark)
+    exports.write_json(rows, path)
+    back = t.spark.read.schema(rows.schema).json(path)
+    return back.select("id", "score", F.explode("emails").alias("e")).select("id", "score", "e.email", "e.role", "e.is_primary")
+
+
 @query
 def export_nested(t):
     rows = exports.nested_leads(t.leads, t.lead_emails, t.lead_enrichment)

@@ -52,13 +52,18 @@ def local_session(cpus: int = 8, app: str = "contactmill", **extra: str) -> Spar
     return spark
 
 
+def scratch(spark: SparkSession, root: str | None = None) -> str:
+    """The path of a new folder, not yet made, below the shared one."""
+    return f"{root or checkpoint_root(spark)}/stored-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, root: str | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint: several uses cost one computation, and lost executors cost
     a re-read. For results that must stay the same once fixed, such as a send plan.
     """
-    path = f"{root or checkpoint_root(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, root)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

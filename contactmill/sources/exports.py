@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmill.operators import leads as L
@@ -84,6 +84,13 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A written flat export, all columns as text."""
+    schema = ", ".join(f"{c} string" for c in FLAT_COLUMNS)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+    return spark.read.schema(schema).options(**options).csv(path).fillna("")
+
+
 def nested_leads(
     leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame,
     per_row: int = L.EMAILS_PER_ROW,

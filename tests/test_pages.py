@@ -91,6 +91,10 @@ def test_text_of_broken_markup():
     assert [link["text"] for link in unclosed.links] == ["one ", "two ", "three"]
 
 
+def test_open_comment_hides_the_rest():
+    assert read_page("a<!-- x -->b<!-- c@s.org <p>d").text == "ab"
+
+
 def test_deeply_nested_sections_stay_small():
     reader = read_page('<div class="contact">x@s.org ' * 3000)
     assert len(reader.sections) == 2 * 3000  # by class and by part of a class
