@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from contactmill.session import configure
+from contactmill.sources.tables import spread
 
 BASE = {
     "region": "r_regionkey int, r_name string",
@@ -30,6 +31,9 @@ BASE = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# Tables whose rows are long texts.
+TEXTS = ("documents", "pages")
+
 # Orders of this value carry a contact address.
 _MAIL = "o_totalprice >= 430000"
 
@@ -137,7 +141,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.schema(BASE[name]).parquet(f"{self._folder}/{name}.parquet")
+            rows = self.spark.read.schema(BASE[name]).parquet(f"{self._folder}/{name}.parquet")
+            return spread(rows) if name in TEXTS else rows
         sources = {t: getattr(self, t) for t in base_tables(name)}
         names = {t: f"contactmill_{t}" for t in sources}
         for table, df in sources.items():
