@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import html as html_lib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,15 @@ def test_text_of_broken_markup():
     assert [link["text"] for link in unclosed.links] == ["one ", "two ", "three"]
 
 
+def test_text_of_the_sample_pages(spark, small):
+    """The sample pages are plain enough for their text to be had by stripping."""
+    rows = P.read_pages(P.with_site(spark.read.parquet(f"{small}/pages.parquet"))).select("page_id", "text")
+    sources = dict(spark.read.parquet(f"{small}/pages.parquet").select("page_id", "html").collect())
+    drop = re.compile(r"(?s)<script.*?</script>|<style.*?</style>|<title>.*?</title>|<!--.*?-->|<[^>]+>")
+    for page_id, text in rows.collect():
+        assert text == " ".join(html_lib.unescape(drop.sub("", sources[page_id])).split())
+
+
 def test_open_comment_hides_the_rest():
     assert read_page("a<!-- x -->b<!-- c@s.org <p>d").text == "ab"
 

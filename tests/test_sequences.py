@@ -195,6 +195,18 @@ def test_gates(spark, mailing, counts, at, limit, reason):
     assert {(r.outcome, r.hold_reason, r.planned_at) for r in plan.collect()} == {("hold", reason, None)}
 
 
+def test_due_list_with_and_without_trusting_the_keys(spark, mailing):
+    enrollments, leads, emails, sequences, _ = mailing
+    lists = [
+        [r.id for r in G.due_enrollments(enrollments, leads, emails, sequences, NOON, 4, keys_hold=k).collect()]
+        for k in (True, False)
+    ]
+    assert lists == [[0, 1, 2, 3]] * 2
+    fewer = leads.filter("id <> 1")
+    got = G.due_enrollments(enrollments, fewer, emails, sequences, NOON, 4, keys_hold=False)
+    assert [r.id for r in got.collect()] == [0, 2, 3, 4]
+
+
 def test_booking_results(spark, mailing):
     enrollments, leads, emails, sequences, steps = mailing
     plan = G.send_plan(*mailing, log(spark), NOON, G.SendingRules(daily_limit=50))
