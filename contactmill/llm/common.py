@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.session import configure, stored
+from contactmill.session import configure, scratch, stored
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -36,6 +36,13 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def stored_texts(df: DataFrame) -> DataFrame:
+    """As `session.stored`, for rows with whole texts: written with the denser compression."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links ``(a, b)`` of longs: rows ``(node, component)``.
 

@@ -95,10 +95,11 @@ def without_repeated_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
     through, whatever their names.
     """
     common.prepare(spark)
+    text = common.text_or_empty(F.col("__row.text"))
     packed = docs.select(F.struct("*").alias("__row")).select(
-        "__row", F.col("__row.doc_id").alias("id"), common.text_or_empty(F.col("__row.text")).alias("__text")
-    ).withColumn("key", F.xxhash64("__text"))
-    found = stored(_occurrences(packed.select("id", "key", "__text")).distinct())
+        "__row", F.col("__row.doc_id").alias("id"), F.xxhash64(text).alias("key")
+    )
+    found = stored(_occurrences(packed.select("id", "key", text.alias("__text"))).distinct())
     repeated = stored(
         found.groupBy("digest")
         .agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "pos")).alias("first"))
@@ -111,13 +112,14 @@ def without_repeated_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .groupBy(F.col("id").alias("mark_id"), F.col("key").alias("mark_key"))
         .agg(F.collect_list("m").alias("__marks"))
     )
-    marked = stored(
+    # The text moves and is written once, in the row.
+    marked = common.stored_texts(
         packed.join(
             marks.hint("shuffle_hash"),
             (F.col("key") == F.col("mark_key")) & F.col("id").eqNullSafe(F.col("mark_id")),
             "left",
-        ).select("__row", "id", "key", "__text", "__marks")
-    )
+        ).select("__row", "id", "key", "__marks")
+    ).withColumn("__text", text)
     cut = F.expr("transform(filter(__marks, m -> m.again), m -> m.pos)")
     spared = _spared(marked)
     if spared is not None:
