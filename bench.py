@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 from pathlib import Path
 
@@ -29,7 +30,10 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cpus, "contactmill-bench", **{"spark.ui.showConsoleProgress": "false"})
+    shared = tempfile.mkdtemp(prefix="contactmill-bench-")
+    spark = local_session(
+        cpus, "contactmill-bench", **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared}
+    )
     queries = registered()
     # Start the JVM's code paths and the Python workers before the clock does.
     queries["leads_count"](spark, folder).collect()

@@ -60,24 +60,46 @@ def first_contained(value: Column, words: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(value.contains(w), F.lit(w)) for w in words])
 
 
-def all_contained(value: Column, words: Sequence[str], limit: int) -> Column:
-    """The words of the list found in the text, in list order, at most ``limit``."""
+def all_contained(value: Column, words: Sequence[str], limit: int | None = None) -> Column:
+    """The words of the list found in the text, in list order; the first ``limit`` where it is given."""
     hits = [F.when(value.contains(w), F.lit(w)) for w in words]
-    return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+    return first_items(F.array_compact(F.array(*hits)), limit)
+
+
+WORDS_PER_MASK = 60
 
 
 def contained_mask(value: Column, words: Sequence[str]) -> Column:
-    """Bit ``i`` is set when word ``i`` occurs; at most 63 words."""
-    if len(words) > 63:
-        raise ValueError("a word mask holds at most 63 words")
-    bits = [F.when(value.contains(w), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(words)]
-    return reduce(lambda a, b: a.bitwiseOR(b), [b.cast("long") for b in bits])
+    """Which words occur, as bits of an array of longs with ``WORDS_PER_MASK`` words each."""
+
+    def part(start: int) -> Column:
+        bits = [
+            F.when(value.contains(w), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+            for i, w in enumerate(words[start : start + WORDS_PER_MASK])
+        ]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    return F.array(*[part(i) for i in range(0, len(words), WORDS_PER_MASK)])
+
 
+def mask_unions(words: Sequence[str], mask: str = "specialty_bits") -> list[Column]:
+    """The union of masks over a group, as an aggregate of the same name."""
+    parts = range(-(-len(words) // WORDS_PER_MASK))
+    return [F.array(*[F.bit_or(F.get(mask, F.lit(i))) for i in parts]).alias(mask)]
 
-def words_of_mask(mask: Column, words: Sequence[str], limit: int) -> Column:
+
+def words_of_mask(mask: Column, words: Sequence[str], limit: int | None = None) -> Column:
     """The words of a mask. ``mask`` should be a plain column, as it is read once per word."""
-    hits = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)) for i, w in enumerate(words)]
-    return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+
+    def bit(i: int) -> Column:
+        return F.get(mask, F.lit(i // WORDS_PER_MASK)).bitwiseAND(F.lit(1 << i % WORDS_PER_MASK)) != 0
+
+    return first_items(F.array_compact(F.array(*[F.when(bit(i), F.lit(w)) for i, w in enumerate(words)])), limit)
+
+
+def first_items(items: Column, limit: int | None) -> Column:
+    """The first items of an array, or all of them."""
+    return items if limit is None else F.slice(items, 1, limit)
 
 
 def count_where(condition: Column) -> Column:

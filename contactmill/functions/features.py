@@ -45,7 +45,7 @@ def has_staff(low: Column, phrases: Sequence[str] = tuple(fv.STAFF_PHRASES)) ->
 
 
 def specialties(
-    low: Column, words: Sequence[str] = tuple(fv.SPECIALTIES), limit: int = fv.MAX_SPECIALTIES
+    low: Column, words: Sequence[str] = tuple(fv.SPECIALTIES), limit: int | None = None
 ) -> Column:
     return all_contained(low, words, limit)
 
@@ -62,9 +62,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.nullif(host, F.lit("")))
 
 
-def root_domain(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def root_domain(host: Column, suffixes: Sequence[str] = tuple(fv.SHARED_SUFFIXES)) -> Column:
+    """The part of a host that one owner registers: one label more than its public suffix or platform.
+
+    ``suffixes`` lists those of two labels; any other suffix has one.
+    """
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(suffixes)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def is_bot_page(html: Column) -> Column:

@@ -115,7 +115,6 @@ META_EMAIL_SELECTORS = [
 ]
 DATA_EMAIL_ATTRIBUTES = ["data-email", "data-mail", "data-contact-email"]
 RECIPIENT_INPUTS = ["_to", "recipient", "_replyto"]
-JSON_LD_MAX_DEPTH = 10
 
 # --- scoring and sending -----------------------------------------------------------------
 TIERS = [("hot", 70, "Hot Lead"), ("warm", 50, "Warm Lead"), ("cool", 30, "Cool Lead")]
@@ -170,3 +169,12 @@ FUNNEL_TARGETS = {
     "bounce_rate": 3.0,
     "complaint_rate": 0.05,
 }
+
+# --- suffixes of two labels under which different owners register names ----------------
+SHARED_SUFFIXES = [
+    "ab.ca", "bc.ca", "mb.ca", "nb.ca", "nf.ca", "nl.ca", "ns.ca", "nt.ca", "nu.ca", "on.ca", "pe.ca", "qc.ca",
+    "sk.ca", "yk.ca", "gc.ca", "co.uk", "org.uk", "me.uk", "com.au", "net.au", "org.au", "co.nz",
+    "blogspot.com", "business.site", "github.io", "godaddysites.com", "google.com", "jimdofree.com",
+    "myshopify.com", "netlify.app", "square.site", "squarespace.com", "strikingly.com", "tumblr.com",
+    "webflow.io", "webnode.com", "weebly.com", "wixsite.com", "wordpress.com",
+]

@@ -70,9 +70,7 @@ ENDED_BY = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
-# A section whose text cannot hold an address is not worth a search.
 _COMMENT_END = re.compile(r"--!?\s*>")
-_MAYBE_ADDRESS = re.compile(r"[@＠]|dot|&#|&commat|[(\[{]at[)\]}]", re.I)
 
 
 def _matches(tag: str, attrs: dict, selector: tuple[str, str]) -> bool:
@@ -218,12 +216,13 @@ class PageReader(HTMLParser):
         data = next((attrs[a] for a in fv.DATA_EMAIL_ATTRIBUTES if attrs.get(a)), None)
         if data:
             self._hint("data", self._pos, data, "data attribute")
-        if tag == "meta" and attrs.get("content"):
+        if tag == "meta":
             for rank, selector in enumerate(fv.META_EMAIL_SELECTORS):
-                # Only the first element of a meta selector counts.
+                # Only the first element of a meta selector counts, even if it is empty.
                 if rank not in self._metas and _matches(tag, attrs, selector):
                     self._metas.add(rank)
-                    self._hint(f"meta{rank}", self._pos, attrs["content"], "meta tag")
+                    if attrs.get("content"):
+                        self._hint(f"meta{rank}", self._pos, attrs["content"], "meta tag")
         if tag in VOID and attrs.get("itemprop") == "email":
             value = attrs.get("content") or attrs.get("href", "").replace("mailto:", "", 1)
             self._hint("itemprop", self._pos, value, "schema.org itemprop")
@@ -288,7 +287,7 @@ class PageReader(HTMLParser):
             return
         source, self._json_ld = "".join(self._json_ld), None
         try:
-            found = list(_json_ld_emails(json.loads(source), 0))
+            found = list(_json_ld_emails(json.loads(source)))
         except (ValueError, RecursionError):
             return
         for value in found:
@@ -300,21 +299,12 @@ class PageReader(HTMLParser):
         while self._open:
             self._close_last()
         self.text, self.markup = "".join(self._pieces), "".join(self._markup)
-        self.sections = [part for part in self.sections if self._may_hold_address(part)]
         # Elements are met in closing order; everything after wants document order.
         self.links.sort(key=lambda link: link["pos"])
         self.hints.sort(key=lambda hint: (HINT_ORDER[hint["kind"]], hint["pos"]))
         self.sections.sort(key=lambda part: (part["rank"], part["pos"]))
 
 
-    def _may_hold_address(self, part: dict) -> bool:
-        start, stop = part["text_from"], part["text_from"] + part["text_length"]
-        if _MAYBE_ADDRESS.search(self.text, start, stop):
-            return True
-        start, stop = part["markup_from"], part["markup_from"] + part["markup_length"]
-        return _MAYBE_ADDRESS.search(self.markup, start, stop) is not None
-
-
 def _resolve(base: str, href: str) -> str | None:
     try:
         return urljoin(base, href.strip())
@@ -322,28 +312,25 @@ def _resolve(base: str, href: str) -> str | None:
         return None
 
 
-def _json_ld_emails(node: object, depth: int) -> Iterator[str]:
-    """Address values of a JSON-LD tree, to a fixed depth."""
-    if depth > fv.JSON_LD_MAX_DEPTH:
-        return
-    if isinstance(node, list):
-        for item in node:
-            yield from _json_ld_emails(item, depth + 1)
-    elif isinstance(node, dict):
-        if isinstance(node.get("@graph"), list):
-            for item in node["@graph"]:
-                yield from _json_ld_emails(item, depth + 1)
-        for key, value in node.items():
-            key = key.lower()
-            if isinstance(value, (dict, list)):
-                yield from _json_ld_emails(value, depth + 1)
-            elif isinstance(value, str):
-                if "email" in key or key == "mail":
-                    cleaned = value.replace("mailto:", "", 1).strip()
-                    if "@" in cleaned:
-                        yield cleaned
-                elif key in ("sameas", "url", "href") and value.startswith("mailto:"):
-                    yield value[len("mailto:") :].split("?")[0]
+def _json_ld_emails(root: object) -> Iterator[str]:
+    """Address values of a JSON-LD tree in document order, however deep."""
+    # Nodes are (None, value), fields are (key, value); the next one to read is last.
+    todo: list[tuple[str | None, object]] = [(None, root)]
+    while todo:
+        key, value = todo.pop()
+        if isinstance(value, list):
+            todo.extend((None, item) for item in reversed(value))
+        elif isinstance(value, dict):
+            todo.extend((name.lower(), item) for name, item in reversed(value.items()))
+            if isinstance(value.get("@graph"), list):
+                todo.extend((None, item) for item in reversed(value["@graph"]))
+        elif key is not None and isinstance(value, str):
+            if "email" in key or key == "mail":
+                cleaned = value.replace("mailto:", "", 1).strip()
+                if "@" in cleaned:
+                    yield cleaned
+            elif key in ("sameas", "url", "href") and value.startswith("mailto:"):
+                yield value[len("mailto:") :].split("?")[0]
 
 
 def read_page(html: str | None, base: str | None = None) -> PageReader:

@@ -223,7 +223,7 @@ def finish_runs(runs: DataFrame, results: DataFrame, as_of: datetime | str) -> D
     )
 
 
-def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
+def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
     return C.top(runs, [F.desc("started_at"), F.col("id")], limit)
 
 
@@ -231,7 +231,8 @@ def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
 def drop_same_contact(leads: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """One lead per phone number and one per root domain; leads without either are all kept.
 
-    The phone is compared by its digits, the website by the last two labels of its host.
+    The phone is compared by its digits, the website by its root domain, which knows the common public suffixes
+    and hosting platforms.
     """
     order = list(order or [F.col("id")])
     phone = F.nullif(F.regexp_replace("phone", r"\D", ""), F.lit(""))

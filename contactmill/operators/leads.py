@@ -36,15 +36,15 @@ def email_exists(lead_emails: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 # -- lists ------------------------------------------------------------------------------------
-def of_stage(leads: DataFrame, stage: str, limit: int | None = 100) -> DataFrame:
+def of_stage(leads: DataFrame, stage: str, limit: int | None = None) -> DataFrame:
     return C.top(leads.filter(F.col("pipeline_stage") == stage), _by_score(), limit)
 
 
-def top_scored(leads: DataFrame, limit: int | None = 100) -> DataFrame:
+def top_scored(leads: DataFrame, limit: int | None = None) -> DataFrame:
     return C.top(leads.filter(F.col("score") > 0), _by_score(), limit)
 
 
-def newest(leads: DataFrame, limit: int | None = 1000, offset: int = 0) -> DataFrame:
+def newest(leads: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return C.top(leads, [F.desc("created_at"), F.col("id")], limit, offset)
 
 
@@ -86,24 +86,14 @@ def reenrich_queue(
     leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame, as_of: datetime | str
 ) -> DataFrame:
     """Leads with a website and no e-mail that were never tried, or tried in vain long ago."""
-    tried = enrichment.select(
-        F.col("lead_id").alias("id"),
-        F.lit(True).alias("_tried"),
-        F.col("emails_found_count").alias("_found"),
-        F.col("enrichment_attempts").alias("_attempts"),
-        F.col("last_enrichment_attempt_at").alias("_last"),
-    )
-    before = C.moment(as_of) - F.make_dt_interval(F.lit(fv.REENRICH_AFTER_DAYS))
-    again = (
-        (F.col("_found") == 0)
-        & (F.col("_attempts") < fv.REENRICH_MAX_ATTEMPTS)
-        & (F.col("_last") < before)
-    )
+    columns = ["emails_found_count", "enrichment_attempts", "last_enrichment_attempt_at"]
+    tried = enrichment.select(F.col("lead_id").alias("id"), F.lit(True).alias("_tried"), *columns)
+    wanted = tried.withColumn("_again", F.coalesce(tried_in_vain(as_of), F.lit(False))).drop(*columns)
     return (
         without_emails(leads.filter(F.col("website").isNotNull()), lead_emails)
-        .join(tried, "id", "left")
-        .filter(F.col("_tried").isNull() | again)
-        .drop("_tried", "_found", "_attempts", "_last")
+        .join(wanted, "id", "left")
+        .filter(F.col("_tried").isNull() | F.col("_again"))
+        .drop("_tried", "_again")
     )
 
 
@@ -158,10 +148,10 @@ def source_counts(leads: DataFrame) -> DataFrame:
 def lead_stats(leads: DataFrame, lead_emails: DataFrame) -> DataFrame:
     """Totals, average score and the counts per stage and source as maps, in one row."""
 
-    def as_map(counted: DataFrame, key: str, name: str) -> DataFrame:
-        # A handful of groups: the values of a stage or source column.
-        entries = F.collect_list(F.struct(F.coalesce(key, F.lit("")), "n"))
-        return counted.agg(F.map_from_entries(entries).alias(name))
+    def as_map(key: str, name: str) -> DataFrame:
+        # A handful of groups: the values of a stage or source column; null counts as the empty one.
+        counted = leads.groupBy(F.coalesce(key, F.lit("")).alias("k")).agg(F.count("*").alias("n"))
+        return counted.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(name))
 
     scores = F.avg(F.when(F.col("score") > 0, F.col("score")))
     totals = leads.agg(
@@ -178,8 +168,8 @@ def lead_stats(leads: DataFrame, lead_emails: DataFrame) -> DataFrame:
     return C.beside(
         totals,
         mails,
-        as_map(stage_counts(leads), "pipeline_stage", "by_stage"),
-        as_map(source_counts(leads), "source", "by_source"),
+        as_map("pipeline_stage", "by_stage"),
+        as_map("source", "by_source"),
     )
 
 
@@ -192,27 +182,99 @@ def extended_stats(
 ) -> DataFrame:
     """The statistics row of the overview: totals, queues, verification and outreach counts.
 
-    Every input is reduced to one row before the rows are put side by side.
+    One pass over each table: a row of flags per lead, see :func:`lead_flags`, then one aggregation.
+    """
+    rows = lead_flags(leads, lead_emails, enrichment, send_log, as_of)
+    scores = F.avg(F.when(F.col("score") > 0, F.col("score")))
+    total, mailed = F.count("id"), C.count_where(F.col("id").isNotNull() & (F.col("n_emails") > 0))
+    rate = C.half_up(mailed * 100 / F.nullif(total, F.lit(0)))
+    return rows.agg(
+        total.alias("total_leads"),
+        F.coalesce(C.half_up(scores, 1), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(F.sum("n_valid"), F.lit(0)).alias("verified_emails"),
+        mailed.alias("leads_with_emails"),
+        C.count_where(F.col("queued")).alias("leads_without_emails"),
+        C.count_where(F.col("never_enriched")).alias("not_enriched"),
+        *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(s) for s in fv.VERIFICATION_STATUSES],
+        F.coalesce(F.sum("n_single"), F.lit(0)).alias("outreach_total"),
+        F.coalesce(F.sum("n_single_today"), F.lit(0)).alias("outreach_today"),
+        F.coalesce(rate, F.lit(0)).cast("long").alias("email_success_rate"),
+    )
+
+
+def lead_flags(
+    leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame, send_log: DataFrame, as_of: datetime | str
+) -> DataFrame:
+    """A row per lead with what statistics and filters ask of it: ``id``, ``score``, counts and flags.
+
+    E-mails and sends are counted per lead before they meet the leads, so a lead with very many of them
+    crosses the network once per task; each table is read once. Rows whose lead is unknown or null have a null
+    ``id``: they only count in the totals of e-mails and sends.
     """
-    from contactmill.operators.sendlog import outreach_stats
+    from contactmill.operators.sendlog import today_from
 
-    base = lead_stats(leads, lead_emails).drop("leads_with_emails")
-    have = with_emails(leads, lead_emails).agg(F.count("*").alias("leads_with_emails"))
-    queue = reenrich_queue(leads, lead_emails, enrichment, as_of).agg(
-        F.count("*").alias("leads_without_emails")
+    status = F.col("verification_status")
+    mails = lead_emails.groupBy(F.col("lead_id").alias("_lead")).agg(
+        F.count("*").alias("n_emails"), *[C.count_where(status == s).alias(f"n_{s}") for s in fv.VERIFICATION_STATUSES]
     )
-    never = not_enriched(leads, enrichment).agg(F.count("*").alias("not_enriched"))
-    checks = status_counts_wide(lead_emails, "verification_status", fv.VERIFICATION_STATUSES)
-    sends = outreach_stats(send_log, as_of).select(
-        F.col("total").alias("outreach_total"), F.col("today").alias("outreach_today")
+    single = F.col("sequence_id").isNull()
+    sends = send_log.groupBy(F.col("lead_id").alias("_lead")).agg(
+        C.count_where(single).alias("n_single"), C.count_where(single & (F.col("sent_at") >= today_from(as_of))).alias("n_single_today")
     )
-    out = C.beside(base, have, queue, never, checks, sends)
-    rate = C.half_up(F.col("leads_with_emails") * 100 / F.col("total_leads"))
-    return out.withColumn(
-        "email_success_rate", F.when(F.col("total_leads") > 0, rate).otherwise(F.lit(0)).cast("long")
+    tried = enrichment.select(
+        F.col("lead_id").alias("_lead"), F.lit(True).alias("_tried"), "emails_found_count", "enrichment_attempts",
+        "last_enrichment_attempt_at",
+    )
+    known = leads.select("id", F.col("id").alias("_lead"), "score", F.col("website").isNotNull().alias("_site"))
+    rows = known.join(mails, "_lead", "full_outer").join(sends, "_lead", "full_outer").join(tried, "_lead", "left")
+    counts = ["n_emails", *[f"n_{s}" for s in fv.VERIFICATION_STATUSES], "n_single", "n_single_today"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    never = F.col("_tried").isNull()
+    site = F.coalesce("_site", F.lit(False))
+    again = F.coalesce(tried_in_vain(as_of), F.lit(False))
+    return rows.select(
+        "id", "score", *counts,
+        (site & (F.col("n_emails") == 0) & (never | again)).alias("queued"),
+        (site & never).alias("never_enriched"),
+    )
+
+
+def tried_in_vain(as_of: datetime | str) -> Column:
+    """Enrichment that found nothing, may be repeated and is long enough ago."""
+    before = C.moment(as_of) - F.make_dt_interval(F.lit(fv.REENRICH_AFTER_DAYS))
+    return (
+        (F.col("emails_found_count") == 0)
+        & (F.col("enrichment_attempts") < fv.REENRICH_MAX_ATTEMPTS)
+        & (F.col("last_enrichment_attempt_at") < before)
     )
 
 
+def listing_counts(
+    leads: DataFrame, lead_emails: DataFrame, enrichment: DataFrame, send_log: DataFrame, as_of: datetime | str
+) -> DataFrame:
+    """Size and id sum of every named lead filter, in one aggregation over :func:`lead_flags`."""
+    rows = lead_flags(leads, lead_emails, enrichment, send_log, as_of).filter("id IS NOT NULL")
+    mail_statuses = {n: F.col(f"n_{s}") > 0 for n, s in _STATUS_FILTERS.items()}
+    bands = {n: _score_band(*band) for n, band in _SCORE_BANDS.items()}
+    sent = F.col("n_single") > 0
+    tests = mail_statuses | bands | {
+        "all": F.lit(True),
+        "with-emails": F.col("n_emails") > 0,
+        "without-emails": F.col("queued"),
+        "outreach-sent": sent,
+        "outreach-pending": ((F.col("n_valid") > 0) | (F.col("n_catch_all") > 0)) & ~sent,
+    }
+    one = rows.agg(
+        *[C.count_where(tests[n]).alias(f"n{i}") for i, n in enumerate(LISTING_FILTERS)],
+        *[F.sum(F.when(tests[n], F.col("id"))).alias(f"s{i}") for i, n in enumerate(LISTING_FILTERS)],
+    )
+    entries = [
+        F.struct(F.lit(n).alias("filter"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("id_sum"))
+        for i, n in enumerate(LISTING_FILTERS)
+    ]
+    return one.select(F.inline(F.array(*entries)))
+
+
 # -- filtered listing --------------------------------------------------------------------------
 def _score_band(low: int | None, high: int | None) -> Column:
     out = F.col("score") > 0
@@ -241,6 +303,13 @@ LISTING_FILTERS = [
     "unknown", "unverified", "outreach-sent", "outreach-pending", "scored", "verified",
     "warm-or-better",
 ]
+_STATUS_FILTERS = {
+    "valid": "valid", "verified": "valid", "invalid": "invalid", "catch-all": "catch_all", "unknown": "unknown",
+    "unverified": "unverified",
+}
+_SCORE_BANDS = {
+    "hot": (70, None), "warm": (50, 70), "cold": (None, 50), "scored": (None, None), "warm-or-better": (50, None),
+}
 
 
 def filtered(
@@ -255,18 +324,10 @@ def filtered(
 
     ``warm`` is the band below hot; ``warm-or-better`` includes hot, as the exports have it.
     """
-    statuses = {
-        "valid": "valid", "verified": "valid", "invalid": "invalid", "catch-all": "catch_all",
-        "unknown": "unknown", "unverified": "unverified",
-    }
-    if name in statuses:
-        return with_email_status(leads, lead_emails, statuses[name])
-    bands = {
-        "hot": (70, None), "warm": (50, 70), "cold": (None, 50), "scored": (None, None),
-        "warm-or-better": (50, None),
-    }
-    if name in bands:
-        return leads.filter(_score_band(*bands[name]))
+    if name in _STATUS_FILTERS:
+        return with_email_status(leads, lead_emails, _STATUS_FILTERS[name])
+    if name in _SCORE_BANDS:
+        return leads.filter(_score_band(*_SCORE_BANDS[name]))
     if name == "with-emails":
         return with_emails(leads, lead_emails)
     if name == "without-emails":

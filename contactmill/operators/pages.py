@@ -48,12 +48,13 @@ def with_site(pages: DataFrame) -> DataFrame:
     return out if "page_order" in pages.columns else out.withColumn("page_order", F.col("page_id"))
 
 
-def first_pages_per_site(pages: DataFrame, limit: int = fv.MAX_PAGES_PER_SITE) -> DataFrame:
+def first_pages_per_site(pages: DataFrame, limit: int) -> DataFrame:
     """Keep the first pages of each site, without ranking or moving the page bodies.
 
-    The cut-off page is found on three narrow columns, one row for each site that is over the
-    limit. The bodies are then filtered by a left join with that table, which Spark broadcasts
-    when it is small and otherwise shuffles, splitting a site that holds too many pages.
+    For callers that want a limit; nothing else here cuts a site. The cut-off page is found on three
+    narrow columns, one row for each site that is over the limit. The bodies are then filtered by a left
+    join with that table, which Spark broadcasts when it is small and otherwise shuffles, splitting a
+    site that holds too many pages.
     """
     cut = (
         C.top_per_key(
@@ -117,7 +118,7 @@ def _candidates() -> Column:
     def pair(email: Column, context: Column) -> Column:
         return F.struct(
             F.regexp_replace(F.lower(email), r"\.\z", "").alias("email"),
-            F.substring(C.squeeze_ends(context), 1, fv.CONTEXT_LENGTH).alias("context"),
+            C.squeeze_ends(context).alias("context"),
         )
 
     def hinted(hint: Column) -> Column:
@@ -182,21 +183,25 @@ def _candidates() -> Column:
 
 def page_emails(
     parsed: DataFrame,
-    max_emails: int = fv.MAX_EMAILS_PER_SITE,
+    max_emails: int | None = None,
     blocked: Sequence[str] = tuple(fv.BLOCKED_DOMAINS),
+    context_length: int | None = None,
 ) -> DataFrame:
     """Add ``emails``: the first distinct valid addresses of a page with context and role.
 
-    Works inside the row, so nothing is exploded or shuffled.
+    Works inside the row, so nothing is exploded or shuffled. ``max_emails`` and ``context_length`` cut
+    where they are given.
     """
 
+    def cut(text: Column) -> Column:
+        return text if context_length is None else F.substring(text, 1, context_length)
+
     def around(email: Column) -> Column:
         near = F.concat(F.lit(r"(?i).{0,50}\Q"), email, F.lit(r"\E.{0,50}"))
-        words = C.squeeze_ends(F.regexp_substr("text", near))
-        return F.substring(words, 1, fv.CONTEXT_LENGTH)
+        return cut(C.squeeze_ends(F.regexp_substr("text", near)))
 
     def described(hit: Column) -> Column:
-        context = F.coalesce(hit["context"], around(hit["email"]))
+        context = F.coalesce(cut(hit["context"]), around(hit["email"]))
         return F.struct(hit["email"].alias("email"), context.alias("context"))
 
     def with_role(hit: Column) -> Column:
@@ -208,7 +213,7 @@ def page_emails(
         .withColumn("_valid", F.filter("_all", lambda c: E.is_valid_email(c["email"], blocked)))
         .withColumn(
             "_first",
-            F.slice(F.array_distinct(F.transform("_valid", lambda c: c["email"])), 1, max_emails),
+            C.first_items(F.array_distinct(F.transform("_valid", lambda c: c["email"])), max_emails),
         )
         .withColumn(
             "_hits",
@@ -245,7 +250,7 @@ def page_features(
     staff_phrases: Sequence[str] = tuple(fv.STAFF_PHRASES),
     words: Sequence[str] = tuple(fv.SPECIALTIES),
     blocked: Sequence[str] = tuple(fv.BLOCKED_DOMAINS),
-    max_emails: int = fv.MAX_EMAILS_PER_SITE,
+    max_emails: int | None = None,
 ) -> DataFrame:
     """One narrow row per page: addresses, tool, staff flag, social links, specialty bits."""
     parsed = read_pages(pages, tools)
@@ -262,61 +267,68 @@ def page_features(
     )
 
 
-def merge_sites(
-    features: DataFrame,
-    words: Sequence[str] = tuple(fv.SPECIALTIES),
-    max_emails: int = fv.MAX_EMAILS_PER_SITE,
-) -> DataFrame:
-    """Pages of a site to one row, in page order: first value wins, flags and words add up.
+def merge_sites(features: DataFrame, words: Sequence[str] = tuple(fv.SPECIALTIES)) -> DataFrame:
+    """Pages of a site to one row: first value in page order wins, flags and words add up.
 
-    One shuffle of narrow rows. The collected array is bounded: at most
-    ``MAX_PAGES_PER_SITE`` pages with ``max_emails`` addresses each, see
-    :func:`first_pages_per_site`.
+    One shuffle of narrow rows, combined before it. The addresses of a site are rows of their own, see
+    :func:`site_emails`.
     """
     position = F.struct("page_order", "page_id")
 
     def first(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), position)).alias(column)
 
-    merged = features.groupBy("site").agg(
-        F.count("*").alias("pages_read"),
-        F.sort_array(F.collect_list(F.struct("page_order", "page_id", "emails"))).alias("_pages"),
-        first("scheduling_tool"),
-        F.bool_or("has_multiple_tutors").alias("has_multiple_tutors"),
-        first("linkedin_url"),
-        first("facebook_url"),
-        F.bit_or("specialty_bits").alias("_bits"),
-    )
-    in_order = F.flatten(F.transform("_pages", lambda p: p["emails"]))
     return (
-        merged.withColumn("_found", in_order)
-        .withColumn(
-            "_first",
-            F.slice(F.array_distinct(F.transform("_found", lambda e: e["email"])), 1, max_emails),
+        features.groupBy("site")
+        .agg(
+            F.count("*").alias("pages_read"),
+            first("scheduling_tool"),
+            F.bool_or("has_multiple_tutors").alias("has_multiple_tutors"),
+            first("linkedin_url"),
+            first("facebook_url"),
+            *C.mask_unions(words),
         )
-        .withColumn(
-            "emails",
-            F.transform(
-                "_first",
-                lambda a: F.get(F.filter("_found", lambda e: e["email"] == a), F.lit(0)),
-            ),
+        .withColumn("specialties", C.words_of_mask(F.col("specialty_bits"), words))
+        .drop("specialty_bits")
+    )
+
+
+def site_emails(features: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct addresses of each site, one row each, with where they were first found.
+
+    Columns ``site``, ``email``, ``context``, ``role`` and ``first_at`` (page order, page, place on the
+    page). One shuffle, combined before it, so a site with very many pages stays spread over tasks;
+    ``limit`` keeps the first ones of each site.
+    """
+    each = features.select("site", "page_order", "page_id", F.posexplode("emails").alias("pos", "e"))
+    met = F.struct("page_order", "page_id", "pos", F.col("e.context").alias("context"), F.col("e.role").alias("role"))
+    rows = (
+        each.groupBy("site", F.col("e.email").alias("email"))
+        .agg(F.min(met).alias("m"))
+        .select(
+            "site", "email", "m.context", "m.role",
+            F.struct("m.page_order", "m.page_id", "m.pos").alias("first_at"),
         )
-        .withColumn("specialties", C.words_of_mask(F.col("_bits"), words, fv.MAX_SPECIALTIES))
-        .drop("_pages", "_found", "_first", "_bits")
     )
+    return rows if limit is None else C.top_per_key(rows, ["site"], [F.col("first_at")], limit)
+
+
+def site_pages(pages: DataFrame, page_limit: int | None = None, **options) -> DataFrame:
+    """Features of the usable pages with their sites, all of them or the first ones of each site."""
+    sited = with_site(usable_pages(pages))
+    return page_features(sited if page_limit is None else first_pages_per_site(sited, page_limit), **options)
 
 
-def site_features(pages: DataFrame, **options) -> DataFrame:
-    """Collected pages to one row per site: limit the pages, read them, merge them."""
-    limited = first_pages_per_site(with_site(usable_pages(pages)))
-    merge = {k: v for k, v in options.items() if k in ("words", "max_emails")}
-    return merge_sites(page_features(limited, **options), **merge)
+def site_features(pages: DataFrame, page_limit: int | None = None, **options) -> DataFrame:
+    """Collected pages to one row per site."""
+    merge = {k: v for k, v in options.items() if k == "words"}
+    return merge_sites(site_pages(pages, page_limit, **options), **merge)
 
 
 def contact_links(
     pages: DataFrame, strict: str = fv.CONTACT_LINK_WORDS, broad: str = fv.NAV_LINK_WORDS
 ) -> DataFrame:
-    """Links that probably lead to contact details, best first inside each page.
+    """Links that probably lead to contact details, with their ``rank`` (from 1) inside each page.
 
     Social links and other hosts are dropped; a strict word is needed, or a broad one inside the
     navigation. A URL met several times keeps its best score and first position.
@@ -342,6 +354,7 @@ def contact_links(
         + [points(href.rlike("(?i)" + p), n) for p, n in fv.LINK_TARGET_POINTS],
     )
     target = F.substring_index(F.regexp_replace("a.url", r"/\z", ""), "?", 1)
+    best_first = W.partitionBy("page_id").orderBy(F.desc("score"), "first_pos", "link")
     return (
         links.filter(~href.rlike("(?i)" + fv.SOCIAL_LINK))
         .filter(either(strict) | (F.col("a.in_nav") & either(broad)))
@@ -349,16 +362,17 @@ def contact_links(
         .select("page_id", "site", target.alias("link"), score.alias("score"), F.col("a.pos").alias("pos"))
         .groupBy("page_id", "site", "link")
         .agg(F.max("score").alias("score"), F.min("pos").alias("first_pos"))
+        .withColumn("rank", F.row_number().over(best_first))
     )
 
 
-def sitemap_links(sitemaps: DataFrame, limit: int = fv.MAX_SITEMAP_URLS) -> DataFrame:
-    """Contact-like URLs of ``(site, xml)`` sitemaps, the first few per sitemap."""
+def sitemap_links(sitemaps: DataFrame, limit: int | None = None) -> DataFrame:
+    """Contact-like URLs of ``(site, xml)`` sitemaps; the first ``limit`` per sitemap where it is given."""
     found = F.transform(
         F.regexp_extract_all("xml", F.lit("(?i)<loc>(.*?)</loc>"), F.lit(1)), C.squeeze_ends
     )
     wanted = F.filter(found, lambda u: u.rlike("(?i)" + fv.SITEMAP_LINK))
-    return sitemaps.select("site", F.posexplode(F.slice(wanted, 1, limit)).alias("pos", "link"))
+    return sitemaps.select("site", F.posexplode(C.first_items(wanted, limit)).alias("pos", "link"))
 
 
 def emails_in_texts(
@@ -395,22 +409,26 @@ def enrich_leads(leads: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def new_lead_emails(enriched: DataFrame, lead_emails: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Addresses to add to the e-mail table: best contact first, known ones dropped.
+def lead_addresses(enriched: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Addresses of the leads of :func:`enrich_leads`: ``(lead_id, pos, email, role)``, rows of :func:`site_emails`."""
+    return enriched.select("lead_id", "site").join(addresses, "site").select(
+        "lead_id", F.col("first_at").alias("pos"), "email", "role"
+    )
+
+
+def new_lead_emails(found: DataFrame, lead_emails: DataFrame, as_of: datetime | str) -> DataFrame:
+    """Addresses to add to the e-mail table, from ``(lead_id, pos, email, role)``: known ones are dropped.
 
-    The first added address of a lead is its primary one. The window runs over the addresses of
-    one lead found now, at most ``MAX_EMAILS_PER_SITE``.
+    The best contact of a lead is its primary one. It is found by an aggregation, so the addresses of one
+    lead never have to meet in a task.
     """
-    found = enriched.select("lead_id", F.posexplode("emails").alias("pos", "e")).select(
-        "lead_id", "pos", F.col("e.email").alias("email"), F.col("e.role").alias("role")
-    )
     known = lead_emails.select("lead_id", F.lower("email").alias("email")).distinct()
     fresh = found.join(known, ["lead_id", "email"], "left_anti")
-    rank = E.contact_rank(F.col("email"), F.col("role"))
-    order = W.partitionBy("lead_id").orderBy(F.desc("_rank"), "pos")
+    ranked = fresh.withColumn("_place", F.struct(-E.contact_rank(F.col("email"), F.col("role")), "pos", "email"))
+    best = ranked.groupBy("lead_id").agg(F.min("_place").alias("_best"))
     return (
-        fresh.withColumn("_rank", rank)
-        .withColumn("is_primary", F.row_number().over(order) == 1)
+        ranked.join(best, "lead_id")
+        .withColumn("is_primary", F.col("_place") == F.col("_best"))
         .select(
             F.xxhash64("lead_id", "email").cast("string").alias("id"),
             "lead_id",
@@ -425,18 +443,27 @@ def new_lead_emails(enriched: DataFrame, lead_emails: DataFrame, as_of: datetime
     )
 
 
-ENRICHMENT_FEATURES = [
-    "has_multiple_tutors", "existing_scheduling_tool", "linkedin_url", "facebook_url", "specialties",
-    "emails_found_count",
-]
+def counted(enriched: DataFrame, added: DataFrame) -> DataFrame:
+    """Features of attempted leads with the number of addresses that :func:`new_lead_emails` added, 0 for none."""
+    n = added.groupBy("lead_id").agg(F.count("*").cast("int").alias("emails_found_count"))
+    return enriched.drop("emails_found_count").join(n, "lead_id", "left").withColumn(
+        "emails_found_count", F.coalesce("emails_found_count", F.lit(0))
+    )
 
 
 def upsert_enrichment(current: DataFrame, found: DataFrame, as_of: datetime | str) -> DataFrame:
     """The next enrichment snapshot: new features replace old ones and the attempts go up by one.
 
     ``found`` has one row per lead with any of the feature columns. Features absent from it are
-    overwritten with null, as a repeated attempt overwrites the whole row.
+    overwritten with null, as a repeated attempt overwrites the whole row; a missing count of added
+    addresses is 0, and an empty list of specialties is stored as null.
     """
+    found = found.withColumn(
+        "emails_found_count",
+        F.coalesce("emails_found_count", F.lit(0)) if "emails_found_count" in found.columns else F.lit(0),
+    )
+    if "specialties" in found.columns:
+        found = found.withColumn("specialties", F.when(F.size("specialties") > 0, F.col("specialties")))
     features = [c for c in current.columns if c not in _UPSERT_OWN]
     new = found.select(
         "lead_id",

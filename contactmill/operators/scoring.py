@@ -73,7 +73,8 @@ def condition_column(context: DataFrame, condition: Mapping) -> Column:
         return value.eqNullSafe(F.lit(wanted)) if isinstance(kind, T.StringType) else F.lit(False)
 
     def ordered(compare) -> Column:
-        if not numeric:
+        # A bound that is no number is met by nothing.
+        if not numeric or isinstance(wanted, bool) or not isinstance(wanted, (int, float)):
             return F.lit(False)
         return F.coalesce(compare(value, F.lit(float(wanted))), F.lit(False))
 

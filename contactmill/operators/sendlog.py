@@ -73,13 +73,13 @@ def breaker(send_log: DataFrame, as_of: datetime | str) -> DataFrame:
     )
 
 
-def _today(as_of: datetime | str) -> Column:
+def today_from(as_of: datetime | str) -> Column:
     return F.date_trunc("day", C.moment(as_of))
 
 
 def sent_today(send_log: DataFrame, as_of: datetime | str) -> DataFrame:
     """Sends of the UTC day in status ``sent``, and ``attempted`` whatever became of them."""
-    today = send_log.filter(F.col("sent_at") >= _today(as_of))
+    today = send_log.filter(F.col("sent_at") >= today_from(as_of))
     return today.agg(
         C.count_where(F.col("status") == "sent").alias("sent_today"), F.count("*").alias("attempted")
     )
@@ -128,7 +128,7 @@ def outreach_stats(send_log: DataFrame, as_of: datetime | str) -> DataFrame:
     single = send_log.filter("sequence_id IS NULL")
     return single.agg(
         F.count("*").alias("total"),
-        C.count_where(F.col("sent_at") >= _today(as_of)).alias("today"),
+        C.count_where(F.col("sent_at") >= today_from(as_of)).alias("today"),
     )
 
 
@@ -156,7 +156,7 @@ def _eligible(
 
 def outreach_eligible(
     leads: DataFrame, lead_emails: DataFrame, send_log: DataFrame, enrollments: DataFrame,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     rows = _eligible(leads, lead_emails, send_log, enrollments)
     return C.top(rows, [F.desc("score"), F.col("id")], limit)

@@ -73,7 +73,7 @@ def enrollment_counts(enrollments: DataFrame) -> DataFrame:
 # -- enrolment -------------------------------------------------------------------------------
 def eligible_for_enrollment(
     leads: DataFrame, lead_emails: DataFrame, enrollments: DataFrame, sequence_id: object,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Leads with a deliverable e-mail and a good score that are not in the sequence yet.
 
@@ -126,14 +126,11 @@ def stage_changes(enrolled: DataFrame) -> DataFrame:
 
 def due_enrollments(
     enrollments: DataFrame, leads: DataFrame, lead_emails: DataFrame, sequences: DataFrame,
-    as_of: datetime | str, limit: int | None = 50, keys_hold: bool = True,
+    as_of: datetime | str, limit: int | None = None,
 ) -> DataFrame:
     """Active enrolments of active sequences whose next send is due, oldest first.
 
-    ``keys_hold`` says that every enrolment has its lead and e-mail, as the keys of the tables
-    demand. The list is then cut to ``limit`` before the joins with those large tables, which are
-    left with a handful of rows. Without it the joins come first, so that an enrolment whose lead
-    or e-mail is missing takes nobody's place.
+    An enrolment whose lead or e-mail is missing takes nobody's place: the joins come before ``limit``.
     """
     order = [F.asc("next_send_at"), F.col("id")]
     due = enrollments.filter(
@@ -146,8 +143,6 @@ def due_enrollments(
         ),
         "sequence_id",
     )
-    if keys_hold and limit is not None:
-        due = C.top(due, order, limit)
     rows = (
         due.join(leads.select(F.col("id").alias("lead_id"), *lead_parts), "lead_id")
         .join(
@@ -301,7 +296,7 @@ def _paced(plan: DataFrame, rules: SendingRules, as_of: datetime | str) -> DataF
 def send_plan(
     enrollments: DataFrame, leads: DataFrame, lead_emails: DataFrame, sequences: DataFrame,
     steps: DataFrame, send_log: DataFrame, as_of: datetime | str,
-    rules: SendingRules = SendingRules(), limit: int = 50,
+    rules: SendingRules = SendingRules(), *, limit: int,
 ) -> DataFrame:
     """What a queue run would do with the due enrolments, and when.
 
@@ -335,7 +330,7 @@ def send_plan(
 
 def outreach_plan(
     leads: DataFrame, lead_emails: DataFrame, send_log: DataFrame, enrollments: DataFrame,
-    as_of: datetime | str, rules: SendingRules = SendingRules(), limit: int = 50,
+    as_of: datetime | str, rules: SendingRules = SendingRules(), *, limit: int,
 ) -> DataFrame:
     """The plan of single outreach mails within the remaining daily budget."""
     rows = S.outreach_eligible(leads, lead_emails, send_log, enrollments, limit)

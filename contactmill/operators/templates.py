@@ -21,8 +21,8 @@ def _block(word: str) -> str:
     return rf"\{{\{{#{word}\s+(\w+)\}}\}}([\s\S]*?)\{{\{{/{word}\}}\}}"
 
 
-def _rewrite(text: Column, pattern: str, replacement) -> Column:
-    """Replace every match by ``replacement(match)`` in a single pass over the text."""
+def _rewrite(text: Column, pattern: str, replacement, trace: str = "{{") -> Column:
+    """Replace every match by ``replacement(match)`` in a single pass over texts that hold the trace of one."""
 
     def rewritten(t: Column) -> Column:
         pieces = F.zip_with(
@@ -32,7 +32,7 @@ def _rewrite(text: Column, pattern: str, replacement) -> Column:
                 plain, F.when(match.isNull(), F.lit("")).otherwise(replacement(match))
             ),
         )
-        return F.when(t.contains("{{"), F.array_join(pieces, "")).otherwise(t)
+        return F.when(t.contains(trace), F.array_join(pieces, "")).otherwise(t)
 
     return let(text, rewritten)
 
@@ -55,7 +55,7 @@ def render(template: Column, variables: Column) -> Column:
             keep = is_set if keep_if_set else ~is_set
             return F.when(keep, F.regexp_extract(match, pattern, 2)).otherwise("")
 
-        return _rewrite(text, pattern, kept)
+        return _rewrite(text, pattern, kept, "{{#" + word)
 
     filled = _rewrite(template, _VARIABLE, lambda m: F.coalesce(value(m, _VARIABLE), m))
     return squeeze_ends(conditional(conditional(filled, "if", True), "unless", False))

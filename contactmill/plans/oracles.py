@@ -88,6 +88,19 @@ add(
     _SCORED,
 )
 
+_PREDICATES = [
+    ("equals", "business_type = 'agency'"), ("not equals", "source IS DISTINCT FROM 'yelp'"), ("above", "score > 50"),
+    ("at least", "google_rating >= 4.5"), ("below", "google_review_count < 10"), ("at most", "score <= 5"),
+    ("contains", "contains(lower(city), 'nation_1')"), ("absent", "website IS NULL"), ("present", "linkedin_url IS NOT NULL"),
+    ("flag", "has_multiple_tutors"),
+]
+add(
+    "rule_predicates", "leads lead_enrichment",
+    "SELECT id, CAST(least(30, 7 * (" + " + ".join(f"coalesce({c}, false)::INT" for _, c in _PREDICATES) + ")) AS INT) AS total_score, concat_ws(',', "
+    + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PREDICATES)
+    + ") AS rules FROM leads l LEFT JOIN lead_enrichment e ON e.lead_id = l.id",
+)
+
 # -- lead queries ---------------------------------------------------------------------------------
 _LEAD = "id, business_name, score, pipeline_stage"
 add("lead_by_id", "leads", f"SELECT {_LEAD} FROM leads WHERE id = {Q.ONE_LEAD}")
@@ -110,6 +123,17 @@ add(
     """SELECT p_partkey, CASE WHEN p_size > 2 THEN p_name END AS city, CASE WHEN p_size > 2 THEN p_type END AS state_province,
     CASE WHEN p_size > 2 AND p_size % 5 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'CA' END END AS country FROM part""",
 )
+add(
+    "place_files", "",
+    """SELECT 'P' || p_partkey AS place_id, pos, p_name AS name, CASE WHEN p_size % 5 <> 0 THEN 'OPERATIONAL' END AS business_status, p_size / 10 AS google_rating,
+    p_size AS google_review_count, p_brand AS city, 'CA' AS country FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) - 1 AS INT) AS pos FROM part)
+    WHERE (p_partkey // 200) % 5 <> 4 AND p_size % 7 <> 0""",
+)
+add(
+    "sequence_files", "",
+    """SELECT n_name AS name, 2 AS total_steps, 'active' AS status, 1 AS step_number, 0 AS delay_hours, 'Hello from ' || n_name AS subject_template FROM nation
+    UNION ALL SELECT n_name, 2, 'active', 2, n_regionkey * 24, 'Again' FROM nation""",
+)
 add(
     "manual_leads", "",
     f"""SELECT s_name AS business_name, CASE WHEN s_nationkey >= 12 THEN 'https://x.org' END AS website, CAST(s_nationkey AS VARCHAR) AS city, 'manual' AS source,
@@ -202,6 +226,12 @@ add(
     ),
 )
 
+add(
+    "listing_filter_ids", _L4,
+    f"""SELECT 'without-emails' AS filter, id FROM ({_reenrich(Q.ENRICH_AT)}) UNION ALL SELECT 'outreach-pending', id FROM ({_FILTERS['outreach-pending']})
+    UNION ALL SELECT 'catch-all', id FROM ({_FILTERS['catch-all']})""",
+)
+
 
 def _search(term: str) -> str:
     return f"(contains(lower(business_name), '{term}') OR contains(lower(city), '{term}') OR coalesce(contains(lower(website), '{term}'), false))"
@@ -235,7 +265,7 @@ add(
 add(
     "deleted_emails", "lead_emails sequence_enrollments",
     """SELECT id, 'email' AS kind FROM lead_emails WHERE id IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 470000)
-    UNION ALL SELECT id, 'enrollment' FROM sequence_enrollments WHERE email_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 470000)""",
+    UNION ALL SELECT id, 'enrollment' FROM sequence_enrollments WHERE email_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 470000)""",
 )
 add(
     "stage_updates", "leads lead_enrichment",
@@ -364,7 +394,7 @@ def _features(tools: list[str], staff: list[str], topics: list[str]) -> str:
     tool = "coalesce(" + ", ".join(f"CASE WHEN contains(low, '{w}') THEN '{w}' END" for w in tools) + ")"
     people = " OR ".join(f"contains(low, '{w}')" for w in staff)
     return f"""SELECT doc_id, {tool} AS tool, ({people}) AS has_staff,
-      array_to_string(list_filter([{_words(topics)}], lambda w: contains(low, w))[1:10], ',') AS topics FROM (SELECT doc_id, lower(text) AS low FROM documents)"""
+      array_to_string(list_filter([{_words(topics)}], lambda w: contains(low, w)), ',') AS topics FROM (SELECT doc_id, lower(text) AS low FROM documents)"""
 
 
 add("document_features", "", _features(Q.TOOL_WORDS, Q.STAFF_WORDS, Q.TOPIC_WORDS))
@@ -374,7 +404,24 @@ add(
     "lead_sites", "leads",
     """SELECT id, CASE WHEN website IS NOT NULL THEN 'https://site' || id || '.example.net' END AS base_url,
     CASE WHEN website IS NOT NULL THEN 'site' || id || '.example.net' END AS site, CASE WHEN website IS NOT NULL THEN 'example.net' END AS domain,
-    false AS skipped FROM leads""",
+    id % 6 = 0 AS skipped FROM leads""",
+)
+add(
+    "root_domains", "",
+    """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'shop' || s_nationkey || '.on.ca' WHEN 1 THEN 'shop' || s_nationkey || '.wixsite.com'
+    WHEN 2 THEN 'example.org' ELSE 'shop' || s_nationkey || '.co.uk' END AS domain FROM supplier""",
+)
+add(
+    "markup_places", "",
+    """SELECT page_id, 'spot' || page_id || '@site.org' AS email, CASE page_id % 11 WHEN 0 THEN 'Jo' WHEN 1 THEN 'data attribute' WHEN 2 THEN 'structured data'
+    WHEN 3 THEN 'meta tag' WHEN 4 THEN 'schema.org itemprop' WHEN 5 THEN 'form action mailto' WHEN 6 THEN 'form recipient field' WHEN 7 THEN 'footer'
+    WHEN 8 THEN 'contact section' WHEN 9 THEN 'hidden input' ELSE 'cloudflare protected' END AS context FROM pages""",
+)
+add("spelled_forms", "", "SELECT doc_id, 'spot' || doc_id || '@site.org' AS email FROM documents")
+add(
+    "social_links", "",
+    """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://linkedin.com/company/c' || page_id END AS linkedin_url,
+    CASE WHEN page_id % 3 = 0 THEN 'https://facebook.com/p' || page_id END AS facebook_url FROM pages""",
 )
 add(
     "strip_html", "",
@@ -419,6 +466,20 @@ add(
       max(30 + {_LINK_POINTS}) AS score FROM a
     WHERE NOT regexp_matches(lower(href), '{fv.SOCIAL_LINK}') AND ({_either(Q.LINK_STRICT)} OR {_either(Q.LINK_BROAD)}) GROUP BY 1, 2, 3""",
 )
+_NAV_HREF = "href NOT IN ('/team', '/our-staff')"
+add(
+    "ranked_contact_links", "",
+    f"""WITH menu AS (SELECT page_id, url, replace(html, '<body>', '<body><nav><a href="/contact">Contact us</a><a href="/about-us">About</a><a href="/blog">Blog</a></nav>'
+      || '<a href="/team">Meet the team</a>' || CASE WHEN page_id % 3 = 0 THEN '<a href="/our-staff">Staff</a>' ELSE '' END) AS html FROM pages),
+    a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
+      unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS text, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS n FROM menu),
+    best AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || split_part(regexp_replace(href, '/$', ''), '?', 1) AS link,
+      max(CASE WHEN {_NAV_HREF} THEN 30 ELSE 0 END + {_LINK_POINTS}) AS score, min(n) AS n FROM a
+      WHERE NOT regexp_matches(lower(href), 'facebook|linkedin|twitter|instagram|youtube|tiktok')
+      AND ({_either('contact|about|team|staff|people|connect|reach|get.?in.?touch|inquiry|support|founder|owner|leadership|meet|principal')}
+        OR {_NAV_HREF} AND {_either('meet|our|story|approach|learn|tutor|work|welcome|hire|bio|profile')}) GROUP BY 1, 2)
+    SELECT page_id, link, score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, n, link) AS INT) AS rank FROM best""",
+)
 add(
     "new_lead_emails", "leads lead_emails",
     f"""SELECT lead_id, email, role, row_number() OVER (PARTITION BY lead_id ORDER BY rank DESC, n) = 1 AS is_primary FROM (
@@ -446,8 +507,7 @@ plain AS (SELECT page_id, url, html, {_SITE} AS site, trim(regexp_replace(regexp
 written AS (SELECT page_id, lower(unnest(regexp_extract_all(text, '{fv.EMAIL_PATTERN}'))) AS email,
   generate_subscripts(regexp_extract_all(text, '{fv.EMAIL_PATTERN}'), 1) AS n FROM plain),
 checked AS (SELECT page_id, email, min(n) AS n FROM written WHERE {_valid(Q.BLOCKED)} GROUP BY 1, 2),
-mails AS (SELECT page_id, CAST(count(*) AS INT) AS n_emails, string_agg(email, ',' ORDER BY n) AS emails FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS rn FROM checked) WHERE rn <= 2 GROUP BY 1),
+mails AS (SELECT page_id, CAST(count(*) AS INT) AS n_emails, string_agg(email, ',' ORDER BY n) AS emails FROM checked GROUP BY 1),
 features AS (SELECT page_id, site, url, html, text, coalesce(n_emails, 0) AS n_emails, coalesce(emails, '') AS emails,
   coalesce({', '.join(f"CASE WHEN contains(lower(html || ' ' || text), '{w}') THEN '{w}' END" for w in fv.SCHEDULING_TOOLS)}) AS scheduling_tool,
   ({' OR '.join(f"contains(lower(text), '{w}')" for w in fv.STAFF_PHRASES)}) AS has_multiple_tutors,
@@ -455,20 +515,30 @@ features AS (SELECT page_id, site, url, html, text, coalesce(n_emails, 0) AS n_e
   {' + '.join(f"CASE WHEN contains(lower(text), '{w}') THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i, w in enumerate(fv.SPECIALTIES))} AS specialty_bits,
   CAST(length(text) AS INT) AS text_length FROM plain LEFT JOIN mails USING (page_id))
 """
+_BIT_WORDS = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN {{0}} & {1 << i} <> 0 THEN '{w}' END" for i, w in enumerate(fv.SPECIALTIES)
+) + "], lambda w: w IS NOT NULL), ',')"
+_BOT = " OR ".join(f"contains(html, '{w}')" for w in fv.BOT_PAGE_MARKERS)
 _SQL["page_features"] = f"""WITH {_PAGES} SELECT page_id, site, n_emails, emails, scheduling_tool, has_multiple_tutors, linkedin_url, facebook_url,
-  specialty_bits, text_length FROM features"""
-_SQL["site_features"] = f"""WITH {_PAGES},
-  limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rn FROM features
-    WHERE NOT ({' OR '.join(f"contains(html, '{w}')" for w in fv.BOT_PAGE_MARKERS)})) WHERE rn <= 12),
-  addresses AS (SELECT site, email, min((page_id, n)) AS place FROM limited JOIN checked USING (page_id) GROUP BY 1, 2),
-  first_two AS (SELECT site, string_agg(email, ',' ORDER BY place) AS emails FROM (
-    SELECT *, row_number() OVER (PARTITION BY site ORDER BY place) AS rn2 FROM addresses) WHERE rn2 <= 2 GROUP BY 1),
-  sites AS (SELECT site, count(*) AS pages_read, min_by(scheduling_tool, page_id) FILTER (scheduling_tool IS NOT NULL) AS scheduling_tool,
-    bool_or(has_multiple_tutors) AS has_multiple_tutors, bit_or(specialty_bits) AS bits FROM limited GROUP BY 1)
-  SELECT site, pages_read, coalesce(emails, '') AS emails, scheduling_tool, has_multiple_tutors, CAST(NULL AS VARCHAR) AS linkedin_url,
-    CAST(NULL AS VARCHAR) AS facebook_url,
-    array_to_string(list_filter([{', '.join(f"CASE WHEN bits & {1 << i} <> 0 THEN '{w}' END" for i, w in enumerate(fv.SPECIALTIES))}], lambda w: w IS NOT NULL)[1:10], ',') AS specialties
-  FROM sites LEFT JOIN first_two USING (site)"""
+  {_BIT_WORDS.format('specialty_bits')} AS specialties, text_length FROM features"""
+_SQL["site_features"] = f"""WITH {_PAGES}
+  SELECT site, count(*) AS pages_read, min_by(scheduling_tool, page_id) FILTER (scheduling_tool IS NOT NULL) AS scheduling_tool,
+    bool_or(has_multiple_tutors) AS has_multiple_tutors, CAST(NULL AS VARCHAR) AS linkedin_url, CAST(NULL AS VARCHAR) AS facebook_url,
+    {_BIT_WORDS.format('bit_or(specialty_bits)')} AS specialties FROM features WHERE NOT ({_BOT}) GROUP BY site"""
+_SQL["site_emails"] = f"""WITH {_PAGES},
+  placed AS (SELECT site, email, page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS pos
+    FROM features JOIN checked USING (page_id) WHERE NOT ({_BOT})),
+  first_ones AS (SELECT *, row_number() OVER (PARTITION BY site, email ORDER BY page_id, pos) AS rn FROM placed)
+  SELECT site, email, {_role(_LOCAL, "''")} AS role, page_id, pos FROM first_ones WHERE rn = 1"""
+_SQL["enrichment_round"] = _with(
+    _E3,
+    """SELECT lead_id, attempts + 1 AS enrichment_attempts, CAST(n AS INT) AS emails_found_count, n = 0 AND attempts + 1 < 3 AS offered_again FROM tried""",
+    f"""{_PAGES}, queue AS ({_reenrich(Q.ENRICH_AT)}), usable AS (SELECT page_id, page_id % 150 AS lead FROM features WHERE NOT ({_BOT})),
+  shown AS (SELECT lead, email FROM usable JOIN checked USING (page_id)
+    UNION SELECT lead, 'info' || page_id || '@site' || lead || '.org' FROM usable WHERE page_id % 2 = 0),
+  tried AS (SELECT q.id AS lead_id, coalesce(e.enrichment_attempts, 0) AS attempts, (SELECT count(*) FROM shown WHERE lead = q.id) AS n
+    FROM queue q LEFT JOIN lead_enrichment e ON e.lead_id = q.id)""",
+)
 
 # -- verification ----------------------------------------------------------------------------------
 _VERIFIED = """
@@ -536,6 +606,25 @@ add(
     "SELECT s.status, count(e.id) AS n FROM (VALUES " + ", ".join(f"('{s}')" for s in fv.ENROLMENT_STATUSES)
     + ") s(status) LEFT JOIN sequence_enrollments e USING (status) GROUP BY 1",
 )
+add(
+    "enroll_stages", _G3,
+    "SELECT id, CASE WHEN id IN (SELECT id FROM eligible) THEN 'contacted' ELSE pipeline_stage END AS pipeline_stage FROM leads",
+    _ELIGIBLE,
+)
+add(
+    "newest_sequences", "sequences",
+    """SELECT s.id, name, status, created_at FROM sequences s JOIN (SELECT o_orderkey % 5 AS id, CAST(max(o_orderdate) AS TIMESTAMP) AS created_at
+    FROM orders GROUP BY 1) o ON o.id = s.id ORDER BY created_at DESC, s.id""",
+)
+add(
+    "appended_sends", "send_log sequence_enrollments",
+    f"""SELECT id, lead_id, step_number, ses_message_id, status, sent_at FROM send_log
+    UNION ALL SELECT id, lead_id, current_step + 1, NULL, 'sent', TIMESTAMP '{Q.SEND_AT}' FROM sequence_enrollments WHERE status = 'active'""",
+)
+add(
+    "send_status_by_id", "send_log",
+    "SELECT id, CASE WHEN status = 'sent' THEN CASE WHEN id % 2 = 0 THEN 'delivered' ELSE 'bounced' END ELSE status END AS status FROM send_log",
+)
 add("sequence_status_updates", "sequences", "SELECT id, name, total_steps, CASE WHEN name = 'ASIA' THEN 'archived' ELSE status END AS status FROM sequences")
 _TEXTS = """texts AS (SELECT l.* REPLACE (CASE WHEN source = 'yelp' THEN 'Ann''s ' || business_name ELSE business_name END AS business_name), has_multiple_tutors
   FROM leads l LEFT JOIN lead_enrichment e ON e.lead_id = l.id)"""
@@ -627,7 +716,6 @@ add(
     """SELECT s.id, coalesce(e.status, s.status) AS status FROM send_log s
     LEFT JOIN (SELECT ses_message_id, max_by(status, (sent_at, status)) AS status FROM send_log WHERE status <> 'sent' GROUP BY 1) e USING (ses_message_id)""",
 )
-_CALM = "calm AS (SELECT * FROM send_log WHERE status NOT IN ('bounced', 'complained') AND NOT (status = 'sent' AND sent_at >= TIMESTAMP '2024-01-24'))"
 _PLAN = _due(Q.PLAN_AT) + ", plan AS (SELECT *, CASE WHEN rank > 20 THEN 'hold' WHEN current_step >= 3 THEN 'complete' ELSE 'send' END AS outcome FROM due)"
 add(
     "send_plan", _G4,
@@ -636,10 +724,13 @@ add(
     _PLAN,
 )
 add(
-    "send_plan_paused", _G4 + " send_log",
-    f"""SELECT 'hold' AS outcome, 'paused: ' || ({_REASON}) AS hold_reason, (SELECT count(*) FROM due) AS n FROM {_stats(Q.PLAN_AT, 1)}""",
+    "send_plan_gates", _G4 + " send_log",
+    f"""SELECT 'hold' AS outcome, 'paused: ' || ({_REASON}) AS hold_reason, (SELECT count(*) FROM due) AS n, 'paused' AS gate FROM {_stats(Q.PAUSED_AT, 1)}
+    UNION ALL SELECT 'hold', 'outside sending window', count(*), 'closed' FROM due
+    UNION ALL SELECT 'hold', 'daily limit reached', count(*), 'spent' FROM due""",
     _due(Q.PLAN_AT),
 )
+add("planned_times", _G4, "SELECT id, CAST(rank AS INT) AS rank, true AS delay_fits, true AS time_fits FROM plan", _PLAN)
 _NEXT = _DELAY.format(step="(s.current_step + 2)")
 add(
     "booked_results", _G4,
@@ -654,7 +745,7 @@ add(
 add(
     "outreach_plan", _H4,
     "SELECT id, email_id, CAST(rank AS INT) AS rank, CASE WHEN rank <= 20 THEN 'send' ELSE 'hold' END AS outcome, CASE WHEN rank > 20 THEN 'beyond daily budget' END AS hold_reason FROM queue",
-    _CALM + ", " + _outreach("calm", 50),
+    _outreach("send_log", 50),
 )
 _ENROLLED = ", ".join(f"(SELECT count(*) FROM sequence_enrollments WHERE status = '{s}') AS enrolled_{s}" for s in fv.ENROLMENT_STATUSES)
 _WEEK = ", ".join(f"{c} AS week_{c}" for c in fv.SEND_STATUSES + ["bounce_rate", "complaint_rate"])
@@ -746,13 +837,11 @@ add(
 )
 
 # -- streams and their batch forms ------------------------------------------------------------------
-# A stream emits a window once the latest send is an hour past its end.
-_OVER = "(SELECT max(sent_at) - INTERVAL 1 HOUR FROM send_log)"
-add("stream_daily_sent", "send_log", f"SELECT * FROM ({_DAYS}) WHERE day + INTERVAL 1 DAY <= {_OVER}")
+add("stream_daily_sent", "send_log", _DAYS)
 _ROLLING = f"""SELECT judged_at, total, bounce_rate, complaint_rate, reason IS NOT NULL AS pause, reason FROM (SELECT *, {_REASON} AS reason FROM (SELECT *, {_rates()} FROM (
   SELECT date_trunc('hour', sent_at) + to_hours(CAST(k AS INT)) AS judged_at, {_SIX} FROM send_log, range(1, 25) h(k) GROUP BY 1)))"""
 add("rolling_breaker", "send_log", _ROLLING)
-add("stream_rolling_breaker", "send_log", f"SELECT * FROM ({_ROLLING}) WHERE judged_at <= {_OVER}")
+_SQL["stream_rolling_breaker"] = _SQL["rolling_breaker"]
 _REFUSED = "(coalesce(status_code IN (403, 429), false) OR coalesce(bot_page, false))"
 _RUNNING = "OVER (PARTITION BY domain ORDER BY fetched_at, fetch_id ROWS UNBOUNDED PRECEDING)"
 add(
@@ -770,7 +859,11 @@ add(
     CASE WHEN count(*) FILTER (network_error) >= 3 THEN max(fetched_at) FILTER (network_error) + INTERVAL 5 MINUTE END AS rests_until FROM fetch_log GROUP BY 1""",
 )
 _SQL["stream_domain_backoff"] = _SQL["domain_backoff"]
-add("new_records", "", "SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) AS source_id FROM events")
+add(
+    "new_records", "",
+    """SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) AS source_id FROM events
+    WHERE event_type <> 'view' OR user_id NOT IN (SELECT c_custkey FROM customer)""",
+)
 _SQL["stream_new_records"] = _SQL["new_records"]
 
 

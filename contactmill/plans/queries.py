@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactmill.functions import columns as C
@@ -28,7 +29,7 @@ from contactmill.operators import verify as D
 from contactmill.plans.views import Tables
 from contactmill.session import scratch, stored
 from contactmill.sources import exports, tables
-from contactmill.sources.files import load_rules
+from contactmill.sources.files import load_rules, place_records, read_place_details, read_places, read_sequence_files
 from contactmill.streaming import backoff, delivery, runs
 
 SEND_AT = "2024-01-31 00:00:00"
@@ -99,6 +100,26 @@ def save_scores(t):
     return rows.select("id", "score", "pipeline_stage")
 
 
+@query
+def rule_predicates(t):
+    """All nine predicates, and bounds that nothing can meet."""
+    conditions = {
+        "equals": ("business_type", "equals", "agency"), "not equals": ("source", "not_equals", "yelp"),
+        "above": ("score", "gt", 50), "at least": ("google_rating", "gte", 4.5), "below": ("google_review_count", "lt", 10),
+        "at most": ("score", "lte", 5), "contains": ("city", "contains", "nation_1"), "absent": ("website", "is_null", None),
+        "present": ("enrichment.linkedin_url", "not_null", None), "flag": ("enrichment.has_multiple_tutors", "equals", True),
+        "null bound": ("score", "gt", None), "text bound": ("score", "lt", "many"), "text compared": ("city", "gt", 1),
+        "unknown field": ("shoe_size", "gte", 1), "unknown operator": ("score", "near", 1),
+    }
+    rules = [
+        {"id": name, "name": name, "points": 7, "condition": {"field": f, "operator": o, "value": v}}
+        for name, (f, o, v) in conditions.items()
+    ]
+    context = K.score_context(t.leads, t.lead_emails, t.lead_enrichment)
+    scored = K.with_scores(context, {"rules": rules, "maxScore": 30})
+    return scored.select("id", "total_score", F.array_join(F.transform("applied_rules", lambda r: r["rule_id"]), ",").alias("rules"))
+
+
 # -- lead queries ---------------------------------------------------------------------------------
 @query
 def lead_by_id(t):
@@ -112,12 +133,12 @@ def lead_by_source_id(t):
 
 @query
 def leads_top_scored(t):
-    return L.top_scored(t.leads).select(*LEAD)
+    return L.top_scored(t.leads, 100).select(*LEAD)
 
 
 @query
 def leads_by_stage(t):
-    return L.of_stage(t.leads, "new").select(*LEAD)
+    return L.of_stage(t.leads, "new", 100).select(*LEAD)
 
 
 @query
@@ -224,25 +245,24 @@ def source_counts(t):
 
 @query
 def extended_stats(t):
-    return L.extended_stats(
-        t.leads, t.lead_emails, t.lead_enrichment, t.send_log, SEND_AT
-    ).drop("by_stage", "by_source")
+    return L.extended_stats(t.leads, t.lead_emails, t.lead_enrichment, t.send_log, SEND_AT)
 
 
 @query
 def listing_filter_counts(t):
     """Size and id sum of every named lead filter."""
+    return L.listing_counts(t.leads, t.lead_emails, t.lead_enrichment, t.send_log, SEND_AT)
+
+
+@query
+def listing_filter_ids(t):
+    """The leads of some named filters, each by its own joins."""
 
     def one(name: str) -> DataFrame:
-        rows = L.filtered(name, t.leads, t.lead_emails, t.lead_enrichment, t.send_log, SEND_AT)
-        return rows.agg(F.count("*").alias("n"), F.sum("id").alias("id_sum")).select(
-            F.lit(name).alias("filter"), "n", "id_sum"
-        )
+        rows = L.filtered(name, t.leads, t.lead_emails, t.lead_enrichment, t.send_log, ENRICH_AT)
+        return rows.select(F.lit(name).alias("filter"), "id")
 
-    first, *rest = [one(name) for name in L.LISTING_FILTERS]
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    return one("without-emails").unionByName(one("outreach-pending")).unionByName(one("catch-all"))
 
 
 @query
@@ -365,6 +385,60 @@ def address_parts(t):
     return t.part.select("p_partkey", B.parse_address(components).alias("a")).select("p_partkey", "a.*")
 
 
+@query
+def place_files(t):
+    """Search pages and detail records written as JSON files, a page of 200 parts each, and read back."""
+    where = scratch(t.spark)
+    page = F.floor(F.col("p_partkey") / 200)
+    place_id = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+
+    def files(name: str, record: Column, text) -> str:
+        one = t.part.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", record.alias("r")))).alias("rs"))
+        body = one.select(text(F.transform("rs", lambda r: r["r"]), F.col("page")).alias("value"))
+        body.write.option("maxRecordsPerFile", 1).text(f"{where}/{name}")
+        return f"{where}/{name}"
+
+    found = F.struct(
+        place_id.alias("place_id"), F.col("p_name").alias("name"),
+        F.when(F.col("p_size") % 5 != 0, "OPERATIONAL").alias("business_status"),
+    )
+    status = lambda n: F.when(n % 5 == 4, "OVER_QUERY_LIMIT").otherwise("OK")
+    search = files("search", found, lambda rs, n: F.to_json(F.struct(status(n).alias("status"), rs.alias("results"))))
+    parts = F.array(
+        F.struct(F.col("p_brand").alias("long_name"), F.lit("x").alias("short_name"), F.array(F.lit("locality")).alias("types")),
+        F.struct(F.lit("Land").alias("long_name"), F.lit("CA").alias("short_name"), F.array(F.lit("country")).alias("types")),
+    )
+    detail = F.struct(
+        F.when(F.col("p_size") % 7 == 0, "NOT_FOUND").otherwise("OK").alias("status"),
+        F.struct(
+            place_id.alias("place_id"), F.col("p_name").alias("name"), (F.col("p_size") / 10).alias("rating"),
+            F.col("p_size").alias("user_ratings_total"), parts.alias("address_components"),
+        ).alias("result"),
+    )
+    details = files("details", detail, lambda rs, n: F.to_json(rs))
+    records = place_records(read_places(t.spark, search), read_place_details(t.spark, details), "run")
+    return records.select(
+        "place_id", F.col("seq.pos").alias("pos"), "name", "business_status", "google_rating", "google_review_count", "city", "country"
+    )
+
+
+@query
+def sequence_files(t):
+    """A sequence file per nation, written and read back."""
+    where = f"{scratch(t.spark)}/sequences"
+    step = lambda subject, hours: F.struct(
+        F.lit(9).alias("step_number"), hours.alias("delay_hours"), subject.alias("subject_template"), F.lit("Hi").alias("body_template")
+    )
+    steps = F.array(
+        step(F.concat(F.lit("Hello from "), "n_name"), F.lit(None).cast("int")), step(F.lit("Again"), F.col("n_regionkey") * 24)
+    )
+    rows = t.nation.select(F.to_json(F.struct(F.col("n_name").alias("name"), steps.alias("steps"))).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).text(where)
+    sequences, made = read_sequence_files(t.spark, where, SEND_AT)
+    names = sequences.select(F.col("id").alias("sequence_id"), "name", "total_steps", "status")
+    return made.join(names, "sequence_id").select("name", "total_steps", "status", "step_number", "delay_hours", "subject_template")
+
+
 @query
 def manual_leads(t):
     wanted = t.supplier.select(
@@ -408,7 +482,7 @@ def run_log(t):
         F.when(F.col("run_id") == "run2", "quota exceeded").alias("error_message"),
     )
     finished = B.finish_runs(started, results, SEND_AT)
-    return B.recent_runs(finished).select(
+    return B.recent_runs(finished, 10).select(
         "id", "leads_found", "leads_new", "leads_duplicate", "status", "completed_at", "error_message"
     )
 
@@ -544,12 +618,74 @@ def lead_sites(t):
     bare = F.regexp_replace("website", "^https://", "")
     site = F.when(F.col("source") == "yelp", F.concat(bare, F.lit("/"))).otherwise(F.col("website"))
     url = X.base_url(site)
+    name = F.when(F.col("id") % 6 == 0, F.concat(F.lit("KUMON of "), "business_name")).otherwise(F.col("business_name"))
     return t.leads.select(
         "id", url.alias("base_url"), P.site_of(url).alias("site"), X.root_domain(P.site_of(url)).alias("domain"),
-        X.is_skipped_lead(F.col("business_name"), site).alias("skipped"),
+        X.is_skipped_lead(name, site).alias("skipped"),
     )
 
 
+@query
+def root_domains(t):
+    """Hosts under public suffixes of one and two labels and under hosting platforms."""
+    suffix = F.get(F.array(*map(F.lit, ["on.ca", "wixsite.com", "example.org", "co.uk"])), (F.col("s_suppkey") % 4).cast("int"))
+    host = F.concat(F.lit("www.shop"), F.col("s_nationkey").cast("string"), F.lit("."), suffix)
+    return t.supplier.select("s_suppkey", X.root_domain(host).alias("domain"))
+
+
+# Each place of a page that may hold an address, which stands for {e}.
+PLACES = [
+    '<a href="mailto:{e}?subject=x">Jo</a>', '<p data-email="{e}">x</p>',
+    '<script type="application/ld+json">{"@graph": [{"a": {"workEmail": "mailto:{e}"}}]}</script>',
+    '<meta name="email" content="{e}">', '<span itemprop="email"> {e} </span>', '<form action="mailto:{e}?x=1"></form>',
+    '<input name="_replyto" value=" {e} ">', '<div class="a site-footer">{user} (at) site (dot) org </div>',
+    '<div id="contact">{e} </div>', '<input type="hidden" value="to={e};cc=x">', '<span data-cfemail="{cf}">x</span>',
+]
+
+
+@query
+def markup_places(t):
+    """An address in one of the places of each page, found again with its context."""
+    user = F.concat(F.lit("spot"), F.col("page_id").cast("string"))
+    email = F.concat(user, F.lit("@site.org"))
+    letters = F.transform(
+        F.sequence(F.lit(1), F.length(email)),
+        lambda i: F.lpad(F.lower(F.hex(F.ascii(F.substring(email, i, F.lit(1))).bitwiseXOR(F.lit(42)))), 2, "0"),
+    )
+    kind = (F.col("page_id") % len(PLACES)).cast("int")
+    place = F.get(F.array(*map(F.lit, PLACES)), kind)
+    for mark, value in (("{e}", email), ("{user}", user), ("{cf}", F.concat(F.lit("2a"), F.array_join(letters, "")))):
+        place = F.replace(place, F.lit(mark), value)
+    pages = t.pages.withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), place)))
+    found = P.page_features(P.with_site(pages), blocked=BLOCKED).select("page_id", F.explode("emails").alias("e"))
+    return found.filter(F.col("e.email").startswith("spot")).select("page_id", "e.email", "e.context")
+
+
+@query
+def spelled_forms(t):
+    """Documents with an address in one of the spelled forms ahead of their text."""
+    forms = [
+        "{u} (at) site (dot) org", "{u} [at] site [dot] org", "{u} {at} site {dot} org", "{u} <at> site <dot> org",
+        "{u} at site dot org", "{u} AT site DOT org", "{u}-at-site-dot-org", "{u}&#64;site.org",
+    ]
+    user = F.concat(F.lit("spot"), F.col("doc_id").cast("string"))
+    form = F.get(F.array(*map(F.lit, forms)), (F.col("doc_id") % len(forms)).cast("int"))
+    text = F.concat(F.lit("Write to "), F.replace(form, F.lit("{u}"), user), F.lit(" or call.\n"), "text")
+    found = t.documents.select("doc_id", F.explode(F.array_distinct(hidden_emails(text))).alias("email"))
+    return found.filter(F.col("email").startswith("spot"))
+
+
+@query
+def social_links(t):
+    """Company and profile links of a page, with share buttons among them."""
+    page_id = F.col("page_id").cast("string")
+    company = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a href="https://linkedin.com/company/c'), page_id, F.lit('">in</a>'))).otherwise("")
+    profile = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a href="https://facebook.com/p'), page_id, F.lit('">f</a>'))).otherwise("")
+    share = F.lit('<a href="https://facebook.com/sharer/x">share</a><a href="https://facebook.com/share.php?u=1">share</a>')
+    pages = t.pages.withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), company, profile, share)))
+    return P.page_features(P.with_site(pages), blocked=BLOCKED).select("page_id", "linkedin_url", "facebook_url")
+
+
 @query
 def strip_html(t):
     return t.pages.select("page_id", F.md5(X.strip_html(F.col("html"))).alias("text_md5"))
@@ -563,7 +699,7 @@ def usable_pages(t):
 
 @query
 def site_page_limit(t):
-    return P.first_pages_per_site(P.with_site(t.pages)).select("page_id", "site")
+    return P.first_pages_per_site(P.with_site(t.pages), fv.MAX_PAGES_PER_SITE).select("page_id", "site")
 
 
 @query
@@ -581,8 +717,8 @@ def page_features(t):
     return rows.select(
         "page_id", "site", F.size("emails").alias("n_emails"),
         F.array_join(F.transform("emails", lambda e: e["email"]), ",").alias("emails"),
-        "scheduling_tool", "has_multiple_tutors", "linkedin_url", "facebook_url", "specialty_bits",
-        "text_length",
+        "scheduling_tool", "has_multiple_tutors", "linkedin_url", "facebook_url",
+        F.array_join(C.words_of_mask(F.col("specialty_bits"), fv.SPECIALTIES), ",").alias("specialties"), "text_length",
     )
 
 
@@ -590,9 +726,7 @@ def page_features(t):
 def site_features(t):
     rows = P.site_features(t.pages, blocked=BLOCKED)
     return rows.select(
-        "site", "pages_read",
-        F.array_join(F.transform("emails", lambda e: e["email"]), ",").alias("emails"),
-        "scheduling_tool", "has_multiple_tutors", "linkedin_url", "facebook_url",
+        "site", "pages_read", "scheduling_tool", "has_multiple_tutors", "linkedin_url", "facebook_url",
         F.array_join("specialties", ",").alias("specialties"),
     )
 
@@ -600,27 +734,41 @@ def site_features(t):
 @query
 def contact_links(t):
     """The shipped patterns hardly match the synthetic pages, so frequent words stand in."""
-    return P.contact_links(t.pages, strict=LINK_STRICT, broad=LINK_BROAD).drop("first_pos")
+    return P.contact_links(t.pages, strict=LINK_STRICT, broad=LINK_BROAD).drop("first_pos", "rank")
+
+
+@query
+def ranked_contact_links(t):
+    """The shipped patterns on pages whose links lead to contact pages, best first."""
+    menu = F.concat(
+        F.lit('<nav><a href="/contact">Contact us</a><a href="/about-us">About</a><a href="/blog">Blog</a></nav>'),
+        F.lit('<a href="/team">Meet the team</a>'), F.when(F.col("page_id") % 3 == 0, F.lit('<a href="/our-staff">Staff</a>')).otherwise(""),
+    )
+    pages = t.pages.withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), menu)))
+    links = P.contact_links(pages)
+    return links.select("page_id", "link", "score", "rank")
+
+
+@query
+def site_emails(t):
+    found = P.site_emails(P.site_pages(t.pages, blocked=BLOCKED))
+    return found.select("site", "email", "role", F.col("first_at.page_id").alias("page_id"), F.col("first_at.pos").alias("pos"))
 
 
 @query
 def new_lead_emails(t):
-    """Two addresses per lead: its oldest known one in capitals, and a general one."""
+    """Addresses per lead: its oldest known one in capitals, a general one and for some a personal one."""
     first = L.primary_email(t.lead_emails).select(F.col("lead_id").alias("id"), F.upper("email").alias("_known"))
-    both = F.array_compact(
+    found = F.array_compact(
         F.array(
             F.concat(F.lit("info@site"), F.col("id").cast("string"), F.lit(".org")),
             F.lower("_known"),
             F.when(F.col("source") == "yelp", F.concat(F.lit("ann.lee@site"), F.col("id").cast("string"), F.lit(".org"))),
         )
     )
-    enriched = t.leads.join(first, "id", "left").select(
-        F.col("id").alias("lead_id"),
-        F.transform(
-            both, lambda e: F.struct(e.alias("email"), E.email_role(e, F.lit("")).alias("role"))
-        ).alias("emails"),
-    )
-    return P.new_lead_emails(enriched, t.lead_emails, SEND_AT).select("lead_id", "email", "role", "is_primary")
+    rows = t.leads.join(first, "id", "left").select(F.col("id").alias("lead_id"), F.posexplode(found).alias("pos", "email"))
+    rows = rows.withColumn("role", E.email_role(F.col("email"), F.lit("")))
+    return P.new_lead_emails(rows, t.lead_emails, SEND_AT).select("lead_id", "email", "role", "is_primary")
 
 
 @query
@@ -632,6 +780,34 @@ def upsert_enrichment(t):
     return P.upsert_enrichment(t.lead_enrichment, found, SEND_AT)
 
 
+def _lead_pages(t: Tables) -> DataFrame:
+    """The pages as pages of the leads' sites, every second one with an address in its text."""
+    lead = F.col("page_id") % 150
+    line = F.when(
+        F.col("page_id") % 2 == 0, F.concat(F.lit("<p> info"), F.col("page_id").cast("string"), F.lit("@site"), lead.cast("string"), F.lit(".org </p>"))
+    ).otherwise("")
+    return t.pages.select(
+        "page_id", F.concat(F.lit("https://www.site"), lead.cast("string"), F.lit(".example.net/p")).alias("url"),
+        F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), line)).alias("html"),
+    )
+
+
+@query
+def enrichment_round(t):
+    """Queue, sites, new addresses and upsert; then the queue again, a month later."""
+    queue = L.reenrich_queue(t.leads, t.lead_emails, t.lead_enrichment, ENRICH_AT)
+    features = P.site_pages(_lead_pages(t), blocked=BLOCKED)
+    enriched = P.enrich_leads(queue, P.merge_sites(features))
+    added = P.new_lead_emails(P.lead_addresses(enriched, P.site_emails(features)), t.lead_emails, ENRICH_AT)
+    snapshot = P.upsert_enrichment(t.lead_enrichment, P.counted(enriched, added), ENRICH_AT)
+    emails = t.lead_emails.select("lead_id").unionByName(added.select("lead_id"))
+    again = L.reenrich_queue(t.leads, emails, snapshot, "2001-09-15 00:00:00").select(F.col("id").alias("lead_id"), F.lit(True).alias("offered_again"))
+    rows = snapshot.join(queue.select(F.col("id").alias("lead_id")), "lead_id", "left_semi")
+    return rows.join(again, "lead_id", "left").select(
+        "lead_id", "enrichment_attempts", "emails_found_count", F.coalesce("offered_again", F.lit(False)).alias("offered_again")
+    )
+
+
 # -- verification ----------------------------------------------------------------------------------
 def _verified(t: Tables) -> DataFrame:
     emails = t.lead_emails.select("id", "email", "verification_status")
@@ -664,7 +840,7 @@ def verify_applied(t):
 
 @query
 def verify_queue(t):
-    return D.verification_queue(t.lead_emails).select("id", "lead_id", "email", "created_at")
+    return D.verification_queue(t.lead_emails, 100).select("id", "lead_id", "email", "created_at")
 
 
 @query
@@ -679,21 +855,21 @@ def primary_mx(t):
 # -- sequences ------------------------------------------------------------------------------------
 @query
 def enroll_eligible(t):
-    return G.eligible_for_enrollment(t.leads, t.lead_emails, t.sequence_enrollments, SEQUENCE).select(
+    return G.eligible_for_enrollment(t.leads, t.lead_emails, t.sequence_enrollments, SEQUENCE, 100).select(
         *LEAD, "email_id", "email"
     )
 
 
 @query
 def enroll(t):
-    rows = G.eligible_for_enrollment(t.leads, t.lead_emails, t.sequence_enrollments, SEQUENCE)
+    rows = G.eligible_for_enrollment(t.leads, t.lead_emails, t.sequence_enrollments, SEQUENCE, 100)
     made = G.enroll(rows, t.sequences, t.sequence_steps, SEQUENCE, ENROL_AT)
     return made.select("lead_id", "sequence_id", "email_id", "current_step", "status", "next_send_at")
 
 
 @query
 def enroll_due(t):
-    due = G.due_enrollments(t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, ENROL_AT)
+    due = G.due_enrollments(t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, ENROL_AT, 50)
     return G.nest_due(due).select(
         "id", "lead_id", "sequence_id", "current_step", "next_send_at", F.col("lead.city").alias("city"),
         F.col("email.email").alias("email"), F.col("sequence.name").alias("sequence_name"),
@@ -709,6 +885,20 @@ def advance_steps(t):
     return moved.select("id", "current_step", "status", "next_send_at")
 
 
+@query
+def enroll_stages(t):
+    """Newly enrolled leads move to the contacted stage."""
+    rows = G.eligible_for_enrollment(t.leads, t.lead_emails, t.sequence_enrollments, SEQUENCE, 100)
+    made = G.enroll(rows, t.sequences, t.sequence_steps, SEQUENCE, ENROL_AT)
+    return U.set_stage(t.leads, G.stage_changes(made), ENROL_AT).select("id", "pipeline_stage")
+
+
+@query
+def newest_sequences(t):
+    first = t.orders.groupBy((F.col("o_orderkey") % 5).alias("id")).agg(F.max("o_orderdate").cast("timestamp").alias("created_at"))
+    return G.newest_sequences(t.sequences.join(first, "id")).select("id", "name", "status", "created_at")
+
+
 @query
 def enrollment_status_updates(t):
     current = t.sequence_enrollments.withColumn("completed_at", F.lit(None).cast("timestamp"))
@@ -818,50 +1008,62 @@ def send_delay_bounds(t):
     )
 
 
-# A calm day in office hours, with looser breaker limits than the synthetic log would pass.
-PLAN_AT = "2024-01-24 15:00:00"
-
-
-def _calm_log(t: Tables) -> DataFrame:
-    """The log without its failures, and with few sends on the day of the plan."""
-    kept = t.send_log.filter(~F.col("status").isin("bounced", "complained"))
-    return kept.filter(~((F.col("status") == "sent") & (F.to_date("sent_at") >= "2024-01-24")))
+# In office hours, a few days after the last send: every gate is open.
+PLAN_AT = "2024-02-05 15:00:00"
+# In office hours of a day whose sends fail the breaker.
+PAUSED_AT = "2024-01-24 15:00:00"
 
 
 @query
 def send_plan(t):
     plan = G.send_plan(
-        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
-        G.SendingRules(daily_limit=20),
+        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, PLAN_AT,
+        G.SendingRules(daily_limit=20), limit=50,
     )
     step = F.coalesce("step_number", F.lit(0)).alias("step_number")
     return plan.select("id", "lead_id", "rank", step, "outcome", "hold_reason")
 
 
 @query
-def send_plan_paused(t):
-    plan = G.send_plan(
-        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, PLAN_AT
-    )
-    return plan.groupBy("outcome", "hold_reason").agg(F.count("*").alias("n"))
+def send_plan_gates(t):
+    """The same queue behind each closed gate: failed breaker, closed window, no budget yet."""
+
+    def held(gate: str, at: str, rules: G.SendingRules) -> DataFrame:
+        plan = G.send_plan(
+            t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, at, rules, limit=50
+        )
+        return plan.groupBy("outcome", "hold_reason").agg(F.count("*").alias("n")).withColumn("gate", F.lit(gate))
+
+    paused = held("paused", PAUSED_AT, G.SendingRules())
+    closed = held("closed", "2024-02-05 03:00:00", G.SendingRules())
+    spent = held("spent", PLAN_AT, G.SendingRules(warmup_start="2024-03-01"))
+    return paused.unionByName(closed).unionByName(spent)
 
 
 @query
 def planned_times(t):
-    """Planned times grow with the rank by delays inside the bounds (hash-based, so not in SQL)."""
+    """Delays lie within their bounds, and each send is planned at the start plus the delays ahead of it."""
+    rules = G.SendingRules(daily_limit=20)
     plan = G.send_plan(
-        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
-        G.SendingRules(daily_limit=20),
+        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, PLAN_AT,
+        rules, limit=50,
+    )
+    sent = F.col("outcome") == "send"
+    ahead = F.coalesce(F.sum("delay_ms").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.unix_millis(F.lit(PLAN_AT).cast("timestamp"))
+    within = F.col("delay_ms").between(rules.min_delay_ms, rules.max_delay_ms)
+    return plan.select(
+        "id", F.col("rank").cast("int").alias("rank"), F.when(sent, within).otherwise(F.col("delay_ms") == 0).alias("delay_fits"),
+        F.when(sent, F.unix_millis("planned_at") == start + ahead).otherwise(F.col("planned_at").isNull()).alias("time_fits"),
     )
-    return plan.select("id", "rank", "delay_ms", "planned_at")
 
 
 @query
 def booked_results(t):
     plan = stored(
         G.send_plan(
-            t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, _calm_log(t), PLAN_AT,
-            G.SendingRules(daily_limit=20),
+            t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, PLAN_AT,
+            G.SendingRules(daily_limit=20), limit=50,
         )
     )
     outcomes = t.sequence_enrollments.select(
@@ -885,7 +1087,7 @@ def booked_results(t):
 @query
 def outreach_plan(t):
     plan = G.outreach_plan(
-        t.leads, t.lead_emails, _calm_log(t), t.sequence_enrollments, PLAN_AT, G.SendingRules(daily_limit=20)
+        t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, PLAN_AT, G.SendingRules(daily_limit=20), limit=50
     )
     return plan.select("id", "email_id", "rank", "outcome", "hold_reason")
 
@@ -897,7 +1099,7 @@ def engine_status(t):
 
 @query
 def outreach_status(t):
-    return G.outreach_status(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, PLAN_AT, RULES)
+    return G.outreach_status(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, PAUSED_AT, RULES)
 
 
 # -- send log ------------------------------------------------------------------------------------
@@ -938,7 +1140,7 @@ def outreach_sent(t):
 
 @query
 def outreach_eligible(t):
-    rows = H.outreach_eligible(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments)
+    rows = H.outreach_eligible(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, 100)
     return rows.select(*LEAD, "email_id", "email")
 
 
@@ -953,6 +1155,23 @@ def latest_send_status(t):
     return H.latest_send_status(t.send_log)
 
 
+@query
+def appended_sends(t):
+    """The log with a send for every active enrolment behind it."""
+    sends = t.sequence_enrollments.filter("status = 'active'").select(
+        "id", "lead_id", "email_id", "sequence_id", (F.col("current_step") + 1).alias("step_number"), F.lit("sent").alias("status"),
+        F.lit(SEND_AT).cast("timestamp").alias("sent_at"),
+    )
+    whole = H.append_sends(t.send_log, sends)
+    return whole.select("id", "lead_id", "step_number", "ses_message_id", "status", "sent_at")
+
+
+@query
+def send_status_by_id(t):
+    changes = t.send_log.filter("status = 'sent'").select("id", F.when(F.col("id") % 2 == 0, "delivered").otherwise("bounced").alias("status"))
+    return H.set_send_status(t.send_log, changes).select("id", "status")
+
+
 @query
 def delivery_events_applied(t):
     events = t.send_log.filter("status <> 'sent'").select(
@@ -1039,7 +1258,7 @@ def daily_sent(t):
 
 @query
 def rolling_breaker(t):
-    return delivery.rolling_breaker(t.send_log)
+    return delivery.rolling_breaker(delivery.hourly_status(t.send_log))
 
 
 @query
@@ -1057,7 +1276,8 @@ def new_records(t):
     rows = t.events.select(
         F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id")
     )
-    return delivery.new_records(rows)
+    known = t.customer.select(F.lit("view").alias("source"), F.col("c_custkey").cast("string").alias("source_id"))
+    return delivery.new_records(rows, known)
 
 
 @query
@@ -1077,7 +1297,8 @@ def stream_rolling_breaker(t):
 
 @query
 def stream_new_records(t):
-    return runs.new_records(t.spark, t._folder)
+    known = t.customer.select(F.lit("view").alias("source"), F.col("c_custkey").cast("string").alias("source_id"))
+    return runs.new_records(t.spark, t._folder, known)
 
 
 @query

@@ -1,8 +1,8 @@
 """The pipeline tables derived from the driver's base tables.
 
-Each view is plain SQL that Spark and DuckDB accept unchanged, over whole base tables. Where a
-view holds only part of the rows, the part is chosen by a business attribute (order value,
-priority, status), never by an id.
+Each view is plain SQL that Spark and DuckDB accept unchanged. No view filters rows: each takes all rows of
+its base tables, and what is rare comes from values (a parent lead that holds its neighbour's addresses,
+known places under other names), so that queries still find leads without addresses and the like.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from contactmill.session import configure
-from contactmill.sources.tables import spread
 
 BASE = {
     "region": "r_regionkey int, r_name string",
@@ -31,11 +30,9 @@ BASE = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
-# Tables whose rows are long texts.
-TEXTS = ("documents", "pages")
-
-# Orders of this value carry a contact address.
-_MAIL = "o_totalprice >= 430000"
+# Some leads have no address or no enrichment: theirs are kept with the lead before them.
+_MAIL_LEAD = "CASE WHEN o_custkey % 5 = 4 THEN o_custkey - 1 ELSE o_custkey END"
+_SITE_LEAD = "CASE WHEN o_custkey % 7 = 6 THEN o_custkey - 1 ELSE o_custkey END"
 
 VIEWS = {
     "leads": """
@@ -54,20 +51,19 @@ FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region}
 LEFT JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS TIMESTAMP) AS created_at FROM {orders} GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey
 """,
     "lead_emails": f"""
-SELECT o.o_orderkey AS id, o.o_custkey AS lead_id, concat('u', CAST(o.o_orderkey AS STRING), '@mail', CAST(o.o_orderkey % 7 AS STRING), '.example.net') AS email,
+SELECT o.o_orderkey AS id, f.lead_id, concat('u', CAST(o.o_orderkey AS STRING), '@mail', CAST(o.o_orderkey % 7 AS STRING), '.example.net') AS email,
   CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'owner' WHEN '2' THEN 'admin' WHEN '3' THEN 'info' ELSE 'unknown' END AS role,
-  CASE o.o_orderstatus WHEN 'F' THEN 'valid' WHEN 'O' THEN 'unverified' ELSE CASE o.o_orderkey % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'catch_all' ELSE 'unknown' END END AS verification_status,
+  CASE o.o_orderstatus WHEN 'F' THEN CASE WHEN f.lead_id % 3 = 0 THEN 'catch_all' ELSE 'valid' END WHEN 'O' THEN 'unverified' ELSE CASE o.o_orderkey % 3 WHEN 0 THEN 'invalid' WHEN 1 THEN 'catch_all' ELSE 'unknown' END END AS verification_status,
   'scraped' AS source, o.o_orderkey = f.first_key AS is_primary, CAST(o.o_orderdate AS TIMESTAMP) AS created_at
-FROM {{orders}} o JOIN (SELECT o_custkey, min(o_orderkey) AS first_key FROM {{orders}} WHERE {_MAIL} GROUP BY o_custkey) f ON f.o_custkey = o.o_custkey
-WHERE o.{_MAIL}
+FROM {{orders}} o JOIN (SELECT {_MAIL_LEAD} AS lead_id, min(o_orderkey) AS first_key FROM {{orders}} GROUP BY 1) f ON f.lead_id = {_MAIL_LEAD}
 """,
-    "lead_enrichment": """
-SELECT o_custkey AS lead_id, o_custkey % 2 = 1 AS has_multiple_tutors,
-  CASE o_custkey % 4 WHEN 1 THEN 'calendly' WHEN 3 THEN 'acuity' END AS existing_scheduling_tool,
-  CASE WHEN o_custkey % 5 = 1 THEN 'https://linkedin.com/company/x' END AS linkedin_url, CASE WHEN o_custkey % 5 = 2 THEN 'https://facebook.com/x' END AS facebook_url,
-  CAST(count(*) AS INT) AS enrichment_attempts, CAST(max(o_orderdate) AS TIMESTAMP) AS last_enrichment_attempt_at,
-  CAST(o_custkey % 2 AS INT) AS emails_found_count
-FROM {orders} WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey
+    "lead_enrichment": f"""
+SELECT lead_id, lead_id % 2 = 1 AS has_multiple_tutors,
+  CASE lead_id % 4 WHEN 1 THEN 'calendly' WHEN 3 THEN 'acuity' END AS existing_scheduling_tool,
+  CASE WHEN lead_id % 5 = 1 THEN 'https://linkedin.com/company/x' END AS linkedin_url, CASE WHEN lead_id % 5 = 2 THEN 'https://facebook.com/x' END AS facebook_url,
+  CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS INT) AS enrichment_attempts, CAST(max(o_orderdate) AS TIMESTAMP) AS last_enrichment_attempt_at,
+  CAST(lead_id % 2 AS INT) AS emails_found_count
+FROM (SELECT {_SITE_LEAD} AS lead_id, o_orderpriority, o_orderdate FROM {{orders}}) o GROUP BY lead_id
 """,
     "send_log": """
 SELECT event_id AS id, user_id AS lead_id, event_id AS email_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 5 END AS sequence_id, CAST(event_id % 3 AS INT) AS step_number,
@@ -83,10 +79,10 @@ SELECT CAST(r_regionkey AS BIGINT) AS sequence_id, 1 AS step_number, 0 AS delay_
 UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 72, 'Again, {{business_name}}', '{{#unless website}}No site yet? {{/unless}}We wrote to {{state}}.' FROM {region}
 UNION ALL SELECT CAST(r_regionkey AS BIGINT), 3, 120, 'Last note {{if}}', 'Bye {{nobody}} {{#if city}}in {{city}}' FROM {region}
 """,
-    "sequence_enrollments": f"""
-SELECT min(o_orderkey) AS id, o_custkey AS lead_id, o_orderkey % 5 AS sequence_id, min(o_orderkey) AS email_id, CAST(min(o_orderkey) % 4 AS INT) AS current_step,
+    "sequence_enrollments": """
+SELECT min(o_orderkey) AS id, o_custkey AS lead_id, o_orderkey % 5 AS sequence_id, CASE WHEN min(o_orderkey) % 11 = 0 THEN -min(o_orderkey) ELSE min(o_orderkey) END AS email_id, CAST(min(o_orderkey) % 4 AS INT) AS current_step,
   CASE substr(max(o_orderpriority), 1, 1) WHEN '1' THEN 'completed' WHEN '2' THEN 'replied' WHEN '3' THEN 'bounced' WHEN '4' THEN 'unsubscribed' ELSE 'active' END AS status, CAST(min(o_orderdate) AS TIMESTAMP) AS next_send_at
-FROM {{orders}} WHERE {_MAIL} AND o_orderstatus <> 'O' GROUP BY o_custkey, o_orderkey % 5
+FROM {orders} GROUP BY o_custkey, o_orderkey % 5
 """,
     "places_raw": """
 SELECT concat('run', CAST(p_size % 3 AS STRING)) AS run_id, p_partkey AS seq, concat('P', CAST(p_partkey % 1900 AS STRING)) AS place_id, p_name AS name, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS city, p_type AS state_province,
@@ -94,8 +90,9 @@ SELECT concat('run', CAST(p_size % 3 AS STRING)) AS run_id, p_partkey AS seq, co
 FROM {part}
 """,
     "known_places": """
-SELECT p_partkey AS id, p_name AS business_name, p_brand AS city, p_type AS state_province, 'google_maps' AS source, concat('P', CAST(p_partkey % 1900 AS STRING)) AS source_id
-FROM {part} WHERE p_size >= 45
+SELECT p_partkey AS id, CASE WHEN p_size >= 45 THEN p_name ELSE concat('Former ', p_name) END AS business_name, p_brand AS city, p_type AS state_province, 'google_maps' AS source,
+  concat(CASE WHEN p_size >= 45 THEN 'P' ELSE 'Q' END, CAST(p_partkey % 1900 AS STRING)) AS source_id
+FROM {part}
 """,
     "probe_results": """
 SELECT l_orderkey AS email_id, min(CASE l_returnflag WHEN 'A' THEN 250 WHEN 'R' THEN 550 ELSE 451 END) AS code, bool_or(l_tax > 0.07) AS catch_all_accepted, bool_or(l_quantity < 2) AS timed_out FROM {lineitem} GROUP BY l_orderkey
@@ -108,7 +105,7 @@ FROM {events}
     "replies": """
 SELECT event_id AS reply_id, concat('m', CAST(event_id % 2000 AS STRING)) AS ses_message_id,
   CASE event_type WHEN 'signup' THEN 'interested' WHEN 'purchase' THEN 'question' WHEN 'view' THEN 'out_of_office' WHEN 'click' THEN 'not_interested' ELSE 'unsubscribe' END AS reply_class, CAST(ts AS TIMESTAMP) AS received_at
-FROM {events} WHERE value > 300
+FROM {events}
 """,
 }
 
@@ -141,8 +138,7 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
-            rows = self.spark.read.schema(BASE[name]).parquet(f"{self._folder}/{name}.parquet")
-            return spread(rows) if name in TEXTS else rows
+            return self.spark.read.schema(BASE[name]).parquet(f"{self._folder}/{name}.parquet")
         sources = {t: getattr(self, t) for t in base_tables(name)}
         names = {t: f"contactmill_{t}" for t in sources}
         for table, df in sources.items():

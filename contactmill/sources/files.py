@@ -17,16 +17,23 @@ from contactmill.operators.ingest import parse_address
 USABLE = ["OK", "ZERO_RESULTS"]
 
 
+def page_number(file: Column) -> Column:
+    """The last number in the name of a file."""
+    digits = F.regexp_extract(F.substring_index(file, "/", -1), r"(\d+)\D*\z", 1)
+    return F.coalesce(digits.try_cast("long"), F.lit(0))
+
+
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """Search results, one row per place, in their order inside the file.
+    """Search results, one row per place: ``file``, its ``page_no`` and the place's ``pos`` in it.
 
-    Files with another status than OK or ZERO_RESULTS are left out.
+    The page number is the last number in the file's name (page10 comes after page2), 0 for a name without
+    one. Files with another status than OK or ZERO_RESULTS are left out.
     """
     raw = spark.read.schema(schemas.PLACE_SEARCH_FILE).option("multiLine", True).json(path)
     return (
         raw.filter(F.col("status").isin(USABLE))
         .select(F.input_file_name().alias("file"), F.posexplode("results").alias("pos", "r"))
-        .select("file", "pos", "r.*")
+        .select("file", page_number(F.col("file")).alias("page_no"), "pos", "r.*")
     )
 
 
@@ -58,7 +65,7 @@ def place_records(search: DataFrame, details: DataFrame, run_id: str) -> DataFra
     )
     arrival = search.select(
         F.lit(run_id).alias("run_id"),
-        F.struct("file", "pos").alias("seq"),
+        F.struct("page_no", "file", "pos").alias("seq"),
         "place_id",
         "business_status",
     )

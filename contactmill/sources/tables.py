@@ -17,17 +17,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}")
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Rows of a file scan over all cores, if the files give fewer partitions than there are cores.
-
-    For texts and pages, where a row costs far more than moving it. Input of any size comes in more
-    partitions than cores and is left as it is. Only for a plain scan, whose partitions are known
-    without running anything.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
-
-
 def with_defaults(rows: DataFrame, name: str) -> DataFrame:
     """Fill the defaults of a table and normalise addresses, as an insert would."""
     for column, value in schemas.DEFAULTS.get(name, {}).items():

@@ -6,27 +6,12 @@ on, each one asks for five minutes of rest. Failures add up; a success does not
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from contactmill.functions import fixed_values as fv
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-cloudpickle.register_pickle_by_value(fv)
-
-OUTPUT = "domain string, seen_at timestamp, failures long, blocked_until timestamp, rests_until timestamp"
-STATE = "blocked_at timestamp, failures long, failed_at timestamp, seen_at timestamp"
-BLOCK = timedelta(minutes=fv.BOT_BLOCK_MINUTES)
-REST = timedelta(minutes=fv.TIMEOUT_BACKOFF_MINUTES)
-
 
 def is_refusal() -> Column:
     return F.coalesce(F.col("status_code").isin(403, 429), F.lit(False)) | F.coalesce(
@@ -90,7 +75,11 @@ def _verdict(at: Column, blocked_at: Column, failures: Column, failed_at: Column
 
 
 def domain_state(fetches: DataFrame) -> DataFrame:
-    """Where each domain stands after its whole log. One aggregation, combined before the shuffle."""
+    """Where each domain stands after its log, on a table or a stream. One aggregation, combined before the shuffle.
+
+    On a stream the state is one small row of maxima and a count per domain, so a busy domain is read batch
+    by batch and never gathered. In update mode each micro-batch gives the states it changed.
+    """
     rests_from = F.max(F.when(F.col("network_error"), F.col("fetched_at")))
     failures = F.count_if("network_error")
     return fetches.groupBy("domain").agg(
@@ -104,66 +93,3 @@ def domain_state(fetches: DataFrame) -> DataFrame:
             rests_from + F.expr(f"INTERVAL {fv.TIMEOUT_BACKOFF_MINUTES} MINUTES"),
         ).alias("rests_until"),
     )
-
-
-def _later(a, b):
-    return b if a is None else a if b is None else max(a, b)
-
-
-class DomainBackoff(StatefulProcessor):
-    """Streaming form of :func:`domain_state`: one small state row per domain.
-
-    The state is made of maxima and a count, so the order of rows inside a micro-batch is
-    irrelevant and a busy domain is read batch by batch, never gathered. One row per domain and
-    micro-batch comes out. ``keep_hours`` drops domains without events; by default none is dropped.
-    """
-
-    def __init__(self, keep_hours: int | None = None) -> None:
-        self._ttl = keep_hours * 3_600_000 if keep_hours else None
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("backoff", STATE, ttlDurationMs=self._ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        blocked_at, failures, failed_at, seen_at = None, 0, None, None
-        if self._state.exists():
-            blocked_at, failures, failed_at, seen_at = self._state.get()
-
-        def latest(times: pd.Series):
-            return None if times.empty else times.max().to_pydatetime()
-
-        for batch in rows:
-            refused = batch["status_code"].isin([403, 429]) | batch["bot_page"].eq(True)
-            failed = batch["network_error"].eq(True)
-            blocked_at = _later(blocked_at, latest(batch.loc[refused, "fetched_at"]))
-            failed_at = _later(failed_at, latest(batch.loc[failed, "fetched_at"]))
-            seen_at = _later(seen_at, latest(batch["fetched_at"]))
-            failures += int(failed.sum())
-        self._state.update((blocked_at, failures, failed_at, seen_at))
-        tired = failures >= fv.TIMEOUTS_BEFORE_BACKOFF
-        yield pd.DataFrame(
-            {
-                "domain": [key[0]],
-                "seen_at": [seen_at],
-                "failures": [failures],
-                "blocked_until": pd.Series(
-                    [blocked_at + BLOCK if blocked_at else None], dtype="datetime64[ns]"
-                ),
-                "rests_until": pd.Series(
-                    [failed_at + REST if tired else None], dtype="datetime64[ns]"
-                ),
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def backoff_stream(fetches: DataFrame, keep_hours: int | None = None) -> DataFrame:
-    """Domain states from a stream of fetches. Needs the RocksDB state store provider."""
-    return fetches.groupBy("domain").transformWithStateInPandas(
-        statefulProcessor=DomainBackoff(keep_hours),
-        outputStructType=OUTPUT,
-        outputMode="Update",
-        timeMode="ProcessingTime" if keep_hours else "None",
-    )

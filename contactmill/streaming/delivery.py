@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from contactmill.functions import columns as C
@@ -51,23 +52,31 @@ def _last_of_each(events: DataFrame) -> DataFrame:
 
 
 def read_latest_status(spark: SparkSession, *roots: str) -> DataFrame:
-    """The last status per message over the batches of one or more roots.
-
-    Writing the result to a new folder compacts them: read that folder, as ``<folder>/batch=0``,
-    along with the root of later batches.
-    """
+    """The last status per message over the batches of one or more roots."""
     parts = spark.read.schema(STATUS).option("recursiveFileLookup", True).parquet(*roots)
     return _last_of_each(parts)
 
 
+def compact_latest_status(spark: SparkSession, root: str, target: str) -> None:
+    """Write the status of all batches below ``root`` as the one batch of the new folder ``target``.
+
+    Read ``target`` from then on, along with the root of the batches that follow: a read goes through one row
+    per message and not through every batch ever written.
+    """
+    read_latest_status(spark, root).write.parquet(f"{target}/batch=0")
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Batch form of the above."""
     return latest(events.filter("ses_message_id IS NOT NULL"), "ses_message_id", "status", "at")
 
 
 def daily_sent(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Sends per UTC day, on a stream or a table. On a stream later rows than ``lateness`` are
-    dropped and a day is emitted once, when it is over."""
+    """Sends per UTC day, on a stream or a table.
+
+    Run a stream in update mode: the day that is going on comes out with each batch too. Rows later than
+    ``lateness`` may be dropped.
+    """
     counted = sends.withWatermark("sent_at", lateness) if sends.isStreaming else sends
     return (
         counted.groupBy(F.window("sent_at", "1 day").alias("w"))
@@ -78,17 +87,22 @@ def daily_sent(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-def rolling_breaker(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Circuit breaker over the trailing 24 hours, judged at every full hour.
-
-    Rows are counted per hour first; only the hourly counts are then put into the 24 windows each
-    of them belongs to.
-    """
+def hourly_status(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Status counts per UTC hour, on a stream (in update mode) or a table."""
     counted = sends.withWatermark("sent_at", lateness) if sends.isStreaming else sends
     hourly = counted.groupBy(F.window("sent_at", "1 hour").alias("h")).agg(*status_counts())
-    names = [c for c in hourly.columns if c != "h"]
+    return hourly.withColumn("hour", F.col("h.start")).drop("h")
+
+
+def rolling_breaker(hourly: DataFrame) -> DataFrame:
+    """Circuit breaker over the trailing 24 hours, judged at every full hour, from :func:`hourly_status`.
+
+    Only the hourly counts are put into the 24 windows each of them belongs to. The hourly counts of a stream
+    are kept as files, a few dozen bytes per hour, and judged whenever they are read, the latest ones too.
+    """
+    names = [c for c in hourly.columns if c != "hour"]
     rated = with_rates(
-        hourly.groupBy(F.window(F.window_time("h"), "24 hours", "1 hour").alias("w"))
+        hourly.groupBy(F.window("hour", "24 hours", "1 hour").alias("w"))
         .agg(*[F.sum(c).alias(c) for c in names])
         .withColumn("judged_at", F.col("w.end"))
         .drop("w")
@@ -98,9 +112,35 @@ def rolling_breaker(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-def new_records(records: DataFrame, at: str = "seen_at", lateness: str = "1 hour") -> DataFrame:
-    """Records not seen before by source and source id, within the lateness bound on a stream."""
-    keys = ["source", "source_id"]
-    if records.isStreaming:
-        return records.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
-    return records.dropDuplicates(keys)
+RECORD_KEYS = ["source", "source_id"]
+
+
+def new_records(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Records of a table by source and source id, each once, without those already known."""
+    fresh = records.dropDuplicates(RECORD_KEYS)
+    return fresh if known is None else fresh.join(known.select(*RECORD_KEYS).distinct(), RECORD_KEYS, "left_anti")
+
+
+def new_records_stream(
+    records: DataFrame, root: str, checkpoint: str, known: DataFrame | None = None, **trigger
+) -> StreamingQuery:
+    """Collect new records of a stream below ``root``, however late a repetition comes.
+
+    Each micro-batch is held against the known records and those of the batches before, so nothing is kept
+    in state. A repeated batch overwrites its folder.
+    """
+    schema = records.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = new_records(batch, known)
+        if batch_id:
+            before = batch.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(root)
+            fresh = new_records(fresh, before.filter(F.col("batch") < batch_id))
+        fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return (
+        records.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

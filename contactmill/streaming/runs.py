@@ -9,13 +9,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactmill.session import checkpoint_root, configure
 from contactmill.streaming import backoff, delivery
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _folder(spark: SparkSession) -> str:
@@ -42,49 +41,60 @@ def _sends(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def to_files(stream: DataFrame, where: str) -> DataFrame:
-    """Run a stream to its end into Parquet files and return them as a DataFrame."""
+def latest_rows(stream: DataFrame, keys: list[str], where: str) -> DataFrame:
+    """Run an aggregation to its end in update mode and return the last row of each key.
+
+    Each micro-batch writes the rows it changed to a folder of its own; a repeated batch overwrites it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
+
     (
-        stream.writeStream.format("parquet")
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{where}/checkpoint")
-        .option("path", f"{where}/out")
-        .outputMode("append")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/out")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{where}/out")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns)
 
 
 def latest_status(spark: SparkSession, folder: str) -> DataFrame:
     where = _folder(spark)
     events = _sends(spark, folder).withColumnRenamed("sent_at", "at")
     delivery.latest_status_stream(events, f"{where}/status", f"{where}/checkpoint").awaitTermination()
-    return delivery.read_latest_status(spark, f"{where}/status").select("ses_message_id", "status")
+    delivery.compact_latest_status(spark, f"{where}/status", f"{where}/compact")
+    return delivery.read_latest_status(spark, f"{where}/compact").select("ses_message_id", "status")
 
 
 def daily_sent(spark: SparkSession, folder: str) -> DataFrame:
-    """Days that are over when the stream ends; the last one stays open."""
-    return to_files(delivery.daily_sent(_sends(spark, folder)), _folder(spark))
+    return latest_rows(delivery.daily_sent(_sends(spark, folder)), ["day"], _folder(spark))
 
 
 def rolling_breaker(spark: SparkSession, folder: str) -> DataFrame:
-    return to_files(delivery.rolling_breaker(_sends(spark, folder)), _folder(spark))
+    hourly = latest_rows(delivery.hourly_status(_sends(spark, folder)), ["hour"], _folder(spark))
+    return delivery.rolling_breaker(hourly)
 
 
-def new_records(spark: SparkSession, folder: str) -> DataFrame:
+def new_records(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     rows = _events(spark, folder).select(
         F.col("event_type").alias("source"),
         F.col("user_id").cast("string").alias("source_id"),
         F.col("ts").cast("timestamp").alias("seen_at"),
     )
-    unseen = delivery.new_records(rows, lateness="40 days")
-    return to_files(unseen, _folder(spark)).select("source", "source_id")
+    where = _folder(spark)
+    delivery.new_records_stream(rows, f"{where}/out", f"{where}/checkpoint", known).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{where}/out").select("source", "source_id")
 
 
 def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
-    """Final state per domain. Each micro-batch appends the states it changed."""
-    where = _folder(spark)
+    """Final state per domain."""
     kind = F.col("event_type")
     fetches = _events(spark, folder).select(
         F.col("event_id").alias("fetch_id"),
@@ -94,28 +104,4 @@ def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
         ((kind == "click") & (F.col("value") < 5)).alias("bot_page"),
         (kind == "error").alias("network_error"),
     )
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
-
-        (
-            backoff.backoff_stream(fetches)
-            .writeStream.foreachBatch(write)
-            .option("checkpointLocation", f"{where}/checkpoint")
-            .outputMode("update")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
-    states = spark.read.schema(backoff.OUTPUT + ", batch long").parquet(f"{where}/out")
-    names = ["seen_at", "failures", "blocked_until", "rests_until"]
-    last = F.max_by(F.struct(*names), "batch").alias("s")
-    return states.groupBy("domain").agg(last).select("domain", "s.*")
+    return latest_rows(backoff.domain_state(fetches), ["domain"], _folder(spark))

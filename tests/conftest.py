@@ -14,11 +14,15 @@ DATA = Path("/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(
         4,
         "contactmill-tests",
-        **{"spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4"},
+        **{
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
     )
     yield session
     session.stop()

@@ -66,11 +66,11 @@ def test_search_order_and_limit(spark):
         '<input type="text" value="field@s.org"><meta name="email" content="meta@s.org">'
         '<p data-email="data@s.org"></p><a href="mailto:LINK@s.org.">x</a><a href="mailto:link@s.org">y</a></body>'
     )
-    (row,) = features(spark, [(1, "https://s.org", html)], max_emails=20)
+    (row,) = features(spark, [(1, "https://s.org", html)])
     assert [e.email for e in row.emails] == [
         "link@s.org", "data@s.org", "meta@s.org", "foot@s.org", "con@s.org", "field@s.org", "text@s.org",
     ]
-    (row,) = features(spark, [(1, "https://s.org", html)])
+    (row,) = features(spark, [(1, "https://s.org", html)], max_emails=2)
     assert [e.email for e in row.emails] == ["link@s.org", "data@s.org"]
 
 
@@ -154,7 +154,10 @@ def test_sites_merge_in_page_order(spark):
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     (row,) = P.site_features(df).collect()
-    assert [e.email for e in row.emails] == ["b@s.org", "c@s.org"]
+    found = P.site_emails(P.site_pages(df)).orderBy("first_at").collect()
+    assert [e.email for e in found] == ["b@s.org", "c@s.org", "a@s.org", "d@s.org"]
+    first = P.site_emails(P.site_pages(df), limit=2).orderBy("first_at").collect()
+    assert [e.email for e in first] == ["b@s.org", "c@s.org"]
     assert (row.pages_read, row.scheduling_tool, row.has_multiple_tutors) == (4, "acuity", True)
     assert row.specialties == ["math"]
 
@@ -162,7 +165,7 @@ def test_sites_merge_in_page_order(spark):
 def test_only_the_first_pages_of_a_site_count(spark):
     pages = [(i, "https://big.org/", f"<p>u{i}@s.org") for i in range(30)] + [(99, "https://small.org", "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
-    kept = P.first_pages_per_site(P.with_site(df)).groupBy("site").agg(F.max("page_id"), F.count("*"))
+    kept = P.first_pages_per_site(P.with_site(df), 12).groupBy("site").agg(F.max("page_id"), F.count("*"))
     assert sorted(map(tuple, kept.collect())) == [("big.org", 11, 12), ("small.org", 99, 1)]
 
 
@@ -174,7 +177,10 @@ def test_contact_links(spark):
         '<a href="/contacts">list</a><footer><a href="about#us">About</a></footer><a href="mailto:contact@s.org">contact</a>'
     )
     df = spark.createDataFrame([(1, "https://s.org/", html)], "page_id long, url string, html string")
-    got = {r.link: r.score for r in P.contact_links(df).collect()}
+    rows = P.contact_links(df).orderBy("rank").collect()
+    assert [r.rank for r in rows] == [1, 2, 3, 4]
+    got = {r.link: r.score for r in rows}
+    assert list(got.values()) == sorted(got.values(), reverse=True)
     assert got == {
         "https://s.org/our-story": 50,
         "https://s.org/contact": 45,
@@ -183,10 +189,12 @@ def test_contact_links(spark):
     }
 
 
-def test_sitemap_keeps_the_first_five(spark):
+def test_sitemap_links_and_their_limit(spark):
     urls = "".join(f"<LOC> https://s.org/about/{i} </LOC><loc>https://s.org/x{i}</loc>" for i in range(8))
     df = spark.createDataFrame([("s.org", urls)], "site string, xml string")
-    assert [r.link for r in P.sitemap_links(df).orderBy("pos").collect()] == [f"https://s.org/about/{i}" for i in range(5)]
+    links = [f"https://s.org/about/{i}" for i in range(8)]
+    assert [r.link for r in P.sitemap_links(df).orderBy("pos").collect()] == links
+    assert [r.link for r in P.sitemap_links(df, 5).orderBy("pos").collect()] == links[:5]
 
 
 def test_enrichment_of_leads(spark):
@@ -201,7 +209,10 @@ def test_enrichment_of_leads(spark):
     flags = {r.lead_id: r.has_multiple_tutors for r in enriched.collect()}
     assert flags == {"1": True, "2": False, "3": False, "4": True}
     known = spark.createDataFrame([("1", "INFO@s.org")], "lead_id string, email string")
-    rows = P.new_lead_emails(enriched, known, "2024-01-01").collect()
+    addresses = P.site_emails(P.site_pages(pages))
+    added = P.new_lead_emails(P.lead_addresses(enriched, addresses), known, "2024-01-01")
+    rows = added.collect()
+    assert {r.lead_id: r.emails_found_count for r in P.counted(enriched, added).collect()} == {"1": 1, "2": 0, "3": 0, "4": 2}
     got = sorted((r.lead_id, r.email, r.role, r.is_primary) for r in rows)
     assert got == [
         ("1", "ann.lee@s.org", "owner", True), ("4", "ann.lee@s.org", "owner", True), ("4", "info@s.org", "info", False),
@@ -225,3 +236,25 @@ def test_upsert_counts_attempts(spark):
 )
 def test_squeeze(one, text, want):
     assert one(C.squeeze(F.lit(text))) == want
+
+
+def test_only_the_first_meta_of_a_kind_counts(spark):
+    html = '<meta name="email"><meta name="email" content="jo@s.org"><body>x</body>'
+    (row,) = features(spark, [(1, "https://s.org", html)])
+    assert row.emails == []
+
+
+def test_full_width_addresses_in_contact_sections(spark):
+    html = '<div class="contact">jo \uff08\uff41\uff54\uff09 s \uff08\uff44\uff4f\uff54\uff09 org </div><p>other@s.org</p>'
+    (row,) = features(spark, [(1, "https://s.org", html)])
+    assert [e.email for e in row.emails] == ["jo@s.org", "other@s.org"]
+
+
+def test_deep_structured_data_is_read():
+    import json
+
+    tree = {"email": "deep@s.org"}
+    for _ in range(40):
+        tree = {"in": [tree]}
+    reader = read_page(f'<script type="application/ld+json">{json.dumps(tree)}</script>')
+    assert [h["value"] for h in reader.hints] == ["deep@s.org"]

@@ -32,7 +32,7 @@ def plan_of(df) -> str:
 def test_existence_tests_are_semi_and_anti_joins(t):
     assert "LeftSemi" in plan_of(L.with_valid_email(t.leads, t.lead_emails))
     assert "LeftAnti" in plan_of(L.without_emails(t.leads, t.lead_emails))
-    plan = plan_of(H.outreach_eligible(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments))
+    plan = plan_of(H.outreach_eligible(t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, 100))
     assert plan.count("LeftAnti") == 2 and "TakeOrderedAndProject" in plan
 
 
@@ -43,7 +43,7 @@ def test_first_per_key_limits_groups_before_the_shuffle(t):
 
 
 def test_page_bodies_are_not_shuffled_by_the_page_limit(t):
-    plan = plan_of(P.first_pages_per_site(P.with_site(t.pages)))
+    plan = plan_of(P.first_pages_per_site(P.with_site(t.pages), 12))
     assert "BroadcastHashJoin" in plan
     window_side = plan[plan.index("WindowGroupLimit"):]
     assert "html" not in window_side.split("FileScan")[-1].split("ReadSchema")[-1]
@@ -62,8 +62,17 @@ def test_scoring_reads_only_what_the_rules_need(t):
 
 
 def test_filters_reach_the_scan(t):
-    plan = plan_of(L.best_email(t.lead_emails))
-    assert "GreaterThanOrEqual(o_totalprice,430000.0)" in plan
+    plan = plan_of(H.history_of_lead(t.send_log, 7))
+    assert "EqualTo(user_id,7)" in plan
+
+
+def test_statistics_read_each_table_once(t):
+    """All flags come from one pass: leads, e-mails, sends and enrichment are read once each."""
+    for df in (Q.listing_filter_counts(t), Q.extended_stats(t)):
+        plan = plan_of(df)
+        scans = {name: len(re.findall(rf"Location: [^\n]*{name}\.parquet", plan)) for name in ("customer", "events", "orders")}
+        # The sample e-mails read orders twice, the enrichment once.
+        assert scans == {"customer": 1, "events": 1, "orders": 3}
 
 
 def test_parts_of_a_large_lead_are_spread(t, no_broadcast):
