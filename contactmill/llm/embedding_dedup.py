@@ -147,11 +147,14 @@ def _merged(lists: DataFrame | None, found: DataFrame, keep: int) -> DataFrame:
 def _first_lists(points: DataFrame, n: int, keep: int) -> DataFrame:
     """Lists from the cells of a few random projection trees, deep enough for cells of about CELL / 2."""
     bits = min(40, max(0, int(np.ceil(np.log2(max(n / (CELL / 2), 1))))))
-    cells = points.select("id", "half", F.posexplode(_cells_column(bits)("unit")).alias("tree", "cell"))
-    sizes = cells.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts")).where("parts > 1")
+    width = F.octet_length("half").alias("width")
+    cells = points.select("id", "half", width, F.posexplode(_cells_column(bits)("unit")).alias("tree", "cell"))
+    # Vectors of different widths never meet.
+    keys = ["tree", "width", "cell"]
+    sizes = cells.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts")).where("parts > 1")
     # A crowded cell is dealt out by hash, so no place gathers much more than others.
-    placed = cells.join(stored(sizes), ["tree", "cell"], "left").select(
-        F.xxhash64("tree", "cell", F.expr("pmod(xxhash64(id, tree), coalesce(parts, 1))")).alias("at"),
+    placed = cells.join(stored(sizes), keys, "left").select(
+        F.xxhash64(*keys, F.expr("pmod(xxhash64(id, tree), coalesce(parts, 1))")).alias("at"),
         "id", "half", F.lit(-1.0).cast("float").alias("floor"), F.expr("cast(array() as array<bigint>)").alias("known"),
     )
     return _merged(None, _meet(placed, keep), keep)
