@@ -72,6 +72,7 @@ def test_on_held_out_rows(spark):
     toxic = np.array([r.score for r in rows if r.toxic])
     clean = np.array([r.score for r in rows if not r.toxic])
     assert np.mean(toxic[:, None] > clean[None, :]) > 0.95
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
 
 
 def test_held_out_labels_are_not_learnt(spark):
