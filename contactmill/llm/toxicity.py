@@ -23,7 +23,9 @@ GRAMS = (3, 4, 5)
 WIDTH = 2
 #: Labelled documents (clean, toxic) that the fit takes at most, the first by hash of their id.
 TRAIN = (4_500, 2_000)
+#: Passes over the sample: so many, or what gives so many mini-batches.
 EPOCHS = 12
+STEPS = 1_000
 BATCH = 100
 #: Zero words that the average of every text also has, so that a few words alone are weak evidence.
 PADDING = 15
@@ -121,8 +123,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, log_prior
     heads = rng.normal(0, 0.5, (WIDTH, 2))
     bias = np.zeros(2)
     seen = [np.full_like(x, 1e-6) for x in (vectors, heads, bias)]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(len(bags), 1)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
         for i in range(0, len(order), BATCH):
             picked = order[i : i + BATCH]
