@@ -30,7 +30,9 @@ from contactmill.llm import common
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_SIZE = 400_000
+#: Entries that a worker keeps: paths of short parts in each of two generations, and tested pairs.
+MEMO_SIZE = 300_000
+STABLE_SIZE = 300_000
 MEMO_LENGTH = 64
 
 
@@ -181,7 +183,7 @@ class Transducer:
                 return True
 
     def _tested(self, last: str, piece: str) -> bool:
-        if len(self.stable) >= MEMO_SIZE:
+        if len(self.stable) >= STABLE_SIZE:
             self.stable.clear()
         found = self.stable[last, piece] = self._is_stable(last, piece)
         return found
