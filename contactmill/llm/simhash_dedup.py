@@ -7,10 +7,17 @@ segment or in different ones. Each key is at most one bit from all that meet the
 65 different fingerprints do, however alike the documents are. Work and rows grow with the number of
 different fingerprints, never with its square. The members of a key are linked to its smallest one after
 their complete distance is verified; the connected components are those of all links.
+
+A pair of a given Jaccard similarity is a matter of other distances: at 0.8 about ten of 64 bits differ, and
+a key that bears that many is so short that each holds a fixed share of all texts. `without_similar`
+therefore adds the keys of minimum hashes in bands as candidates, and verifies every candidate by the exact
+similarity of its shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -27,6 +34,13 @@ DISTANCE = 2
 SEGMENTS = ((0, 31), (32, 63))
 CHUNK = 1 << 15
 
+#: Of `without_similar`: words of a shingle, the similarity of a link, and bands of so many minimum hashes. A pair
+#: at the similarity itself shares a band with a chance of 1 - (1 - 0.8 ** 8) ** 40 = 0.9993.
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 40
+BAND = 8
+
 
 def fingerprint(text: str | None) -> int:
     """The fingerprint of a text as an unsigned 64-bit number; 0 where it has no word."""
@@ -125,3 +139,111 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         by = Window.partitionBy("doc_id", "__print").orderBy(F.xxhash64(common.text_or_empty()))
         chosen = chosen.withColumn("__row", F.row_number().over(by)).where("__row = 1").drop("__row")
     return chosen.drop("__print")
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The different shingles of a text as sorted 64-bit hashes; a text with fewer words is one shingle."""
+    found = (text or "").encode().lower().split()
+    digest, n = xxhash.xxh64_intdigest, max(len(found) - words + 1, 1)
+    return np.unique(np.array([digest(b" ".join(found[i : i + words]), SEED) for i in range(n)], dtype=np.uint64))
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of shingles."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def bands_column(texts: pd.Series) -> pd.Series:
+    """The keys of a text, one per band of minimum hashes."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, size=(BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for text in texts:
+        x = shingles(text)
+        least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+        for i in range(0, len(x), 1 << 11):
+            least = np.minimum(least, (factors * x[i : i + (1 << 11)]).min(axis=1))
+        keys = [xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, BAND)]
+        out.append(np.array(keys, dtype=np.uint64).view(np.int64))
+    return pd.Series(out)
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (id, fp, bands) that meet under a band or are at most two bits apart.
+
+    Those of a key meet its smallest one and its largest by a hash, of which bands take four different ones;
+    up to three under a key meet all. Pairs grow with the classes, never with the square of a group.
+    """
+    each = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    each = each.union(classes.select("id", F.lit(-1).alias("band"), F.col("fp").alias("key")))
+    high = F.max(F.struct(F.expr("xxhash64(id, pmod(band, 4))"), "id"))["id"].alias("high")
+    ends = each.groupBy("band", "key").agg(F.min("id").alias("low"), high, F.count("*").alias("n")).where("n > 1")
+    met = each.join(ends, ["band", "key"]).select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    first = stored(classes.groupBy("fp").agg(F.min("id").alias("id")))
+    close = (
+        near_links(first)
+        .join(first.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a")
+        .join(first.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
+        .select("x", "y")
+    )
+    pairs = met.where("x <> y").union(close)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose texts are similar. Rows come sorted by ``a``, whose shingles are made once."""
+    at, x = None, None
+    for batch in batches:
+        good = []
+        for a, text, other in zip(batch["a"], batch["text"], batch["other"]):
+            if a != at:
+                at, x = a, shingles(text)
+            good.append(similarity(x, shingles(other)) >= SIMILARITY)
+        yield batch.loc[good, ["a", "b"]]
+
+
+def similar_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between ids of texts whose shingles have the similarity asked for; all are verified."""
+    pairs = stored(_candidates(classes))
+    text = common.text_or_empty()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = common.stored_texts(
+        docs.select(F.xxhash64(text).alias("id"), text.alias("text")).join(ends, "id", "left_semi")
+        .groupBy("id").agg(F.first("text").alias("text"))
+    )
+    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b").join(
+        texts.select(F.col("id").alias("a"), "text"), "a"
+    )
+    return full.select("a", "b", "text", "other").sortWithinPartitions("a").mapInPandas(_verified, "a long, b long")
+
+
+def without_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with one left of each component of similar ones: the one with the smallest doc_id.
+
+    Two texts are similar at a Jaccard similarity of 0.8 or more of their 5-word shingles. Words are as in
+    fingerprints: in lower case, whole texts; a null text counts as empty, and texts without a word are
+    equal. Of rows with that same doc_id in one component one stays, the first by hash of the text. Rows with
+    a null doc_id stay only where their component has no other. An empty table gives no rows. All columns are
+    returned, whatever their names.
+    """
+    common.prepare(spark)
+    text = common.text_or_empty()
+    rows = stored(
+        docs.select("doc_id", F.xxhash64(text).alias("id"), fingerprint_column(text).alias("fp"), bands_column(text).alias("bands"))
+    )
+    classes = stored(
+        rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    )
+    found = common.components(stored(similar_links(docs, classes)))
+    rooted = classes.join(found, classes.id == found.node, "left").select("id", "least", F.coalesce("component", "id").alias("root"))
+    # Null comes after every number here: it stays only where there is no other.
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "id")).alias("pick"))
+    kept = stored(kept.select(F.col("pick.least").alias("__id"), F.col("pick.id").alias("__text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__text"))
+    chosen = docs.withColumn("__print", F.xxhash64(text)).join(kept.hint("shuffle_hash"), same, "left_semi")
+    twice = rows.withColumnRenamed("id", "__print").join(kept, same, "left_semi").groupBy("doc_id", "__print").count().where("count > 1")
+    if not twice.isEmpty():
+        by = Window.partitionBy("doc_id", "__print").orderBy("__print")
+        chosen = chosen.withColumn("__row", F.row_number().over(by)).where("__row = 1").drop("__row")
+    return chosen.drop("__print")

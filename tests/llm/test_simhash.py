@@ -92,3 +92,39 @@ def test_one_document_of_each_group_stays(spark):
 def test_repeated_rows_leave_one(spark):
     docs = cases.awkward(spark, [r for r in cases.ROWS if r[0] == 6] * 3)
     assert sim.without_near_duplicates(spark, docs).count() == 1
+
+
+def words(text):
+    found = text.encode().lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, 1))}
+
+
+def test_near_copies_by_five_words_leave_one(spark):
+    """Copies at a similarity of 0.8 to 0.95, many of them far beyond two bits, and pairs below 0.8 that stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts, beyond = [], 0
+    for k in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        copy = list(base)
+        # Each changed word breaks five shingles.
+        for i in range(10, 190, 30 if k % 3 else (45 if k % 2 else 17)):
+            copy[i] = "changed"
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        beyond += (naive_print(texts[-1][1]) ^ naive_print(texts[-2][1])).bit_count() > 2
+    docs = cases.awkward(spark, [(i, t, "en", "a", 0, 0) for i, t in texts])
+    like = {i: len(words(a) & words(b)) / len(words(a) | words(b)) for (_, a), (i, b) in zip(texts[::2], texts[1::2])}
+    assert beyond > 30 and min(like.values()) < 0.8 < max(like.values())
+    kept = {r.doc_id for r in corpus_pipeline.unlike_documents(spark, docs, "").collect()}
+    assert kept == {i for i, _ in texts if like.get(i, 0) < 0.8}
+
+
+def test_similar_awkward_documents(spark):
+    docs = cases.awkward(spark)
+    kept = sim.without_similar(spark, docs)
+    assert kept.columns == docs.columns
+    # Copies leave the smallest id, passages 7 and 8 are similar at 0.84, and empty texts are equal.
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "2", "5", "7", "9", "None"]
+    assert sim.without_similar(spark, cases.empty(spark)).collect() == []
+    assert sim.without_similar(spark, cases.awkward(spark, [r for r in cases.ROWS if r[0] == 6] * 3)).count() == 1
