@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmill.llm import (
-    embedding_dedup, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_fst, sharding,
+    bpe_backtrack, embedding_dedup, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_fst, sharding,
     simhash_dedup, token_counts, toxicity,
 )
 from contactmill.llm.common import table
@@ -16,6 +16,7 @@ from contactmill.llm.common import table
 #: Files of the public tokenizers that the queries use.
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -68,11 +69,21 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_fst.encoded(spark, table(spark, folder, "documents"), tokenizer_file(PIECES))
 
 
+def op12_bpe_backtrack(spark: SparkSession, folder: str) -> DataFrame:
+    codes = bpe_backtrack.encoded(spark, table(spark, folder, "documents"), tokenizer_file(WORD_BPE))
+    return codes.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     each = (
         op1_token_counts, op2_embedding_dedup, op3_quality_rules, op4_toxicity, op5_line_dedup, op6_simhash_dedup,
         op7_quality_classifier, op8_sharding, op9_mixing, op10_sentencepiece,
+        op12_bpe_backtrack,
     )
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
