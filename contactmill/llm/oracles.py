@@ -8,6 +8,40 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+SQL["op11_lexical_search"] = r"""
+WITH read_docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS a
+    FROM documents
+),
+counted AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(a) AS term FROM read_docs) GROUP BY ALL),
+corpus AS (SELECT count(*) AS nn, sum(len(a))::BIGINT AS ll FROM read_docs WHERE len(a) > 0),
+factors AS (SELECT r, 100 - 75 + ((75 * len(a) * nn) // ll) AS m FROM read_docs, corpus WHERE len(a) > 0),
+wanted AS (
+    SELECT item_id, term, count(*) AS k FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+    GROUP BY ALL
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, corpus GROUP BY term
+),
+scored AS (
+    SELECT item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN counted USING (term) JOIN weights USING (term) JOIN factors USING (r)
+    GROUP BY ALL
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM numbered WHERE rank <= 10
+"""
+
 SQL["op5_line_dedup"] = r"""
 WITH cut AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 hashed AS (

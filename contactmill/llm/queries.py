@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmill.llm import (
-    bpe_backtrack, embedding_dedup, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_fst, sharding,
+    bpe_backtrack, embedding_dedup, lexical_search, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_fst, sharding,
     simhash_dedup, token_counts, toxicity,
 )
 from contactmill.llm.common import table
@@ -69,6 +69,10 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_fst.encoded(spark, table(spark, folder, "documents"), tokenizer_file(PIECES))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_bpe_backtrack(spark: SparkSession, folder: str) -> DataFrame:
     codes = bpe_backtrack.encoded(spark, table(spark, folder, "documents"), tokenizer_file(WORD_BPE))
     return codes.select(
@@ -84,6 +88,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_token_counts, op2_embedding_dedup, op3_quality_rules, op4_toxicity, op5_line_dedup, op6_simhash_dedup,
         op7_quality_classifier, op8_sharding, op9_mixing, op10_sentencepiece,
-        op12_bpe_backtrack,
+        op11_lexical_search, op12_bpe_backtrack,
     )
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
