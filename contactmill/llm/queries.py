@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactmill.llm import (
     bpe_backtrack, embedding_dedup, lexical_search, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_fst, sharding,
-    simhash_dedup, token_counts, toxicity,
+    simhash_dedup, token_counts, toxicity, whitening,
 )
 from contactmill.llm.common import table
 
@@ -82,12 +82,16 @@ def op12_bpe_backtrack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark, table(spark, folder, "embeddings"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     each = (
         op1_token_counts, op2_embedding_dedup, op3_quality_rules, op4_toxicity, op5_line_dedup, op6_simhash_dedup,
         op7_quality_classifier, op8_sharding, op9_mixing, op10_sentencepiece,
-        op11_lexical_search, op12_bpe_backtrack,
+        op11_lexical_search, op12_bpe_backtrack, op13_whitening,
     )
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}

@@ -7,7 +7,7 @@ from tests.llm.test_simhash import naive_components, naive_print
 
 def test_each_operator_has_one_query():
     names = list(queries.registered())
-    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 def test_stages_take_effect(spark):
