@@ -866,6 +866,11 @@ add(
 )
 _SQL["stream_new_records"] = _SQL["new_records"]
 
+# Updates by bucket have the results of the updates of whole tables.
+for _name in ("patched_emails", "deleted_emails", "stage_updates", "added_emails", "upsert_enrichment", "save_scores", "verify_applied"):
+    _SQL[f"bucket_{_name}"] = _SQL[_name]
+_SQL["bucket_delivery_events"] = _SQL["delivery_events_applied"]
+
 
 def registered() -> dict[str, str]:
     return dict(_SQL)

@@ -29,6 +29,7 @@ from contactmill.operators import verify as D
 from contactmill.plans.views import Tables
 from contactmill.session import scratch, stored
 from contactmill.sources import exports, tables
+from contactmill.sources.buckets import BucketedTable
 from contactmill.sources.files import load_rules, place_records, read_place_details, read_places, read_sequence_files
 from contactmill.streaming import backoff, delivery, runs
 
@@ -333,6 +334,95 @@ def stage_updates(t):
     return U.set_stage(t.leads, changes, SEND_AT).select("id", "pipeline_stage")
 
 
+# -- updates of tables kept by bucket ---------------------------------------------------------------
+BUCKETS = 16
+
+
+def _kept(t: Tables, rows: DataFrame, *keys: str) -> BucketedTable:
+    return BucketedTable.create(rows, scratch(t.spark), keys, BUCKETS)
+
+
+@query
+def bucket_patched_emails(t):
+    """As patched_emails, on a table of which the touched buckets are written anew."""
+    changes = t.orders.filter("o_totalprice >= 470000").select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("new"), F.col("o_orderkey").cast("string"), F.lit("@x.org")).alias("email"),
+        F.when(F.col("o_orderstatus") == "F", "owner").alias("role"),
+        (F.col("o_orderstatus") != "O").alias("role_given"),
+    )
+    kept = _kept(t, t.lead_emails, "id")
+    kept.patch(changes, ["email", "role"], present={"role": "role_given"})
+    return kept.read().select("id", "lead_id", "email", "role")
+
+
+@query
+def bucket_deleted_emails(t):
+    gone = t.orders.filter("o_totalprice >= 470000").select(F.col("o_orderkey").alias("id"))
+    mails, children = _kept(t, t.lead_emails, "id"), _kept(t, t.sequence_enrollments, "email_id")
+    mails.delete(gone)
+    children.delete(gone.withColumnRenamed("id", "email_id"))
+    return mails.read().select("id", F.lit("email").alias("kind")).unionByName(
+        children.read().select("id", F.lit("enrollment").alias("kind"))
+    )
+
+
+@query
+def bucket_stage_updates(t):
+    changes = t.lead_enrichment.select(F.col("lead_id").alias("id"), F.lit("qualified").alias("pipeline_stage"))
+    leads = _kept(t, t.leads, "id")
+    leads.merge(changes, lambda rows, new: U.set_stage(rows, new, SEND_AT))
+    return leads.read().select("id", "pipeline_stage")
+
+
+@query
+def bucket_added_emails(t):
+    """Manual leads' e-mails are added to the buckets of their leads; the rows that came are returned."""
+    wanted = t.leads.select(
+        F.col("id").alias("lead_id"), F.concat(F.lit(" Desk@"), "source", F.lit(".ORG ")).alias("email")
+    )
+    mails = _kept(t, t.lead_emails, "lead_id")
+    mails.merge(wanted, lambda rows, new: rows.unionByName(L.add_emails(rows, t.leads, new, SEND_AT), allowMissingColumns=True))
+    added = mails.read().where(F.col("email").startswith("desk@"))
+    return added.drop("id", "created_at", "contact_name")
+
+
+@query
+def bucket_upsert_enrichment(t):
+    found = t.leads.filter("score >= 40").select(
+        F.col("id").alias("lead_id"), (F.col("score") >= 70).alias("has_multiple_tutors"),
+        F.lit("doodle").alias("existing_scheduling_tool"), F.lit(2).alias("emails_found_count"),
+    )
+    table = _kept(t, t.lead_enrichment, "lead_id")
+    table.merge(found, lambda rows, new: P.upsert_enrichment(rows, new, SEND_AT))
+    return table.read()
+
+
+@query
+def bucket_save_scores(t):
+    leads = _kept(t, t.leads, "id")
+    leads.merge(_scored(t).select("id", "total_score"), K.save_scores)
+    return leads.read().select("id", "score", "pipeline_stage")
+
+
+@query
+def bucket_verify_applied(t):
+    mails = _kept(t, t.lead_emails, "id")
+    mails.merge(_verified(t).select("id", "new_status"), D.apply_verification)
+    return mails.read().select("id", "verification_status")
+
+
+@query
+def bucket_delivery_events(t):
+    """The send log is kept by message id here, as the events name no other key."""
+    events = t.send_log.filter("status <> 'sent' AND ses_message_id IS NOT NULL").select(
+        "ses_message_id", "status", F.col("sent_at").alias("at")
+    )
+    log = _kept(t, t.send_log, "ses_message_id")
+    log.merge(events, H.apply_delivery_events)
+    return log.read().select("id", "status")
+
+
 # -- ingest ---------------------------------------------------------------------------------------
 def _ingested(t: Tables) -> tuple[DataFrame, DataFrame]:
     found = B.operational_places(t.places_raw)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from contactmill.functions import columns as C
 from contactmill.operators.sendlog import status_counts, with_breaker, with_rates
 from contactmill.operators.snapshots import latest
+from contactmill.sources.buckets import Folder, KeyStore
 
 
 def file_stream(spark, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -122,24 +123,35 @@ def new_records(records: DataFrame, known: DataFrame | None = None) -> DataFrame
 
 
 def new_records_stream(
-    records: DataFrame, root: str, checkpoint: str, known: DataFrame | None = None, **trigger
+    records: DataFrame, root: str, checkpoint: str, known: DataFrame | None = None, buckets: int = 64,
+    horizon: str = "1 day", fold: int = 16, **trigger,
 ) -> StreamingQuery:
     """Collect new records of a stream below ``root``, however late a repetition comes.
 
-    Each micro-batch is held against the known records and those of the batches before, so nothing is kept
-    in state. A repeated batch overwrites its folder.
+    Repetitions that arrive within ``horizon`` are told by the state of the stream, which forgets a key after that
+    time; it goes by the time of arrival, so no record is too late. What passes is held against the keys of
+    all earlier batches in ``root/_keys``, of which only the buckets of the batch's keys are read. ``known``
+    records are put there once, ahead of the first batch. A repeated batch overwrites its folders.
     """
-    schema = records.schema
+    spark, keys = records.sparkSession, T.StructType([records.schema[k] for k in RECORD_KEYS])
+    store = KeyStore(spark, f"{root}/_keys", keys, buckets, fold)
+    arrived = records.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    recent = arrived.dropDuplicatesWithinWatermark(RECORD_KEYS).drop("_arrived")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_records(batch, known)
-        if batch_id:
-            before = batch.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(root)
-            fresh = new_records(fresh, before.filter(F.col("batch") < batch_id))
-        fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        if batch_id == 0 and known is not None:
+            store.add(known, -1)
+        # Written once, so that the state is not gone through again for each use.
+        incoming, target = f"_incoming/batch={batch_id}", f"{root}/batch={batch_id}"
+        new_records(batch).write.mode("overwrite").parquet(f"{root}/{incoming}")
+        read = spark.read.schema(records.schema)
+        store.unseen(read.parquet(f"{root}/{incoming}"), batch_id).write.mode("overwrite").parquet(target)
+        store.add(read.parquet(target), batch_id)
+        store.compact(batch_id)
+        Folder(spark, root).drop(incoming)
 
     return (
-        records.writeStream.foreachBatch(write)
+        recent.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

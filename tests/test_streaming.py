@@ -115,3 +115,27 @@ def test_new_records(spark, tmp_path):
         delivery.new_records_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", known).awaitTermination()
     out = spark.read.schema(schema).parquet(f"{tmp_path}/out")
     assert sorted((r.source, r.source_id) for r in out.collect()) == [("a", "1"), ("a", "2"), ("b", "1")]
+
+
+def test_new_records_read_only_the_buckets_of_a_batch(spark, tmp_path, monkeypatch):
+    """Repetitions across runs are told by the key store once the state has forgotten them."""
+    schema, scanned = "source string, source_id string", []
+    known = spark.createDataFrame([("maps", "k")], schema)
+    unseen = delivery.KeyStore.unseen
+
+    def watched(self, rows, batch):
+        out = unseen(self, rows, batch)
+        scanned.append([line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in line and "bucket" in line])
+        return out
+
+    monkeypatch.setattr(delivery.KeyStore, "unseen", watched)
+    for n in range(6):
+        rows = [("maps", f"p{n}"), ("maps", f"p{n - 1}"), ("maps", "p0"), ("maps", "k"), (None, "x"), (None, "x")]
+        write(spark.createDataFrame(rows, schema), tmp_path / "in", n)
+        stream = delivery.file_stream(spark, schema, f"{tmp_path}/in/*")
+        delivery.new_records_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", known, buckets=8, horizon="1 second", fold=2).awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").select("source", "source_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, "x"), ("maps", "p-1"), *[("maps", f"p{n}") for n in range(6)]], key=repr)
+    assert all(any("bucket" in line for line in lines) for lines in scanned if lines) and any(scanned)
+    assert max(len(list(p.glob("batch=*"))) for p in (tmp_path / "out/_keys").glob("bucket=*")) <= 4
+    assert not list((tmp_path / "out/_incoming").glob("batch=*"))
