@@ -7,7 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactmill.session import configure, scratch, stored
+from contactmill.session import configure, scratch
+from contactmill.sources.buckets import Folder
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -51,20 +52,24 @@ def components(edges: DataFrame) -> DataFrame:
     a lost executor costs a re-read. Nodes without a link to another node do not appear. Null ends,
     self-links and repeated links are ignored; no links give no rows.
     """
-    pairs = stored(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+    links = edges.where("a is not null and b is not null and a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    seen = None
+    spark, path = edges.sparkSession, None
+    seen, pairs = None, links.distinct()
     while True:
+        before, path = path, scratch(spark)
+        pairs.write.parquet(path)
+        if before:  # superseded by the round just written
+            Folder(spark, before).drop("")
+        pairs = spark.read.schema("a long, b long").parquet(path)
         mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         seen = mark
-        pairs = stored(_small_star(_large_star(pairs)))
+        pairs = _small_star(_large_star(pairs))
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
