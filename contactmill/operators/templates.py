@@ -61,6 +61,89 @@ def render(template: Column, variables: Column) -> Column:
     return squeeze_ends(conditional(conditional(filled, "if", True), "unless", False))
 
 
+_TOKEN = r"\{\{(?:#(?:if|unless)\s+\w+|/(?:if|unless)|\w+)\}\}"
+SEGMENTS = "array<struct<text: string, name: string, guard: string, negated: boolean>>"
+
+
+def compiled(template: Column) -> Column:
+    """A template as segments, to be worked out once per template instead of once per rendered row.
+
+    A segment is a piece of text or, with a ``name``, a variable whose text is what stays where it is unknown. One
+    inside a block has the block's variable as its ``guard``. Null where only the rendered text tells what the
+    braces mean: braces that belong to no variable or block, blocks that are not closed or lie within others.
+    Such templates are rendered by :func:`render`.
+    """
+
+    def segment(text, name=None, guard=None, negated=None) -> Column:
+        none = F.lit(None)
+        parts = {"text": text, "name": none if name is None else name, "guard": none if guard is None else guard,
+                 "negated": none if negated is None else negated}
+        kinds = {"text": "string", "name": "string", "guard": "string", "negated": "boolean"}
+        return F.struct(*[v.cast(kinds[k]).alias(k) for k, v in parts.items()])
+
+    def step(state: Column, piece: Column) -> Column:
+        """Take one pair of a text and the token after it. ``kind`` is the word of the open block."""
+        token, kind, guard = piece["token"], state["kind"], state["guard"]
+        word = F.regexp_extract(token, r"^\{\{[#/](if|unless)", 1)
+        opens, closes = token.startswith("{{#"), token.startswith("{{/")
+        negated = F.when(kind.isNotNull(), kind == "unless")
+        plain = segment(piece["text"], None, guard, negated)
+        name = F.regexp_extract(token, r"^\{\{(\w+)\}\}$", 1)
+        variable = segment(token, name, guard, negated)
+        more = F.when(token.isNull() | opens | closes, F.array(plain)).otherwise(F.array(plain, variable))
+        sound = (
+            state["sound"] & ~piece["text"].rlike(r"[{}]")
+            & F.coalesce(F.when(opens, kind.isNull()).when(closes, kind == word).otherwise(True), F.lit(False))
+        )
+        return F.struct(
+            F.concat(state["out"], more).alias("out"),
+            F.when(opens, word).when(~closes | token.isNull(), kind).alias("kind"),
+            F.when(opens, F.regexp_extract(token, r"\s(\w+)\}\}$", 1)).when(~closes | token.isNull(), guard).alias("guard"),
+            sound.alias("sound"),
+        )
+
+    pieces = F.zip_with(
+        F.split(template, _TOKEN, -1), F.regexp_extract_all(template, F.lit(_TOKEN), F.lit(0)),
+        lambda text, token: F.struct(text.alias("text"), token.alias("token")),
+    )
+    start = F.struct(
+        F.array().cast(SEGMENTS).alias("out"), F.lit(None).cast("string").alias("kind"),
+        F.lit(None).cast("string").alias("guard"), F.lit(True).alias("sound"),
+    )
+
+    def useful(found: Column) -> Column:
+        return F.filter(found, lambda s: s["name"].isNotNull() | (F.length(s["text"]) > 0))
+
+    end = let(F.aggregate(pieces, start, step), lambda s: F.when(s["sound"] & s["kind"].isNull(), useful(s["out"])))
+    return F.when(template.isNotNull(), end)
+
+
+def has_braces(variables: Column) -> Column:
+    """Whether a value holds a brace, which may make up new variables or blocks."""
+    return F.exists(F.map_values(variables), lambda v: v.contains("{") | v.contains("}"))
+
+
+def render_compiled(segments: Column, template: Column, variables: Column, braces: Column | None = None) -> Column:
+    """Fill a template from its segments in one pass.
+
+    Rows with a brace in a value (``braces``, if that is known already), and templates without segments, are
+    rendered from the template itself.
+    """
+
+    def shown(s: Column) -> Column:
+        text = F.when(s["name"].isNull(), s["text"]).otherwise(F.coalesce(F.try_element_at(variables, s["name"]), s["text"]))
+        given = F.coalesce(F.length(F.try_element_at(variables, s["guard"])) > 0, F.lit(False))
+        return F.when(s["guard"].isNull() | (given != s["negated"]), text).otherwise("")
+
+    direct = segments.isNotNull() & ~(has_braces(variables) if braces is None else braces)
+    return F.when(direct, squeeze_ends(F.array_join(F.transform(segments, shown), ""))).otherwise(render(template, variables))
+
+
+def compile_steps(steps: DataFrame) -> DataFrame:
+    """Add ``subject_segments`` and ``body_segments`` to a table of sequence steps."""
+    return steps.withColumns({f"{part}_segments": compiled(F.col(f"{part}_template")) for part in ("subject", "body")})
+
+
 def _specialty_list(df: DataFrame, column: str = "specialties") -> Column:
     """Specialties as an array, whether stored as an array or as JSON text; null if absent."""
     if column not in df.columns:
@@ -138,20 +221,41 @@ def chosen_opening(df: DataFrame, *key: Column) -> Column:
     return F.get(lines, F.pmod(F.xxhash64(*key), F.size(lines)).cast("int"))
 
 
+def prepare_leads(leads: DataFrame, key: str = "id") -> DataFrame:
+    """Add ``prepared``, all that rendering needs of a lead, worked out once per lead instead of once per step."""
+    opening = chosen_opening(leads, F.col(key), F.lit(1))
+    maps = with_variables(with_variables(leads, opening).withColumnRenamed("variables", "_first"))
+    both = F.struct(
+        F.col("_first").alias("first"), F.col("variables").alias("later"),
+        has_braces(F.col("_first")).alias("first_braces"), has_braces(F.col("variables")).alias("later_braces"),
+    )
+    return maps.withColumn("prepared", both).drop("_first", "variables")
+
+
 def render_steps(rows: DataFrame) -> DataFrame:
     """Add ``subject`` and ``body`` to rows of a lead joined with a sequence step.
 
-    Rows carry the lead, its enrichment columns, ``step_number`` and the two templates. The
-    opening line is offered to the first step only.
+    Rows carry the lead with its enrichment columns, or one from :func:`prepare_leads`, ``step_number`` and the two
+    templates. The opening line is offered to the first step only. Steps from :func:`compile_steps` are rendered by
+    their segments.
     """
-    key = F.col("lead_id") if "lead_id" in rows.columns else F.col("id")
-    opening = F.when(F.col("step_number") == 1, chosen_opening(rows, key, F.col("step_number")))
-    return (
-        with_variables(rows, opening)
-        .withColumn("subject", render(F.col("subject_template"), F.col("variables")))
-        .withColumn("body", render(F.col("body_template"), F.col("variables")))
-        .drop("variables")
-    )
+    first = F.col("step_number") == 1
+    if "prepared" in rows.columns:
+        filled = rows.withColumn("variables", F.when(first, F.col("prepared.first")).otherwise(F.col("prepared.later")))
+        braces = F.when(first, F.col("prepared.first_braces")).otherwise(F.col("prepared.later_braces"))
+    else:
+        key = F.col("lead_id") if "lead_id" in rows.columns else F.col("id")
+        filled = with_variables(rows, F.when(first, chosen_opening(rows, key, F.col("step_number"))))
+        braces = None
+
+    def text(part: str) -> Column:
+        template, segments = F.col(f"{part}_template"), f"{part}_segments"
+        if segments in rows.columns:
+            return render_compiled(F.col(segments), template, F.col("variables"), braces)
+        return render(template, F.col("variables"))
+
+    out = filled.withColumn("subject", text("subject")).withColumn("body", text("body"))
+    return out.drop("variables", "prepared", "subject_segments", "body_segments")
 
 
 def template_errors(template: Column) -> Column:

@@ -1057,8 +1057,8 @@ def rendered_steps(t):
     """Every enrolled lead with the first two steps of its sequence."""
     rows = (
         t.sequence_enrollments.select("lead_id", "sequence_id")
-        .join(_lead_texts(t).withColumnRenamed("id", "lead_id"), "lead_id")
-        .join(t.sequence_steps, "sequence_id")
+        .join(M.prepare_leads(_lead_texts(t)).select(F.col("id").alias("lead_id"), "prepared"), "lead_id")
+        .join(M.compile_steps(t.sequence_steps), "sequence_id")
     )
     return M.render_steps(rows).select("lead_id", "sequence_id", "step_number", "subject", "body")
 

@@ -254,3 +254,36 @@ def test_replies(spark, mailing):
     rows = {r.id: (r.status, r.next_send_at.day) for r in R.apply_to_enrollments(mailing[0], effects, "2024-02-01").collect()}
     assert [rows[i][0] for i in (0, 1, 2, 3, 9)] == ["active", "replied", "unsubscribed", "active", "replied"]
     assert rows[3][1] == 11 and rows[0][1] == 1
+
+
+TEMPLATES = [
+    "", "plain", "{{a}}", "x {{a}} y {{zz}} {{a}}", "{{#if a}}has {{a}}{{/if}}{{#unless a}}none{{/unless}}", " {{b}} ",
+    "{{#if b}}B{{/if}}{{#unless zz}}no {{zz}}{{/unless}}", "{{#if a}}open {{a}}", "{{/if}} closed", "{{#if a}}{{#if b}}x{{/if}}{{/if}}",
+    "{{#if a}}{{#unless b}}x{{/unless}}{{/if}}", "{{#if {{a}}}}x{{/if}}", "a { b } {{a}}", "{{ a }}", "{{#if  a}}two{{/if}}",
+    "{{#if a}}1{{/unless}}2{{/if}}", "{{}}{{a}}", "{{{a}}}", "line\n{{a}}\n\n{{#if a}}\nx\n{{/if}}\n", "{{#if zz}}gone{{/if}}{{a}}{{#if a}}kept{{/if}}",
+]
+VALUES = [
+    {"a": "Ann", "b": ""}, {"a": "", "b": "Bob"}, {}, {"a": "{{b}}", "b": "deep"}, {"a": "b", "b": "{{#if a}}"}, {"a": " s ", "b": "}}"},
+]
+
+
+def test_compiled_templates_render_as_templates_do(spark):
+    rows = spark.createDataFrame([(t, v) for t in [None, *TEMPLATES] for v in VALUES], "template string, v map<string,string>")
+    segments = rows.withColumn("s", M.compiled(F.col("template")))
+    out = segments.select("template", "v", "s", M.render(F.col("template"), F.col("v")).alias("want"), M.render_compiled(F.col("s"), F.col("template"), F.col("v")).alias("got"))
+    assert [(r.template, r.v, r.got) for r in out.collect()] == [(r.template, r.v, r.want) for r in out.collect()]
+    by_segments = {r.template for r in out.where("s IS NOT NULL").collect()}
+    assert {t for t in TEMPLATES if t not in by_segments} == {
+        "{{#if a}}open {{a}}", "{{/if}} closed", "{{#if a}}{{#if b}}x{{/if}}{{/if}}", "{{#if a}}{{#unless b}}x{{/unless}}{{/if}}",
+        "{{#if {{a}}}}x{{/if}}", "a { b } {{a}}", "{{ a }}", "{{#if a}}1{{/unless}}2{{/if}}", "{{}}{{a}}", "{{{a}}}",
+    }
+    assert len(segments.where("template = 'x {{a}} y {{zz}} {{a}}'").first().s) == 6
+
+
+def test_prepared_leads_and_compiled_steps_render_alike(spark):
+    steps = spark.createDataFrame([(1, TEMPLATES[3], "{{personalized_opening}} {{city}}"), (2, "{{business_name}}", "{{personalized_opening}}{{#if first_name}}x{{/if}}")], "step_number int, subject_template string, body_template string")
+    leads = spark.createDataFrame([(1, "Ann's Maths", "solo_tutor", "Oslo", "N"), (2, "{{city}}", "agency", "", None)], "id long, business_name string, business_type string, city string, state_province string")
+    leads = leads.selectExpr("*", "'w' AS website", "cast(null as string) AS specialties", "4.9 AS google_rating", "30L AS google_review_count")
+    want = M.render_steps(leads.crossJoin(steps)).select("id", "step_number", "subject", "body")
+    got = M.render_steps(M.prepare_leads(leads).crossJoin(M.compile_steps(steps))).select("id", "step_number", "subject", "body")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
