@@ -866,6 +866,24 @@ add(
 )
 _SQL["stream_new_records"] = _SQL["new_records"]
 
+_SQL["sliding_breaker"] = _SQL["stream_sliding_breaker"] = _SQL["rolling_breaker"]
+_SQL["stream_corrected_daily"] = _SQL["stream_daily_sent"]
+add(
+    "stream_late_events", "",
+    """SELECT batch, count(*) AS rows, count(*) FILTER (ts < mark - INTERVAL 1 HOUR) AS late,
+      max((epoch_us(mark) - epoch_us(ts)) // 1000) FILTER (ts < mark - INTERVAL 1 HOUR) AS worst_ms
+    FROM (SELECT event_id % 4 AS batch, ts FROM events) JOIN (
+      SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+      FROM (SELECT event_id % 4 AS batch, max(ts) AS m FROM events GROUP BY 1)) USING (batch) GROUP BY 1""",
+)
+add(
+    "scheduled_limits", "send_log",
+    """SELECT sender, "at", CASE WHEN sender = 6 THEN 15 WHEN n < 1 THEN 0 WHEN n > 29 THEN 15
+      ELSE (SELECT max_by(lim, d) FROM (VALUES (1, 25), (4, 50), (8, 75), (15, 90), (22, 100), (29, 100)) w(d, lim) WHERE d <= n) + CAST(sender AS INT) END AS daily_limit
+    FROM (SELECT *, date_diff('day', min("at") OVER (PARTITION BY sender), "at") - CAST(sender AS INT) + 1 AS n
+      FROM (SELECT DISTINCT lead_id % 7 AS sender, date_trunc('day', sent_at) AS "at" FROM send_log))""",
+)
+
 # Updates by bucket have the results of the updates of whole tables.
 for _name in ("patched_emails", "deleted_emails", "stage_updates", "added_emails", "upsert_enrichment", "save_scores", "verify_applied"):
     _SQL[f"bucket_{_name}"] = _SQL[_name]

@@ -16,6 +16,7 @@ from contactmill.functions import emails as E
 from contactmill.functions import features as X
 from contactmill.functions import fixed_values as fv
 from contactmill.functions.hidden_emails import decode_cf, hidden_emails, to_ascii_forms
+from contactmill.operators import asof as Z
 from contactmill.operators import ingest as B
 from contactmill.operators import leads as L
 from contactmill.operators import pages as P
@@ -1080,6 +1081,21 @@ def warmup_limit(t):
     )
 
 
+@query
+def scheduled_limits(t):
+    """Limits of seven senders, each with a start and a schedule of its own; the last one never warms up."""
+    sender = F.col("lead_id") % 7
+    log = t.send_log.select(sender.alias("sender"), F.date_trunc("day", "sent_at").alias("at"))
+    starts = log.groupBy("sender").agg(F.min("at").alias("first")).select(
+        "sender", F.when(F.col("sender") < 6, F.col("first") + F.make_dt_interval(F.col("sender").cast("int"))).alias("warmup_start")
+    )
+    entries = F.array(*[F.struct(F.lit(d).alias("day"), F.lit(n).alias("n")) for d, n in fv.WARMUP_SCHEDULE])
+    schedule = starts.select("sender", F.explode(entries).alias("e")).select(
+        "sender", "e.day", (F.col("e.n") + F.col("sender")).cast("int").alias("daily_limit")
+    )
+    return Z.scheduled_limits(log.distinct(), starts, schedule, fv.BASE_DAILY_LIMIT)
+
+
 @query
 def sending_window(t):
     inside = G.in_sending_window(F.col("sent_at"), RULES)
@@ -1394,3 +1410,24 @@ def stream_new_records(t):
 @query
 def stream_domain_backoff(t):
     return runs.domain_backoff(t.spark, t._folder)
+
+
+@query
+def sliding_breaker(t):
+    return delivery.sliding_breaker(t.send_log)
+
+
+@query
+def stream_sliding_breaker(t):
+    return runs.sliding_breaker(t.spark, t._folder)
+
+
+@query
+def stream_late_events(t):
+    """The events in four batches, by id: how many of each came later than the watermark allows."""
+    return runs.late_events(t.spark, t._folder)
+
+
+@query
+def stream_corrected_daily(t):
+    return runs.corrected_daily(t.spark, t._folder)

@@ -113,6 +113,76 @@ def rolling_breaker(hourly: DataFrame) -> DataFrame:
     )
 
 
+def sliding_breaker(sends: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """The circuit breaker over the trailing 24 hours as one streaming plan, on a stream (in update mode) or a table.
+
+    Sends are counted in sliding windows, merged by each task before they are shuffled, so the state holds one row
+    of counts for each window that ``lateness`` leaves open: 24 and those of the lateness.
+    """
+    counted = sends.withWatermark("sent_at", lateness) if sends.isStreaming else sends
+    windows = counted.groupBy(F.window("sent_at", "24 hours", "1 hour").alias("w")).agg(*status_counts())
+    rated = with_rates(windows.withColumn("judged_at", F.col("w.end")).drop("w"))
+    return with_breaker(rated).select("judged_at", "total", "bounce_rate", "complaint_rate", "pause", "reason")
+
+
+def split_late_stream(
+    rows: DataFrame, time: str, lateness: str, root: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Part a stream into rows on time and late ones, below ``root``; nothing is dropped.
+
+    A row is late where its time is more than ``lateness`` before the greatest time of the batches before,
+    which is where a watermark of that lateness stands. That time is kept in one row per batch, of which a batch
+    reads the last. Rows without a time are late. A repeated batch overwrites its folders.
+    """
+    spark, kind = rows.sparkSession, rows.schema[time].dataType.simpleString()
+
+    def mark_of(batch_id: int):
+        return spark.read.schema(f"mark {kind}").parquet(f"{root}/_marks/batch={batch_id}").first().mark
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mark = mark_of(batch_id - 1) if batch_id else None
+        known = F.lit(mark).cast(kind)
+        late = F.col(time).isNull() | F.coalesce(F.col(time) < known - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+        target = f"{root}/batch={batch_id}"
+        marked = batch.select("*", known.alias("mark"), late.alias("late"))
+        marked.write.mode("overwrite").partitionBy("late").parquet(target)
+        greatest = _split(spark, rows.schema, target).agg(F.greatest(F.max(time), known).alias("mark"))
+        greatest.coalesce(1).write.mode("overwrite").parquet(f"{root}/_marks/batch={batch_id}")
+
+    return (
+        rows.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def _split(spark: SparkSession, schema: T.StructType, path: str, *more: T.StructField) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, *more])).parquet(path)
+
+
+def read_split(spark: SparkSession, schema: T.StructType, root: str) -> DataFrame:
+    """All rows of :func:`split_late_stream` with ``mark``, ``batch`` and ``late``; filters on the last two skip folders."""
+    mark = T.StructField("mark", T.TimestampType())
+    more = [T.StructField("batch", T.LongType()), T.StructField("late", T.BooleanType())]
+    return _split(spark, schema, root, mark, *more)
+
+
+def late_report(split: DataFrame, time: str) -> DataFrame:
+    """Per batch: rows, late rows, and by how many milliseconds the latest one is behind the greatest time before."""
+    behind = F.floor((F.unix_micros("mark") - F.unix_micros(time)) / 1000)
+    return split.groupBy("batch").agg(
+        F.count("*").alias("rows"), C.count_where(F.col("late")).alias("late"),
+        F.max(F.when(F.col("late"), behind)).alias("worst_ms"),
+    )
+
+
+def corrected_daily(counts: DataFrame, late: DataFrame) -> DataFrame:
+    """Daily counts of a stream, with the sends that came too late for it added."""
+    both = counts.unionByName(daily_sent(late.where("sent_at IS NOT NULL")))
+    return both.groupBy("day").agg(F.sum("sent").alias("sent"), F.sum("attempted").alias("attempted"))
+
+
 RECORD_KEYS = ["source", "source_id"]
 
 

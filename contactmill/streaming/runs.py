@@ -82,6 +82,39 @@ def rolling_breaker(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.rolling_breaker(hourly)
 
 
+def sliding_breaker(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_rows(delivery.sliding_breaker(_sends(spark, folder)), ["judged_at"], _folder(spark))
+
+
+#: Micro-batches into which the events are dealt, by id, where rows have to come late.
+PARTS = 4
+
+
+def _split_sends(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The sends of the events, dealt to PARTS batches in turn and split by lateness; and the folder of the split."""
+    where = _folder(spark)
+    events = configure(spark).read.schema(EVENTS).parquet(f"{folder}/events.parquet")
+    for n in range(PARTS):
+        events.where(F.col("event_id") % PARTS == n).write.parquet(f"{where}/in/part{n}")
+        stream = delivery.file_stream(spark, EVENTS, f"{where}/in/part*")
+        sends = stream.select(F.col("event_id"), _status().alias("status"), F.col("ts").cast("timestamp").alias("sent_at"))
+        delivery.split_late_stream(sends, "sent_at", "1 hour", f"{where}/split", f"{where}/split-checkpoint").awaitTermination()
+    return delivery.read_split(spark, sends.schema, f"{where}/split"), where
+
+
+def late_events(spark: SparkSession, folder: str) -> DataFrame:
+    return delivery.late_report(_split_sends(spark, folder)[0], "sent_at")
+
+
+def corrected_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily counter over what came in time, then with the late rows added."""
+    split, where = _split_sends(spark, folder)
+    kept = T.StructType([f for f in split.schema.fields if f.name not in ("batch", "late")])
+    in_time = delivery.file_stream(spark, kept, f"{where}/split/batch=*/late=false")
+    counts = latest_rows(delivery.daily_sent(in_time), ["day"], f"{where}/counts")
+    return delivery.corrected_daily(counts, split.where("late"))
+
+
 def new_records(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     rows = _events(spark, folder).select(
         F.col("event_type").alias("source"),

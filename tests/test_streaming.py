@@ -139,3 +139,30 @@ def test_new_records_read_only_the_buckets_of_a_batch(spark, tmp_path, monkeypat
     assert all(any("bucket" in line for line in lines) for lines in scanned if lines) and any(scanned)
     assert max(len(list(p.glob("batch=*"))) for p in (tmp_path / "out/_keys").glob("bucket=*")) <= 4
     assert not list((tmp_path / "out/_incoming").glob("batch=*"))
+
+
+def test_late_rows_are_kept_aside_and_counted(spark, tmp_path):
+    schema = "id int, at timestamp"
+    batches = [[(1, minutes(100)), (2, minutes(0))], [(3, minutes(39)), (4, minutes(40)), (5, None)], [], [(6, minutes(300))], [(7, minutes(239)), (8, minutes(100))]]
+    for n, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), tmp_path / "in", n)
+        stream = delivery.file_stream(spark, schema, f"{tmp_path}/in/*")
+        delivery.split_late_stream(stream, "at", "1 hour", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    split = delivery.read_split(spark, stream.schema, f"{tmp_path}/out")
+    assert {r.id: r.late for r in split.collect()} == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True, 8: True}
+    report = {r.batch: (r["rows"], r.late, r.worst_ms) for r in delivery.late_report(split, "at").collect()}
+    last = max(report)
+    assert report[0] == (2, 0, None) and report[1] == (3, 2, 61 * 60_000) and report[last] == (2, 2, 200 * 60_000)
+    plan = split.where("late")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(late" in plan
+
+
+def test_sliding_breaker_streams_in_one_plan(spark, tmp_path):
+    sends = [("sent", minutes(0)), ("bounced", minutes(50)), ("delivered", minutes(61)), ("sent", minutes(60 * 30)), ("sent", None)]
+    rows = spark.createDataFrame(sends, "status string, sent_at timestamp")
+    want = delivery.rolling_breaker(delivery.hourly_status(rows.where("sent_at is not null")))
+    write(rows, tmp_path / "in", 0)
+    stream = delivery.sliding_breaker(delivery.file_stream(spark, rows.schema, f"{tmp_path}/in/*"))
+    got = runs.latest_rows(stream, ["judged_at"], f"{tmp_path}/run")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, delivery.sliding_breaker(rows).collect())) == sorted(map(tuple, want.collect()))
