@@ -7,11 +7,17 @@ depth. Rounds go on until few lists change and an audit against brute force on a
 recall asked for; otherwise lists grow. A list full of links is saturated: it may hide more links, so all
 vectors of its component are then compared in blocks, of which only counts of links come out.
 
+Nearest neighbours of a saturated vector are all of its own group, so links to another saturated group never
+come up in its list. Such vectors therefore get a longer list, of neighbours in other components only, by a
+descent of its own: from new random trees, over the neighbours of neighbours of both lists. Components that turn
+out to be linked become one, and this goes on until none are found.
+
 Vectors that are equal up to their length are one class from the start, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,8 @@ CHANGE = 0.02
 #: Vectors of the audit (a bounded sample, the first by hash), and the share of their links to be found.
 AUDIT = 256
 RECALL = 0.98
+#: Below this recall, with the longest lists allowed, there is no result.
+LEAST_RECALL = 0.9
 BLOCK = 512
 #: Rounds compare vectors at half precision; what may be a link at that is compared again in full.
 SLACK = 0.004
@@ -67,15 +75,15 @@ def half_column(units: pd.Series) -> pd.Series:
     return pd.Series([np.frombuffer(u).astype(np.float16).tobytes() for u in units], dtype=object)
 
 
-def _cells_column(bits: int):
-    """Per table the cell of a vector: the signs of its projections on random directions."""
+def _cells_column(bits: int, seed: int = 0):
+    """Per table the cell of a vector: the signs of its projections on random directions, others for each seed."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def cells(units: pd.Series) -> pd.Series:
         out = []
         for u in units:
             x = np.frombuffer(u)
-            rng = np.random.default_rng(len(x))
+            rng = np.random.default_rng([len(x), seed] if seed else len(x))
             signs = rng.normal(size=(TABLES, bits, len(x))) @ x > 0
             out.append([int(s @ (1 << np.arange(bits))) for s in signs])
         return pd.Series(out)
@@ -84,7 +92,7 @@ def _cells_column(bits: int):
 
 
 def _compared(keep: int):
-    """Rows sorted by ``at``: compare all that meet at the same place, give each its best new neighbours.
+    """Rows sorted by ``at``: compare all of different ``kin`` that meet at a place, give each its best new neighbours.
 
     Places with many rows are taken in blocks of consecutive ones, so memory stays bounded.
     """
@@ -96,8 +104,9 @@ def _compared(keep: int):
         x = np.stack([np.frombuffer(r[1], dtype=np.float16) for r in rows]).astype(np.float32)
         near = x @ x.T
         floor = np.array([r[2] for r in rows], dtype=np.float32)
-        near[ids[:, None] == ids[None, :]] = -2
-        for i, (_, _, _, known) in enumerate(rows):
+        kin = np.array([r[4] for r in rows])
+        near[kin[:, None] == kin[None, :]] = -2
+        for i, (_, _, _, known, _) in enumerate(rows):
             row = near[i]
             good = np.flatnonzero(row > floor[i])
             if len(good) > keep:
@@ -108,11 +117,11 @@ def _compared(keep: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, rows, out = None, [], []
         for batch in batches:
-            for at, i, half, floor, known in batch[["at", "id", "half", "floor", "known"]].itertuples(index=False):
+            for at, i, half, floor, known, kin in batch[["at", "id", "half", "floor", "known", "kin"]].itertuples(index=False):
                 if at != place or len(rows) >= 2 * CELL:
                     flush(rows, out)
                     place, rows = at, []
-                rows.append((i, half, floor, known))
+                rows.append((i, half, floor, known, kin))
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["id", "other", "near"])
                 out = []
@@ -123,7 +132,7 @@ def _compared(keep: int):
 
 
 def _meet(rows: DataFrame, keep: int) -> DataFrame:
-    """Candidates (id, other, near) of rows (at, id, half, floor, known)."""
+    """Candidates (id, other, near) of rows (at, id, half, floor, known, kin); those of one kin are not compared."""
     return rows.repartition("at").sortWithinPartitions("at", F.xxhash64("id")).mapInPandas(_compared(keep), _PAIRS)
 
 
@@ -144,18 +153,18 @@ def _merged(lists: DataFrame | None, found: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _first_lists(points: DataFrame, n: int, keep: int) -> DataFrame:
-    """Lists from the cells of a few random projection trees, deep enough for cells of about CELL / 2."""
+def _first_lists(points: DataFrame, n: int, keep: int, seed: int = 0) -> DataFrame:
+    """Lists of points (id, half, unit, kin) from the cells of a few random projection trees, deep enough for cells of about CELL / 2."""
     bits = min(40, max(0, int(np.ceil(np.log2(max(n / (CELL / 2), 1))))))
     width = F.octet_length("half").alias("width")
-    cells = points.select("id", "half", width, F.posexplode(_cells_column(bits)("unit")).alias("tree", "cell"))
+    cells = points.select("id", "half", "kin", width, F.posexplode(_cells_column(bits, seed)("unit")).alias("tree", "cell"))
     # Vectors of different widths never meet.
     keys = ["tree", "width", "cell"]
     sizes = cells.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts")).where("parts > 1")
     # A crowded cell is dealt out by hash, so no place gathers much more than others.
     placed = cells.join(stored(sizes), keys, "left").select(
         F.xxhash64(*keys, F.expr("pmod(xxhash64(id, tree), coalesce(parts, 1))")).alias("at"),
-        "id", "half", F.lit(-1.0).cast("float").alias("floor"), F.expr("cast(array() as array<bigint>)").alias("known"),
+        "id", "half", F.lit(-1.0).cast("float").alias("floor"), F.expr("cast(array() as array<bigint>)").alias("known"), "kin",
     )
     return _merged(None, _meet(placed, keep), keep)
 
@@ -166,12 +175,12 @@ def _round(points: DataFrame, lists: DataFrame, keep: int) -> DataFrame:
         "id", "half", F.coalesce("known", F.expr("cast(array() as array<bigint>)")).alias("known"),
         F.expr(f"case when size(known) >= {keep} then near[{keep - 1}] else cast(-1.0 as float) end").alias("floor"),
     )
-    sent = full.select(F.explode(F.concat("known", F.array("id"))).alias("at"), "id", "half", "floor", "known")
+    sent = full.select(F.explode(F.concat("known", F.array("id"))).alias("at"), "id", "half", "floor", "known", F.col("id").alias("kin"))
     return _meet(sent, keep)
 
 
 def _descent(points: DataFrame, n: int, keep: int, lists: DataFrame | None) -> DataFrame:
-    lists = stored(_first_lists(points, n, keep) if lists is None else lists)
+    lists = stored(_first_lists(points.withColumn("kin", F.col("id")), n, keep) if lists is None else lists)
     for _ in range(MAX_ROUNDS):
         found = stored(_round(points, lists, keep))
         changed = found.count()
@@ -250,14 +259,45 @@ def _crowded_counts(points: DataFrame, crowds: DataFrame, cosine: float) -> Data
     )
 
 
-def _counted(points: DataFrame, lists: DataFrame, keep: int, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) links between classes and (id, found) numbers of linked vectors of other classes."""
-    links = stored(_links(points, lists, cosine))
-    groups = stored(common.components(links).select(F.col("node").alias("id"), "component"))
-    # Saturated: the last of a full list may be a link too.
+def _foreign_links(points: DataFrame, crowds: DataFrame, lists: DataFrame, keep: int, cosine: float, seed: int) -> DataFrame:
+    """Links (a, b) between saturated components, from lists of neighbours in other components only."""
+    none = F.expr("cast(array() as array<bigint>)")
+    members = stored(points.join(crowds, "id").select("id", "half", "unit", F.col("component").alias("kin")))
+    n = members.count()
+    own = stored(members.join(lists, "id", "left").select("id", "half", "kin", F.coalesce("known", none).alias("own")))
+    foreign = stored(_first_lists(members, n, keep, seed))
+    for _ in range(MAX_ROUNDS):
+        full = own.join(foreign, "id", "left").withColumn("known", F.coalesce("known", none))
+        floor = F.expr(f"case when size(known) >= {keep} then near[{keep - 1}] else cast(-1.0 as float) end").alias("floor")
+        sent = full.select(F.explode(F.concat("known", "own", F.array("id"))).alias("at"), "id", "half", floor, "known", "kin")
+        found = stored(_meet(sent, keep))
+        changed = found.count()
+        foreign = stored(_merged(foreign, found, keep))
+        if changed <= CHANGE * keep * n:
+            break
+    return stored(_links(points, foreign, cosine))
+
+
+def _crowds(groups: DataFrame, lists: DataFrame, keep: int, cosine: float) -> DataFrame:
+    """(id, component) of the components with a saturated list: the last of a full one may be a link too."""
     saturated = lists.where(F.expr(f"size(known) >= {keep} and near[{keep - 1}] >= {cosine - SLACK}")).select("id")
     crowded = groups.join(saturated, "id", "left_semi").select("component").distinct()
-    crowds = stored(groups.join(crowded, "component", "left_semi"))
+    return stored(groups.join(crowded, "component", "left_semi"))
+
+
+def _counted(points: DataFrame, lists: DataFrame, keep: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links between classes and (id, found) numbers of linked vectors of other classes."""
+    links, seed = stored(_links(points, lists, cosine)), 0
+    while True:
+        groups = stored(common.components(links).select(F.col("node").alias("id"), "component"))
+        crowds = _crowds(groups, lists, keep, cosine)
+        if crowds.select("component").distinct().limit(2).count() < 2:
+            break
+        seed += 1
+        more = _foreign_links(points, crowds, lists, keep, cosine, seed)
+        if more.isEmpty():
+            break
+        links = stored(links.union(more).distinct())
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     open_ = both.join(crowds.select(F.col("id").alias("a")), "a", "left_anti")
     plain = (
@@ -269,7 +309,8 @@ def _counted(points: DataFrame, lists: DataFrame, keep: int, cosine: float) -> t
 
 
 def _audit(points: DataFrame, found: DataFrame, cosine: float) -> float:
-    """The share of the links of a bounded sample that the lists led to; 1 where the sample has none.
+    """The share of its links that a vector of a bounded sample was given, on average over its vectors with few links
+    or over those with many, whichever is less; 1 where the sample has none.
 
     At most AUDIT vectors are compared with all others, in batches, on every executor.
     """
@@ -293,8 +334,9 @@ def _audit(points: DataFrame, found: DataFrame, cosine: float) -> float:
         yield pd.DataFrame({"id": ids, "expected": total})
 
     true = points.select("id", "unit", "size").mapInPandas(compared, "id long, expected long").groupBy("id").agg(F.sum("expected").alias("expected"))
-    row = true.where("expected > 0").join(found, "id", "left").agg(F.sum(F.least("expected", F.coalesce("found", F.lit(0)))), F.sum("expected")).first()
-    return 1.0 if not row[1] else row[0] / row[1]
+    share = F.least("expected", F.coalesce("found", F.lit(0))) / F.col("expected")
+    rows = true.where("expected > 0").join(found, "id", "left").groupBy(F.col("expected") > NEIGHBOURS).agg(F.avg(share)).collect()
+    return min((r[1] for r in rows), default=1.0)
 
 
 def near_duplicates(
@@ -325,7 +367,13 @@ def near_duplicates(
     while True:
         lists = _descent(points, n, keep, lists)
         groups, found = _counted(points, lists, keep, cosine)
-        if keep >= n or keep >= 8 * neighbours or _audit(points, found, cosine) >= RECALL:
+        recall = _audit(points, found, cosine)
+        if recall >= RECALL or keep >= n:
+            break
+        if keep >= 8 * neighbours:
+            if recall < LEAST_RECALL:
+                raise ArithmeticError(f"recall {recall:.3f} with lists of {keep} neighbours")
+            warnings.warn(f"recall {recall:.3f} with lists of {keep} neighbours", stacklevel=2)
             break
         keep *= 2
     named = points.select("id", "first", "size", "unit").join(groups, "id", "left").join(found, "id", "left")

@@ -68,6 +68,18 @@ def test_crowds_pairs_and_strays(spark):
     check(spark, [(1000 + 7 * i, floats(v)) for i, v in enumerate(vectors)])
 
 
+def test_links_between_saturated_groups(spark):
+    """Two groups far denser than the gap between them, which is within reach, and a third beyond it."""
+    rng = np.random.default_rng(9)
+    one, aside, beyond = np.linalg.qr(rng.normal(size=(32, 3)))[0].T
+    centres = [one, 0.968 * one + np.sqrt(1 - 0.968**2) * aside, 0.9 * one - np.sqrt(1 - 0.9**2) * beyond]
+    vectors = [c + 0.001 * rng.normal(size=32) for c in centres for _ in range(150)] + [rng.normal(size=32) for _ in range(200)]
+    rows = [(5 * i, floats(v)) for i, v in enumerate(vectors)]
+    want = naive(rows)
+    assert sum(r[1] == 299 for r in want) == 300
+    assert cases.ordered(emb.near_duplicates(spark, table(spark, rows)).collect()) == want
+
+
 def test_whole_table(spark):
     rows = spark.read.parquet(f"{cases.folder()}/embeddings.parquet")
     want = naive([(r.vec_id, list(r.embedding)) for r in rows.collect()])
@@ -84,3 +96,9 @@ def test_audit_sees_missing_links(spark):
     assert emb._audit(points, none, 0.95) == 0
     full = spark.createDataFrame([(i, 19) for i in range(20)], "id long, found long")
     assert emb._audit(points, full, 0.95) == 1
+    # Lost pairs are seen beside a large group that is found whole.
+    pairs = [100 + i for i in range(10)]
+    lone = rng.normal(size=(5, 16)).repeat(2, axis=0) + 0.01 * rng.normal(size=(10, 16))
+    units += [(i, bytearray((x / np.linalg.norm(x)).tobytes()), 1) for i, x in zip(pairs, lone)]
+    points = spark.createDataFrame(units, "id long, unit binary, size long")
+    assert emb._audit(points, full, 0.95) == 0
