@@ -146,17 +146,29 @@ def source_counts(leads: DataFrame) -> DataFrame:
 
 
 def lead_stats(leads: DataFrame, lead_emails: DataFrame) -> DataFrame:
-    """Totals, average score and the counts per stage and source as maps, in one row."""
+    """Totals, average score and the counts per stage and source as maps, in one row.
 
-    def as_map(key: str, name: str) -> DataFrame:
-        # A handful of groups: the values of a stage or source column; null counts as the empty one.
-        counted = leads.groupBy(F.coalesce(key, F.lit("")).alias("k")).agg(F.count("*").alias("n"))
-        return counted.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(name))
+    Each table is read once: leads are counted per stage and source, and these few groups folded.
+    """
+    scored = F.col("score") > 0
+    groups = leads.groupBy(
+        F.coalesce("pipeline_stage", F.lit("")).alias("by_stage"), F.coalesce("source", F.lit("")).alias("by_source")
+    ).agg(F.count("*").alias("n"), F.sum(F.when(scored, F.col("score"))).alias("points"), C.count_where(scored).alias("scored"))
+    folded = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_leads"), F.sum("points").alias("points"), F.sum("scored").alias("scored"),
+        F.collect_list(F.struct("by_stage", "by_source", "n")).alias("groups"),
+    )
 
-    scores = F.avg(F.when(F.col("score") > 0, F.col("score")))
-    totals = leads.agg(
-        F.count("*").alias("total_leads"),
-        F.coalesce(C.half_up(scores, 1), F.lit(0.0)).alias("avg_score"),
+    def as_map(key: str) -> Column:
+        def of(name: Column) -> Column:
+            own = F.filter("groups", lambda g: g[key] == name)
+            return F.struct(name, F.aggregate(own, F.lit(0).cast("long"), lambda total, g: total + g["n"]))
+
+        return F.map_from_entries(F.transform(F.array_distinct(F.col("groups")[key]), of)).alias(key)
+
+    average = C.half_up(F.when(F.col("scored") > 0, F.col("points") / F.col("scored")), 1)
+    totals = folded.select(
+        "total_leads", F.coalesce(average, F.lit(0.0)).alias("avg_score"), as_map("by_stage"), as_map("by_source")
     )
     per_lead = lead_emails.groupBy("lead_id").agg(
         C.count_where(F.col("verification_status") == "valid").alias("_valid")
@@ -165,11 +177,8 @@ def lead_stats(leads: DataFrame, lead_emails: DataFrame) -> DataFrame:
         F.count("*").alias("leads_with_emails"),
         F.coalesce(F.sum("_valid"), F.lit(0)).alias("verified_emails"),
     )
-    return C.beside(
-        totals,
-        mails,
-        as_map("pipeline_stage", "by_stage"),
-        as_map("source", "by_source"),
+    return C.beside(totals, mails).select(
+        "total_leads", "avg_score", "leads_with_emails", "verified_emails", "by_stage", "by_source"
     )
 
 
