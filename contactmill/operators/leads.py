@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from contactmill.functions import columns as C
 from contactmill.functions import fixed_values as fv
+from contactmill.operators.running import numbered
+from contactmill.operators.search import matches
 
 
 def _by_score() -> list[Column]:
@@ -351,21 +353,45 @@ def filtered(
 
 
 def search(leads: DataFrame, term: str) -> DataFrame:
-    """Leads with the term in name, city or website, in any case. The term has no wildcards."""
-    low = term.lower()
-    if not low:
-        return leads
-    hit = F.lit(False)
-    for column in ("business_name", "city", "website"):
-        hit = hit | F.coalesce(F.lower(column).contains(low), F.lit(False))
-    return leads.filter(hit)
+    """Leads with the term in name, city or website, in any case. The term has no wildcards.
+
+    Reads all leads; ``operators.search.LeadIndex`` gives the same rows from an index.
+    """
+    return leads.filter(matches(term))
 
 
 def page(leads: DataFrame, page_no: int = 1, limit: int = 50) -> DataFrame:
-    """One page of a listing by score; the sort keeps only the rows up to the end of the page."""
+    """One page of a listing by score; the sort keeps only the rows up to the end of the page.
+
+    For pages far down make the starts of all pages once (:func:`page_starts`) and use :func:`page_from`.
+    """
     return C.top(leads, _by_score(), limit, (page_no - 1) * limit)
 
 
+def page_starts(leads: DataFrame, limit: int = 50) -> DataFrame:
+    """``(page, score, id)`` of the first row of every page of a listing by score. Ids are unique.
+
+    The rows are numbered over ranges of the order, so no task holds more than its range.
+    """
+    rows = numbered(leads.select("score", "id"), _by_score(), "_number")
+    first = rows.filter((F.col("_number") - 1) % limit == 0)
+    return first.select((F.floor((F.col("_number") - 1) / limit) + 1).alias("page"), "score", "id")
+
+
+def page_from(leads: DataFrame, starts: DataFrame, page_no: int, limit: int = 50) -> DataFrame:
+    """The page that :func:`page` gives, found by the start of the page: a top-k of ``limit`` rows at any depth.
+
+    ``starts`` are those of the same leads and limit. A page beyond the last one is empty.
+    """
+    start = starts.filter(F.col("page") == page_no).select(F.struct("score", "id").alias("s"))
+    rows = leads.withColumn("_start", start.scalar())
+    score, first = F.col("_start.score"), F.col("_start.id")
+    tied = F.col("score").eqNullSafe(score) & (F.col("id") >= first)
+    later = F.coalesce(F.col("score") < score, F.col("score").isNull() & score.isNotNull())
+    inside = F.col("_start").isNotNull() & (tied | later)
+    return C.top(rows.filter(inside).drop("_start"), _by_score(), limit)
+
+
 def pagination(leads: DataFrame, page_no: int = 1, limit: int = 50) -> DataFrame:
     return leads.agg(F.count("*").alias("total")).select(
         F.lit(page_no).alias("page"),

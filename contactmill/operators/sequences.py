@@ -14,6 +14,7 @@ from contactmill.functions import columns as C
 from contactmill.functions import fixed_values as fv
 from contactmill.operators import leads as L
 from contactmill.operators import sendlog as S
+from contactmill.operators.running import numbered, sum_ahead
 from contactmill.operators.snapshots import patch
 
 
@@ -269,9 +270,21 @@ def budget(send_log: DataFrame, as_of: datetime | str, rules: SendingRules) -> D
     )
 
 
-def _ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Number the rows of a plan. They were limited before, so one task can order them."""
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+#: Rows of a plan that one task orders and sums. Longer plans, and plans without a limit, are numbered by ranges.
+ONE_TASK = 100_000
+
+
+def _in_one_task(limit: int | None) -> bool:
+    return limit is not None and limit <= ONE_TASK
+
+
+def _ranked(rows: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The first rows of a plan with their ``rank`` from 1; the same ranks whatever the way."""
+    if _in_one_task(limit):
+        first = C.top(rows, order, limit)
+        return first.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+    ranked = numbered(rows, order)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def _gate() -> Column:
@@ -283,28 +296,33 @@ def _gate() -> Column:
     )
 
 
-def _paced(plan: DataFrame, rules: SendingRules, as_of: datetime | str) -> DataFrame:
+def _paced(plan: DataFrame, rules: SendingRules, as_of: datetime | str, limit: int | None) -> DataFrame:
     """Planned time of each send: the delays of all planned sends ahead of it add up."""
     goes_out = F.col("outcome") == "send"
     delay = F.when(goes_out, send_delay_ms(rules, F.col("id"), F.col("rank"))).otherwise(0)
-    ahead = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    wait = F.coalesce(F.sum("delay_ms").over(ahead), F.lit(0))
-    planned = F.timestamp_micros(F.unix_micros(C.moment(as_of)) + wait * 1000)
-    return plan.withColumn("delay_ms", delay).withColumn("planned_at", F.when(goes_out, planned))
+    plan = plan.withColumn("delay_ms", delay)
+    if _in_one_task(limit):
+        ahead = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+        plan = plan.withColumn("_wait", F.coalesce(F.sum("delay_ms").over(ahead), F.lit(0)))
+    else:
+        plan = sum_ahead(plan, F.col("delay_ms"), "_wait")
+    planned = F.timestamp_micros(F.unix_micros(C.moment(as_of)) + F.col("_wait") * 1000)
+    return plan.withColumn("planned_at", F.when(goes_out, planned)).drop("_wait")
 
 
 def send_plan(
     enrollments: DataFrame, leads: DataFrame, lead_emails: DataFrame, sequences: DataFrame,
     steps: DataFrame, send_log: DataFrame, as_of: datetime | str,
-    rules: SendingRules = SendingRules(), *, limit: int,
+    rules: SendingRules = SendingRules(), *, limit: int | None,
 ) -> DataFrame:
     """What a queue run would do with the due enrolments, and when.
 
     ``outcome`` is ``send``, ``complete`` (no further step exists) or ``hold`` with a ``reason``.
-    The due list is cut to ``limit`` by a distributed top-k before it is numbered.
+    The due list is cut to ``limit`` by a distributed top-k before it is numbered. Without a limit the whole
+    list is planned: it is numbered by ranges of its order, and delays are summed in blocks.
     """
-    due = due_enrollments(enrollments, leads, lead_emails, sequences, as_of, limit)
-    ranked = _ranked(due, [F.asc("next_send_at"), F.col("id")])
+    due = due_enrollments(enrollments, leads, lead_emails, sequences, as_of)
+    ranked = _ranked(due, [F.asc("next_send_at"), F.col("id")], limit)
     next_steps = steps.select(
         "sequence_id",
         (F.col("step_number") - 1).alias("current_step"),
@@ -323,24 +341,24 @@ def send_plan(
     )
     hold_reason = F.coalesce("gate", F.when(~inside, F.lit("beyond daily budget")))
     plan = rows.withColumn("outcome", outcome).withColumn("hold_reason", hold_reason)
-    return _paced(plan, rules, as_of).drop(
+    return _paced(plan, rules, as_of, limit).drop(
         "daily_limit", "sent_today", "remaining", "pause", "reason", "in_window", "gate"
     )
 
 
 def outreach_plan(
     leads: DataFrame, lead_emails: DataFrame, send_log: DataFrame, enrollments: DataFrame,
-    as_of: datetime | str, rules: SendingRules = SendingRules(), *, limit: int,
+    as_of: datetime | str, rules: SendingRules = SendingRules(), *, limit: int | None,
 ) -> DataFrame:
-    """The plan of single outreach mails within the remaining daily budget."""
-    rows = S.outreach_eligible(leads, lead_emails, send_log, enrollments, limit)
-    ranked = _ranked(rows, [F.desc("score"), F.col("id")])
+    """The plan of single outreach mails within the remaining daily budget, of any length as in :func:`send_plan`."""
+    rows = S.outreach_eligible(leads, lead_emails, send_log, enrollments)
+    ranked = _ranked(rows, [F.desc("score"), F.col("id")], limit)
     gated = C.beside(ranked, budget(send_log, as_of, rules)).withColumn("gate", _gate())
     inside = F.col("rank") <= F.col("remaining")
     plan = gated.withColumn(
         "outcome", F.when(F.col("gate").isNull() & inside, "send").otherwise("hold")
     ).withColumn("hold_reason", F.coalesce("gate", F.when(~inside, F.lit("beyond daily budget"))))
-    return _paced(plan, rules, as_of).drop(
+    return _paced(plan, rules, as_of, limit).drop(
         "daily_limit", "sent_today", "remaining", "pause", "reason", "in_window", "gate"
     )
 

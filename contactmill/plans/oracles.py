@@ -238,6 +238,17 @@ def _search(term: str) -> str:
 
 
 add("lead_search", "leads", f"SELECT {_LEAD}, city FROM leads WHERE {_search('nation_1')}")
+_RENAMED = "(SELECT id, CASE WHEN score >= 98 THEN 'Zebra ' || id ELSE business_name END AS business_name, city, website FROM leads WHERE score <> 97 OR score IS NULL)"
+add(
+    "lead_search_index", "leads",
+    " UNION ALL ".join(
+        f"SELECT '{term}' AS term, id, business_name FROM {_RENAMED} WHERE {_search(term.lower())}"
+        for term in ("Nation_1", "zebra", "SITE1", "#00000012", "a_", "no such lead")
+    ),
+)
+_NUMBERED = "numbered AS (SELECT id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, id) - 1 AS k FROM leads)"
+add("listing_deep_page", "leads", "SELECT id, score, CAST(k // 25 + 1 AS INT) AS page FROM numbered WHERE k // 25 + 1 IN (1, 3, 6, 30)", _NUMBERED)
+add("listing_page_starts", "leads", "SELECT k // 25 + 1 AS page, score, id FROM numbered WHERE k % 25 = 0", _NUMBERED)
 add("outreach_pending", "leads lead_emails send_log", f"SELECT {_LEAD} FROM ({_FILTERS['outreach-pending']})")
 add(
     "listing_pagination", "leads",
@@ -580,10 +591,10 @@ add(
 )
 
 
-def _due(at: str) -> str:
+def _due(at: str, limit: str = "LIMIT 50") -> str:
     return f"""due AS (SELECT se.*, l.city, e.email, s.name AS sequence_name, s.total_steps, row_number() OVER (ORDER BY next_send_at NULLS FIRST, se.id) AS rank
       FROM sequence_enrollments se JOIN leads l ON l.id = se.lead_id JOIN lead_emails e ON e.id = se.email_id JOIN sequences s ON s.id = se.sequence_id
-      WHERE se.status = 'active' AND s.status = 'active' AND next_send_at <= TIMESTAMP '{at}' ORDER BY next_send_at NULLS FIRST, se.id LIMIT 50)"""
+      WHERE se.status = 'active' AND s.status = 'active' AND next_send_at <= TIMESTAMP '{at}' ORDER BY next_send_at NULLS FIRST, se.id {limit})"""
 
 
 _G4 = _G3 + " sequences"
@@ -723,6 +734,13 @@ add(
     CASE WHEN rank > 20 THEN 'beyond daily budget' END AS hold_reason FROM plan""",
     _PLAN,
 )
+add(
+    "send_plan_whole", _G4,
+    f"""SELECT id, lead_id, rank, outcome, CASE WHEN outcome = 'send' THEN strftime(TIMESTAMP '{Q.PLAN_AT}'
+      + to_minutes(CAST(coalesce(count(*) FILTER (outcome = 'send') OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS planned_at
+    FROM (SELECT *, CASE WHEN rank > 5000 THEN 'hold' WHEN current_step >= 3 THEN 'complete' ELSE 'send' END AS outcome FROM due)""",
+    _due(Q.PLAN_AT, ""),
+)
 add(
     "send_plan_gates", _G4 + " send_log",
     f"""SELECT 'hold' AS outcome, 'paused: ' || ({_REASON}) AS hold_reason, (SELECT count(*) FROM due) AS n, 'paused' AS gate FROM {_stats(Q.PAUSED_AT, 1)}

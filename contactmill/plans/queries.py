@@ -6,6 +6,7 @@ Nested results are flattened to plain columns, so that they can be compared with
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,6 +26,7 @@ from contactmill.operators import scoring as K
 from contactmill.operators import sendlog as H
 from contactmill.operators import sequences as G
 from contactmill.operators import snapshots as U
+from contactmill.operators.search import LeadIndex
 from contactmill.operators import templates as M
 from contactmill.operators import verify as D
 from contactmill.plans.views import Tables
@@ -272,6 +274,39 @@ def lead_search(t):
     return L.search(t.leads, "Nation_1").select(*LEAD, "city")
 
 
+@query
+def lead_search_index(t):
+    """Searches in an index of all leads, after some leads got new names and some were taken out."""
+    path = scratch(t.spark)
+    index = LeadIndex.create(t.leads.select(*LEAD, "city", "website"), path, buckets=16)
+    renamed = t.leads.filter("score >= 98").withColumn("business_name", F.concat(F.lit("Zebra "), F.col("id").cast("string")))
+    index.put(renamed.select(*LEAD, "city", "website"))
+    index.remove(t.leads.filter("score = 97").select("id"))
+
+    def one(term: str) -> DataFrame:
+        return index.search(term).select(F.lit(term).alias("term"), "id", "business_name")
+
+    rows = [one(term) for term in ("Nation_1", "zebra", "SITE1", "#00000012", "a_", "no such lead")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def listing_deep_page(t):
+    """The first, some middle, the last and a missing page of all leads, found by their starts."""
+    rows = t.leads.select("id", "score")
+    starts = stored(L.page_starts(rows, 25))
+
+    def one(number: int) -> DataFrame:
+        return L.page_from(rows, starts, number, 25).withColumn("page", F.lit(number))
+
+    return reduce(DataFrame.unionByName, [one(n) for n in (1, 3, 6, 30, 10**6)])
+
+
+@query
+def listing_page_starts(t):
+    return L.page_starts(t.leads, 25)
+
+
 @query
 def outreach_pending(t):
     return L.outreach_pending(t.leads, t.lead_emails, t.send_log).select(*LEAD)
@@ -1127,7 +1162,17 @@ def send_plan(t):
         G.SendingRules(daily_limit=20), limit=50,
     )
     step = F.coalesce("step_number", F.lit(0)).alias("step_number")
-    return plan.select("id", "lead_id", "rank", step, "outcome", "hold_reason")
+    return plan.select("id", "lead_id", F.col("rank").cast("int").alias("rank"), step, "outcome", "hold_reason")
+
+
+@query
+def send_plan_whole(t):
+    """The plan of all due enrolments, numbered by ranges; of equal delays, so that SQL can state each planned time."""
+    rules = G.SendingRules(daily_limit=5000, min_delay_ms=60_000, max_delay_ms=60_000)
+    plan = G.send_plan(
+        t.sequence_enrollments, t.leads, t.lead_emails, t.sequences, t.sequence_steps, t.send_log, PLAN_AT, rules, limit=None
+    )
+    return plan.select("id", "lead_id", "rank", "outcome", F.date_format("planned_at", "yyyy-MM-dd HH:mm:ss").alias("planned_at"))
 
 
 @query
@@ -1195,7 +1240,7 @@ def outreach_plan(t):
     plan = G.outreach_plan(
         t.leads, t.lead_emails, t.send_log, t.sequence_enrollments, PLAN_AT, G.SendingRules(daily_limit=20), limit=50
     )
-    return plan.select("id", "email_id", "rank", "outcome", "hold_reason")
+    return plan.select("id", "email_id", F.col("rank").cast("int").alias("rank"), "outcome", "hold_reason")
 
 
 @query

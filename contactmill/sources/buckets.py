@@ -31,6 +31,11 @@ def bucket_of(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
 
 
+def _in_order(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by bucket, large buckets in several files, sorted by key: a filter on keys skips most of a file."""
+    return rows.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *keys)
+
+
 class Folder:
     """A path of any file system that Spark's own settings reach."""
 
@@ -80,7 +85,7 @@ class BucketedTable:
         if BUCKET in rows.columns or buckets < 1:
             raise ValueError(f"no column may be named {BUCKET}, and there is at least one bucket")
         dealt = rows.withColumn(BUCKET, bucket_of(keys, buckets))
-        dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/rows")
+        _in_order(dealt, keys).write.partitionBy(BUCKET).parquet(f"{path}/rows")
         layout = [(list(keys), buckets, rows.schema.json())]
         spark.createDataFrame(layout, _LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
         return cls(spark, path)
@@ -122,7 +127,7 @@ class BucketedTable:
         at = bucket_of(self.keys, self.buckets)
         stray = F.raise_error(F.lit("a merge gave rows of keys that it was not given")).cast("int")
         rows = new.withColumn(BUCKET, F.when(at.isin(buckets), at).otherwise(stray))
-        rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/pending")
+        _in_order(rows, self.keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/pending")
         for b in buckets:  # a bucket without rows is put in place too
             self.folder.make(f"pending/{BUCKET}={b}")
         self.folder.mark("pending/_ready")
