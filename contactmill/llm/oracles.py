@@ -44,37 +44,28 @@ SELECT item_id, rank, doc_id, score FROM numbered WHERE rank <= 10
 
 SQL["op5_line_dedup"] = r"""
 WITH cut AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
-hashed AS (
-    SELECT doc_id, i - 1 AS i, len(a) AS n, a[i] AS line, ('0x' || substr(md5(a[i]), 1, 12))::BIGINT AS h
-    FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM cut)
+lines AS (
+    SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+    FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM cut)
 ),
-rolling AS (
-    SELECT *, h * 1021 + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) AS r FROM hashed
+places AS (
+    SELECT doc_id, i, 2 AS n, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS piece FROM lines
+    UNION ALL SELECT doc_id, i, 1, line FROM lines WHERE words > 50
 ),
-ends AS (
-    SELECT *, i = n - 1 OR (
-        n > 3 AND i BETWEEN 1 AND n - 3 AND r > lag(r) OVER w AND r >= lead(r) OVER w
-    ) AS last_line
-    FROM rolling WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+anchors AS (
+    SELECT doc_id, i, n FROM places WHERE piece IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY piece ORDER BY doc_id, i) > 1
 ),
-numbered AS (
-    SELECT *, coalesce(sum(last_line::INT) OVER (
-        PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-    FROM ends
-),
-chunks AS (
-    SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS piece
-    FROM numbered GROUP BY doc_id, chunk
-),
-judged AS (
-    SELECT *, n_lines >= 2 AND row_number() OVER (
-        PARTITION BY piece, n_lines >= 2 ORDER BY doc_id, chunk) > 1 AS again
-    FROM chunks
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM anchors),
+runs AS (
+    SELECT doc_id, i, words, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM covered JOIN lines USING (doc_id, i)
 ),
+gone AS (SELECT doc_id, i FROM runs QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= 20),
 texts AS (
-    SELECT doc_id, coalesce(string_agg(piece, chr(10) ORDER BY chunk) FILTER (NOT again), '') AS rest,
-        coalesce(sum(n_lines) FILTER (again), 0)::INT AS removed_lines
-    FROM judged GROUP BY doc_id
+    SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS rest,
+        count(g.i)::INT AS removed_lines
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 )
 SELECT doc_id, CASE WHEN removed_lines > 0 THEN rest ELSE text END AS text, removed_lines
 FROM documents JOIN texts USING (doc_id)
