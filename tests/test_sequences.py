@@ -182,6 +182,15 @@ def test_plan_keeps_to_the_budget(spark, mailing):
     assert all(45 <= g <= 240 for g in gaps)
 
 
+@pytest.mark.parametrize("limit", [None, 200_000])
+def test_long_plans_equal_short_ones(spark, mailing, limit):
+    args = (*mailing, log(spark, ("sent", 2)), NOON, G.SendingRules(daily_limit=8))
+    want = G.send_plan(*args, limit=50)
+    got = G.send_plan(*args, limit=limit).select(*want.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=lambda r: r.rank) == sorted(want.collect(), key=lambda r: r.rank)
+
+
 @pytest.mark.parametrize(
     ("counts", "at", "limit", "reason"),
     [
