@@ -1,12 +1,16 @@
 """Near duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint has two segments of 32 bits. For each segment the small Hamming ball (radius one) around
-the fingerprint's own value is enumerated while the other segment stays, which gives 65 table keys.
-Two fingerprints differ in at most two bits exactly when they meet under a key: one bit each, in the same
-segment or in different ones. Each key is at most one bit from all that meet there, so no more than
-65 different fingerprints do, however alike the documents are. Work and rows grow with the number of
-different fingerprints, never with its square. The members of a key are linked to its smallest one after
-their complete distance is verified; the connected components are those of all links.
+A fingerprint has two segments of 32 bits and stands in one table per segment under its value there. Two
+fingerprints that differ in at most two bits differ in at most one within some segment. So the small Hamming
+ball (radius one, 33 values) around each segment's value is enumerated, the table entries under these values
+are fetched, and the complete distance of each is verified.
+
+A value may hold very many fingerprints when many documents are alike. Such crowded values and those one
+bit from them are split by the other segment: keys are whole fingerprints, the ball of radius one around each
+is enumerated in both segments, and two fingerprints differ in at most two bits exactly when they meet under a
+key. At most 65 different fingerprints meet there, and each is linked to the smallest. Every other value
+is probed by at most 33 times CROWD fingerprints and holds at most CROWD. So rows grow with the number of
+different fingerprints, never with its square; the connected components are those of all links.
 
 A pair of a given Jaccard similarity is a matter of other distances: at 0.8 about ten of 64 bits differ, and
 a key that bears that many is so short that each holds a fixed share of all texts. `without_similar`
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +35,11 @@ from contactmill.session import stored
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
-SEGMENTS = ((0, 31), (32, 63))
+SEGMENT_BITS = 32
+#: Different fingerprints that a segment value may hold before it is split by the other segment, and tasks over
+#: which the fingerprints of one value are dealt while that is found out.
+CROWD = 64
+SALTS = 16
 CHUNK = 1 << 15
 
 #: Of `without_similar`: words of a shingle, the similarity of a link, and bands of so many minimum hashes. A pair
@@ -76,21 +84,59 @@ def fingerprint_column(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
-def near_links(fingerprints: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between different fingerprints ``fp`` at most two bits apart.
+def _ball(value: str, bits: int) -> Column:
+    """A value and all that differ from it in one of the lowest bits."""
+    return F.expr(f"concat(array({value}), transform(sequence(0, {bits - 1}), i -> {value} ^ shiftleft(1L, i)))")
 
-    Every fingerprint of a key is linked with the smallest one there, so the components are those of all
-    pairs within the distance. Null fingerprints link with nothing.
+
+def _tables(fingerprints: DataFrame, crowd: int) -> DataFrame:
+    """Entries (fp, value, near, crowded): the tables of both segments, the second's values with one bit more.
+
+    ``crowded`` values hold more than ``crowd`` different fingerprints, ``near`` ones are at most one bit from such.
     """
-    balls = ", ".join(f"transform(sequence({a}, {b}), i -> fp ^ shiftleft(1L, i))" for a, b in SEGMENTS)
-    keyed = fingerprints.where("fp is not null").select(
-        "fp", F.explode(F.expr(f"concat(array(fp), {balls})")).alias("key")
+    low = F.expr(f"fp & {(1 << SEGMENT_BITS) - 1}L")
+    high = F.expr(f"shiftrightunsigned(fp, {SEGMENT_BITS}) | {1 << SEGMENT_BITS}L")
+    entries = fingerprints.where("fp is not null").select("fp").distinct().select(
+        "fp", F.explode(F.array(low, high)).alias("value"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+    )
+    entries = stored(entries)
+    hot = entries.groupBy("value").count().where(F.col("count") > crowd)
+    marks = hot.select(F.col("value").alias("at"), F.explode(_ball("value", SEGMENT_BITS)).alias("value"))
+    marks = marks.groupBy("value").agg(F.max(F.col("at") == F.col("value")).alias("crowded"))
+    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    marked = entries.join(marks, ["value", "salt"], "left")
+    return marked.select(
+        "fp", "value", F.col("crowded").isNotNull().alias("near"), F.coalesce("crowded", F.lit(False)).alias("crowded")
     )
-    met = keyed.withColumn("low", F.min("fp").over(Window.partitionBy("key")))
+
+
+def _met(probes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs (fp, other) of entries of tables that are not crowded, each met by the balls of probes."""
+    balls = probes.select("fp", F.explode(_ball("value", SEGMENT_BITS)).alias("value"))
+    return balls.join(entries.select(F.col("fp").alias("other"), "value"), "value").select("fp", "other")
+
+
+def _split(crowd: DataFrame) -> DataFrame:
+    """Pairs (fp, other) of crowded fingerprints: those of a whole-fingerprint key with the smallest one there."""
+    keyed = crowd.select("fp", F.explode(_ball("fp", 2 * SEGMENT_BITS)).alias("key"))
+    return keyed.withColumn("other", F.min("fp").over(Window.partitionBy("key"))).select("fp", "other")
+
+
+def near_links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links ``(a, b)``, a > b, between different fingerprints ``fp`` at most two bits apart.
+
+    The components are those of all pairs within the distance: a pair is linked itself, or both are linked
+    with the smallest fingerprint under a common key. Null fingerprints link with nothing, repeated ones count
+    once, and no fingerprints give no links. ``crowd`` changes the way taken, never a component.
+    """
+    tables = stored(_tables(fingerprints, crowd))
+    # A fingerprint outside near values meets no crowded one; two inside them are both split.
+    pairs = _met(tables.where("not near"), tables.where("not crowded"))
+    pairs = pairs.union(_split(tables.where("near").select("fp").distinct()))
     return (
-        met.where("fp <> low")
-        .where(f"bit_count(fp ^ low) <= {DISTANCE}")
-        .select(F.col("fp").alias("a"), F.col("low").alias("b"))
+        pairs.where("fp <> other")
+        .where(f"bit_count(fp ^ other) <= {DISTANCE}")
+        .select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b"))
         .distinct()
     )
 

@@ -52,6 +52,23 @@ def test_awkward_documents(spark):
     assert sim.near_duplicates(spark, cases.empty(spark)).collect() == []
 
 
+def same_components(spark, prints, crowd):
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    links = [(r.a, r.b) for r in sim.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), crowd).collect()]
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= 2 for a, b in links)
+    ids = list(range(len(prints)))
+    root = {p: p for p in signed}
+    for a, b in links:
+        x, y = root[a], root[b]
+        if x != y:
+            root = {p: y if r == x else r for p, r in root.items()}
+    parts = naive_components(ids, prints)
+    for i in ids:
+        for j in range(i):
+            assert (root[signed[i]] == root[signed[j]]) == (parts[i] == parts[j])
+
+
 def test_all_pairs_within_two_bits_are_linked(spark):
     rng = random.Random(3)
     prints = [0]
@@ -60,17 +77,27 @@ def test_all_pairs_within_two_bits_are_linked(spark):
         for _ in range(rng.choice((1, 2, 3))):
             x ^= 1 << rng.randrange(64)
         prints.append(x)
-    prints = sorted(set(prints))
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = sim.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"))
-    from contactmill.llm.common import components
+    for crowd in (0, 2, sim.CROWD):
+        same_components(spark, prints, crowd)
 
-    found = {r.node: r.component for r in components(links).collect()}
-    parts = naive_components(list(range(len(prints))), prints)
-    for i in range(len(prints)):
-        for j in range(i):
-            same = found.get(signed[i], signed[i]) == found.get(signed[j], signed[j])
-            assert same == (parts[i] == parts[j])
+
+def test_crowded_values_are_split_without_losing_links(spark):
+    """Clusters that share a segment, next to values that are one bit from the crowded ones."""
+    rng = random.Random(8)
+    for _ in range(2):
+        base = rng.getrandbits(64)
+        prints = [base ^ (rng.getrandbits(6) << rng.choice((0, 32))) for _ in range(40)]
+        prints += [rng.choice(prints) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)]
+        prints += [rng.getrandbits(64) for _ in range(10)]
+        for crowd in (1, 4, 12):
+            same_components(spark, prints, crowd)
+
+
+def test_verification_rejects_entries_of_the_same_segment(spark):
+    low = 0x5EED
+    far = [low | (x << 32) for x in (0, 0b111, 0b111000)]
+    links = sim.near_links(spark.createDataFrame([(p,) for p in far], "fp long"))
+    assert links.count() == 0
 
 
 def test_a_crowd_of_close_fingerprints_makes_few_links(spark):
