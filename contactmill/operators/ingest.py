@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from contactmill.functions import columns as C
 from contactmill.functions import features as X
 from contactmill.functions import fixed_values as fv
+from contactmill.operators.suffixes import with_registered_domain
 
 
 def parse_address(components: Column) -> Column:
@@ -228,17 +229,25 @@ def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 # -- further duplicates ---------------------------------------------------------------------------
-def drop_same_contact(leads: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
+def drop_same_contact(
+    leads: DataFrame, order: Sequence[Column] | None = None, suffixes: DataFrame | None = None
+) -> DataFrame:
     """One lead per phone number and one per root domain; leads without either are all kept.
 
     The phone is compared by its digits, the website by its root domain, which knows the common public suffixes
-    and hosting platforms.
+    and hosting platforms, or follows the rules ``suffixes`` (see `suffixes.suffix_rules`) where these are given.
     """
     order = list(order or [F.col("id")])
     phone = F.nullif(F.regexp_replace("phone", r"\D", ""), F.lit(""))
     domain = X.root_domain(X.host_of(X.base_url(F.col("website"))))
     keyed = leads.withColumn("_phone", phone)
     by_phone = C.first_per_key(keyed.filter("_phone IS NOT NULL"), ["_phone"], order)
-    rest = by_phone.unionByName(keyed.filter("_phone IS NULL")).withColumn("_domain", domain)
+    rest = by_phone.unionByName(keyed.filter("_phone IS NULL"))
+    if suffixes is None:
+        rest = rest.withColumn("_domain", domain)
+    else:
+        hosts = rest.select(X.host_of(X.base_url(F.col("website"))).alias("_host")).distinct()
+        known = with_registered_domain(hosts, suffixes, "_host").select("_host", F.col("domain").alias("_domain"))
+        rest = rest.withColumn("_host", X.host_of(X.base_url(F.col("website")))).join(known, "_host", "left").drop("_host")
     by_domain = C.first_per_key(rest.filter("_domain IS NOT NULL"), ["_domain"], order)
     return by_domain.unionByName(rest.filter("_domain IS NULL")).drop("_phone", "_domain")

@@ -422,6 +422,13 @@ add(
     """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'shop' || s_nationkey || '.on.ca' WHEN 1 THEN 'shop' || s_nationkey || '.wixsite.com'
     WHEN 2 THEN 'example.org' ELSE 'shop' || s_nationkey || '.co.uk' END AS domain FROM supplier""",
 )
+add(
+    "registered_domains", "",
+    """SELECT s_suppkey, 'A.shop' || s_nationkey || '.' || t AS host, CASE k WHEN 0 THEN 'on.ca' WHEN 1 THEN 'shop' || s_nationkey || '.ck' WHEN 2 THEN 'ck'
+      WHEN 3 THEN 'co.uk' ELSE 'unknown' END AS suffix, CASE k WHEN 0 THEN 'b.on.ca' WHEN 1 THEN 'a.shop' || s_nationkey || '.ck' WHEN 2 THEN 'www.ck'
+      WHEN 3 THEN 'shop' || s_nationkey || '.co.uk' ELSE 'y.unknown' END AS domain
+    FROM (SELECT *, s_suppkey % 5 AS k, ['b.on.ca', 'ck', 'www.ck', 'co.uk', 'x.y.unknown'][s_suppkey % 5 + 1] AS t FROM supplier)""",
+)
 add(
     "markup_places", "",
     """SELECT page_id, 'spot' || page_id || '@site.org' AS email, CASE page_id % 11 WHEN 0 THEN 'Jo' WHEN 1 THEN 'data attribute' WHEN 2 THEN 'structured data'
@@ -877,6 +884,13 @@ add(
     CASE WHEN count(*) FILTER (network_error) >= 3 THEN max(fetched_at) FILTER (network_error) + INTERVAL 5 MINUTE END AS rests_until FROM fetch_log GROUP BY 1""",
 )
 _SQL["stream_domain_backoff"] = _SQL["domain_backoff"]
+add(
+    "stream_expiring_backoff", "fetch_log",
+    f"""SELECT domain, seen_at, n AS failures, blocked_until, rests_until, coalesce(epoch_ms(greatest(f, blocked_until, rests_until)) + 43200000 < epoch_ms(newest) - 600000, false) AS expired
+    FROM (SELECT *, CASE WHEN n >= 3 THEN f + INTERVAL 5 MINUTE END AS rests_until, max(seen_at) OVER () AS newest FROM (
+      SELECT domain, max(fetched_at) AS seen_at, count(*) FILTER (network_error) AS n, max(fetched_at) FILTER (network_error) AS f,
+        max(fetched_at) FILTER ({_REFUSED}) + INTERVAL 30 MINUTE AS blocked_until FROM fetch_log GROUP BY 1))""",
+)
 add(
     "new_records", "",
     """SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) AS source_id FROM events

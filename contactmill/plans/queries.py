@@ -26,6 +26,7 @@ from contactmill.operators import scoring as K
 from contactmill.operators import sendlog as H
 from contactmill.operators import sequences as G
 from contactmill.operators import snapshots as U
+from contactmill.operators import suffixes as S
 from contactmill.operators.search import LeadIndex
 from contactmill.operators import templates as M
 from contactmill.operators import verify as D
@@ -759,6 +760,19 @@ def root_domains(t):
     return t.supplier.select("s_suppkey", X.root_domain(host).alias("domain"))
 
 
+@query
+def registered_domains(t):
+    """Hosts under plain, wildcard and exception rules, and under none."""
+    lines = F.split(F.lit(SUFFIX_LINES), "\n")
+    rules = S.suffix_rules(t.region.where("r_regionkey = 0").select(F.explode(lines).alias("value")))
+    suffix = F.get(F.array(*map(F.lit, ["b.on.ca", "ck", "www.ck", "co.uk", "x.y.unknown"])), (F.col("s_suppkey") % 5).cast("int"))
+    hosts = t.supplier.select("s_suppkey", F.concat(F.lit("A.shop"), F.col("s_nationkey").cast("string"), F.lit("."), suffix).alias("host"))
+    return S.with_registered_domain(hosts, rules).select("s_suppkey", "host", "suffix", "domain")
+
+
+SUFFIX_LINES = "// rules of the query\nca\non.ca\nuk\nco.uk  and a note\n\n*.ck\n!www.ck"
+
+
 # Each place of a page that may hold an address, which stands for {e}.
 PLACES = [
     '<a href="mailto:{e}?subject=x">Jo</a>', '<p data-email="{e}">x</p>',
@@ -1457,6 +1471,11 @@ def stream_domain_backoff(t):
     return runs.domain_backoff(t.spark, t._folder)
 
 
+@query
+def stream_expiring_backoff(t):
+    return runs.expiring_backoff(t.spark, t._folder)
+
+
 @query
 def sliding_breaker(t):
     return delivery.sliding_breaker(t.send_log)

@@ -126,10 +126,9 @@ def new_records(spark: SparkSession, folder: str, known: DataFrame | None = None
     return spark.read.schema(rows.schema).parquet(f"{where}/out").select("source", "source_id")
 
 
-def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
-    """Final state per domain."""
+def _fetches(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
-    fetches = _events(spark, folder).select(
+    return _events(spark, folder).select(
         F.col("event_id").alias("fetch_id"),
         F.concat(F.lit("site"), (F.col("user_id") % 100).cast("string"), F.lit(".example.net")).alias("domain"),
         F.col("ts").cast("timestamp").alias("fetched_at"),
@@ -137,4 +136,14 @@ def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
         ((kind == "click") & (F.col("value") < 5)).alias("bot_page"),
         (kind == "error").alias("network_error"),
     )
-    return latest_rows(backoff.domain_state(fetches), ["domain"], _folder(spark))
+
+
+def domain_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Final state per domain."""
+    return latest_rows(backoff.domain_state(_fetches(spark, folder)), ["domain"], _folder(spark))
+
+
+def expiring_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Final state per domain, and whether it has expired by the end: after half a day, 10 minutes late at most."""
+    states = backoff.expiring_domain_state(_fetches(spark, folder), "10 minutes", 720)
+    return latest_rows(states, ["domain"], _folder(spark))

@@ -57,6 +57,30 @@ def test_backoff_stream_equals_the_batch_form(spark, tmp_path):
     assert seen["s.org"][2] == 3
 
 
+def test_expiring_state_ends_after_the_block(spark, tmp_path):
+    day = 24 * 60
+    parts = [
+        fetches(spark, (0, "fail"), (1, "fail")).union(fetches(spark, (0, "ok"), domain="t.org")).union(fetches(spark, (5, "403"), domain="u.org")),
+        fetches(spark, (3, "fail")).union(fetches(spark, (20, "ok"), domain="t.org")),
+        fetches(spark, (3 * day, "ok"), domain="t.org"),
+        fetches(spark, (3 * day, "fail")),
+    ]
+    seen = []
+    for n, part in enumerate(parts):
+        write(part, tmp_path / "in", n)
+        stream = delivery.file_stream(spark, FETCH, f"{tmp_path}/in/*")
+        out = runs.latest_rows(backoff.expiring_domain_state(stream), ["domain"], f"{tmp_path}/run")
+        seen.append({r.domain: r for r in out.collect()})
+    for n in (0, 1):  # before anything expires: the batch form
+        batch = parts[0] if n == 0 else parts[0].union(parts[1])
+        want = {r.domain: tuple(r) for r in backoff.domain_state(batch).collect()}
+        assert {d: tuple(r)[:-1] for d, r in seen[n].items()} == want
+        assert not any(r.expired for r in seen[n].values())
+    assert seen[1]["s.org"].failures == 3 and seen[1]["s.org"].rests_until
+    assert {d: r.expired for d, r in seen[2].items()} == {"s.org": True, "t.org": False, "u.org": True}
+    assert (seen[3]["s.org"].failures, seen[3]["s.org"].expired) == (1, False)
+
+
 def test_latest_status_takes_late_events_and_repeats(spark, tmp_path):
     schema = "ses_message_id string, status string, at timestamp"
     batches = [
