@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactmill.functions import fixed_values as fv
+from contactmill.functions.columns import around
 
 # The same language as EMAIL_PATTERN, written so that a long run of letters without an "@"
 # is read once: a match starts at the start of a run, or where the last match ended.
@@ -28,9 +29,9 @@ def domain_part(email: Column) -> Column:
 
 
 def find_emails(text: Column) -> Column:
-    """All addresses in a text, in order of appearance."""
+    """All addresses in a text, in order of appearance. No address holds a blank."""
     return F.when(
-        text.contains("@"), F.regexp_extract_all(text, F.lit(_FAST_EMAIL), F.lit(0))
+        text.contains("@"), F.regexp_extract_all(around(text, "@"), F.lit(_FAST_EMAIL), F.lit(0))
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactmill.functions.columns import SPACE, contains_any, let
+from contactmill.functions.columns import SPACE, around, contains_any, let
 from contactmill.functions.emails import find_emails
 
 # Full-width forms U+FF01..U+FF5E stand for ASCII 0x21..0x7E; U+3002 is the ideographic stop.
@@ -60,17 +60,19 @@ SPELLED_FORMS = [
     _spelled(_USER, f"{_GAP}AT{_GAP}", f"{_GAP}DOT{_GAP}", ignore_case=False),
     _spelled("[a-zA-Z0-9._]", "-at-", "-dot-"),
 ]
+# Each sign starts with one character or class, which a search skips to.
 _SIGNS = [
-    ("&#64;|&#x40;|&commat;", "@"),
-    (r"(?i)\(dot\)|\[dot\]|\{dot\}", "."),
-    (r"(?i)\(at\)|\[at\]|\{at\}", "@"),
+    ("&(?:#64|#x40|commat);", "@"),
+    (r"(?i)[(\[{](?:(?<=\()dot\)|(?<=\[)dot\]|(?<=\{)dot\})", "."),
+    (r"(?i)[(\[{](?:(?<=\()at\)|(?<=\[)at\]|(?<=\{)at\})", "@"),
 ]
 
 
 def hidden_emails(text: Column) -> Column:
     """Lower-cased addresses from spelled-out forms, then from coded signs; not yet validated.
 
-    Nearly all texts hold none of the words and signs; one search tells so.
+    Nearly all texts hold none of the words and signs; one search tells so. Every spelled form holds a "dot"
+    with at most six words of the form before it and two after it, so only the text around these is searched.
     """
     nothing = F.array().cast("array<string>")
 
@@ -81,8 +83,7 @@ def hidden_emails(text: Column) -> Column:
                 lambda m: F.lower(F.regexp_replace(m, pattern, "$1@$2.$3")),
             )
 
-        found = F.concat(*[spelled(p) for p in SPELLED_FORMS])
-        return F.when(plain.rlike("(?i)dot"), found).otherwise(nothing)
+        return F.concat(*[spelled(p) for p in SPELLED_FORMS])
 
     def in_signs(plain: Column) -> Column:
         decoded = plain
@@ -95,7 +96,10 @@ def hidden_emails(text: Column) -> Column:
         return let(decoded, found)
 
     def traced(t: Column) -> Column:
-        searched = let(to_ascii_forms(t), lambda p: F.concat(in_words(p), in_signs(p)))
+        def spelled_out(p: Column) -> Column:
+            return F.when(p.rlike("(?i)dot"), let(around(p, "(?i:dot)"), in_words)).otherwise(nothing)
+
+        searched = let(to_ascii_forms(t), lambda p: F.concat(spelled_out(p), in_signs(p)))
         return F.when(_any_trace(t), searched).otherwise(nothing)
 
     return let(text, traced)

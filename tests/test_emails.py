@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from contactmill.functions import emails as E
 from contactmill.functions import fixed_values as fv
-from contactmill.functions.hidden_emails import decode_cf, hidden_emails, to_ascii_forms
+from contactmill.functions.columns import around
+from contactmill.functions.hidden_emails import SPELLED_FORMS, decode_cf, hidden_emails, to_ascii_forms
 
 VALID = [
     ("jo@site.org", True),
@@ -105,6 +107,31 @@ def test_hidden(one, text, found):
     assert list(dict.fromkeys(one(hidden_emails(F.lit(text))))) == found
 
 
+def test_forms_found_around_their_dot_are_those_of_the_whole_text(spark):
+    rng = random.Random(5)
+    signs = ["(", ")", "[", "]", "at", "dot", "AT", "DOT", "(at)", "(dot)", "[ dot ]", "-at-", "-dot-", "<at>", "<Dot>", "{at}", "{dot}"]
+    gaps, words = [" ", " ", "  ", "\n", "\u00a0", "", ", "], ["jo", "a.b", "org", "com2", "x@y.org", "dotted", "\U0001f600", "it's"]
+    texts = []
+    for share in (0.02, 0.2, 0.6, 0.9):
+        texts += ["".join(rng.choice(signs if rng.random() < share else words) + rng.choice(gaps) for _ in range(120)) for _ in range(150)]
+    forms = "jo (at) site (dot) org|jo ( at ) site ( DOT ) org2 [at] b [dot] com|jo at dot dot org|jo-at-site-dot-org|JO AT b DOT org"
+    texts += [" x ".join(rng.choice(["", "w " * 30]) + f for f in forms.split("|")) + " y" * 20 for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [
+        F.struct(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in SPELLED_FORMS]) for text in (F.col("t"), around(F.col("t"), "(?i:dot)"))
+    ]
+    rows = df.select(*[f.alias(n) for f, n in zip(found, "ab")]).collect()
+    assert all(r.a == r.b for r in rows)
+    assert all(any(r.a[i] for r in rows) for i in range(len(SPELLED_FORMS)))
+
+
+def test_only_the_surroundings_of_a_sign_are_searched(one):
+    text = "w " * 500 + "jo at site dot org" + " w" * 500
+    assert one(around(F.lit(text), "(?i:dot)")) == f"{'w ' * 8}w\0{'w ' * 5}jo at site dot org{' w' * 7}\0w{' w' * 8}"
+    assert one(hidden_emails(F.lit(text))) == ["jo@site.org"]
+    assert one(around(F.lit("a b"), "@")) == "a b"
+
+
 def test_ascii_forms(one):
     assert one(to_ascii_forms(F.lit("ａ＠ｂ。ｃ．d"))) == "a@b.c.d"
 
