@@ -300,7 +300,8 @@ def site_emails(features: DataFrame, limit: int | None = None) -> DataFrame:
     page). One shuffle, combined before it, so a site with very many pages stays spread over tasks;
     ``limit`` keeps the first ones of each site.
     """
-    each = features.select("site", "page_order", "page_id", F.posexplode("emails").alias("pos", "e"))
+    # Of an inner explode Spark infers a filter by the size of the array, and finds all addresses again for it.
+    each = features.select("site", "page_order", "page_id", F.posexplode_outer("emails").alias("pos", "e")).where("pos is not null")
     met = F.struct("page_order", "page_id", "pos", F.col("e.context").alias("context"), F.col("e.role").alias("role"))
     rows = (
         each.groupBy("site", F.col("e.email").alias("email"))

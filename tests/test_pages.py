@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from contactmill.functions import columns as C
 from contactmill.operators import pages as P
 from contactmill.operators.htmlpass import read_page
+from contactmill.plans import queries as Q
 from tests.test_emails import coded
 
 # One page per place an address may be written: (html, address, context)
@@ -258,3 +259,13 @@ def test_deep_structured_data_is_read():
         tree = {"in": [tree]}
     reader = read_page(f'<script type="application/ld+json">{json.dumps(tree)}</script>')
     assert [h["value"] for h in reader.hints] == ["deep@s.org"]
+
+
+def test_addresses_are_found_once(spark, small):
+    """No filter above the search repeats it; pages without an address still give no row."""
+    pages = spark.createDataFrame([(1, "https://a.org/", "<p>jo@a.org x</p>"), (2, "https://b.org/", "<p>none</p>")], "page_id long, url string, html string")
+    found = P.site_emails(P.page_features(P.with_site(pages)))
+    assert [(r.site, r.email) for r in found.collect()] == [("a.org", "jo@a.org")]
+    for df in (found, Q.registered()["markup_places"](spark, small)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "regexp_extract_all" in line]
