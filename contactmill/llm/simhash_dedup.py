@@ -8,14 +8,16 @@ are fetched, and the complete distance of each is verified.
 A value may hold very many fingerprints when many documents are alike. Such crowded values and those one
 bit from them are split by the other segment: keys are whole fingerprints, the ball of radius one around each
 is enumerated in both segments, and two fingerprints differ in at most two bits exactly when they meet under a
-key. At most 65 different fingerprints meet there, and each is linked to the smallest. Every other value
-is probed by at most 33 times CROWD fingerprints and holds at most CROWD. So rows grow with the number of
-different fingerprints, never with its square; the connected components are those of all links.
+key. At most 65 different fingerprints meet there, and all their pairs are links. Every other value
+is probed by at most 33 times CROWD fingerprints and holds at most CROWD. A fingerprint has at most 2,080 others
+within two bits, so links grow with the number of different fingerprints, never with its square; none is left out.
 
 A pair of a given Jaccard similarity is a matter of other distances: at 0.8 about ten of 64 bits differ, and
 a key that bears that many is so short that each holds a fixed share of all texts. `without_similar`
 therefore adds the keys of minimum hashes in bands as candidates, and verifies every candidate by the exact
-similarity of its shingles.
+similarity of its shingles. The members of a key are first compared with two of them, which joins most groups of
+copies; then with every member that is in another component by then. So every pair of a key is either compared or
+known to be connected, and a group of copies costs no square of pairs.
 """
 
 from __future__ import annotations
@@ -117,17 +119,17 @@ def _met(probes: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _split(crowd: DataFrame) -> DataFrame:
-    """Pairs (fp, other) of crowded fingerprints: those of a whole-fingerprint key with the smallest one there."""
+    """Pairs (fp, other) of crowded fingerprints that meet under a whole-fingerprint key."""
     keyed = crowd.select("fp", F.explode(_ball("fp", 2 * SEGMENT_BITS)).alias("key"))
-    return keyed.withColumn("other", F.min("fp").over(Window.partitionBy("key"))).select("fp", "other")
+    others = keyed.select(F.col("fp").alias("other"), "key")
+    return keyed.join(others, "key").where("fp > other").select("fp", "other")
 
 
 def near_links(fingerprints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Links ``(a, b)``, a > b, between different fingerprints ``fp`` at most two bits apart.
+    """Links ``(a, b)``, a > b, between different fingerprints ``fp`` at most two bits apart: all there are.
 
-    The components are those of all pairs within the distance: a pair is linked itself, or both are linked
-    with the smallest fingerprint under a common key. Null fingerprints link with nothing, repeated ones count
-    once, and no fingerprints give no links. ``crowd`` changes the way taken, never a component.
+    Null fingerprints link with nothing, repeated ones count once, and no fingerprints give no links. ``crowd``
+    changes the way taken, never a link.
     """
     tables = stored(_tables(fingerprints, crowd))
     # A fingerprint outside near values meets no crowded one; two inside them are both split.
@@ -230,26 +232,58 @@ def shared_marks(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([float(np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8))) for a, b in zip(x, y)])
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes (id, fp, bands) that meet under a band or are at most two bits apart.
+def _keys(classes: DataFrame) -> DataFrame:
+    """The keys (band, key, id) of classes (id, fp, bands): their bands, and the fingerprint as band -1."""
+    each = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    return each.union(classes.select("id", F.lit(-1).alias("band"), F.col("fp").alias("key"))).select("band", "key", "id")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y) as different (a, b) with a < b."""
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
-    Those of a key meet its smallest one and its largest by a hash, of which bands take four different ones;
-    up to three under a key meet all. Pairs grow with the classes, never with the square of a group.
+def _first_candidates(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of a key with its smallest one and its largest by a hash.
+
+    Bands take four different ones. Pairs grow with the classes, never with the square of a group.
     """
-    each = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    each = each.union(classes.select("id", F.lit(-1).alias("band"), F.col("fp").alias("key")))
     high = F.max(F.struct(F.expr("xxhash64(id, pmod(band, 4))"), "id"))["id"].alias("high")
-    ends = each.groupBy("band", "key").agg(F.min("id").alias("low"), high, F.count("*").alias("n")).where("n > 1")
-    met = each.join(ends, ["band", "key"]).select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y"))
-    first = stored(classes.groupBy("fp").agg(F.min("id").alias("id")))
-    close = (
-        near_links(first)
-        .join(first.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a")
-        .join(first.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
-        .select("x", "y")
+    ends = keys.groupBy("band", "key").agg(F.min("id").alias("low"), high, F.count("*").alias("n")).where("n > 1")
+    met = keys.join(ends, ["band", "key"]).select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    return _ordered(met)
+
+
+def _other_candidates(keys: DataFrame, close: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of ``links`` that share a key or whose fingerprints are ``close``.
+
+    Members of a key are grouped by component, and pairs of groups are formed before those of members, so
+    a group connected already makes none. Two members of a key were compared as the ends of it.
+    """
+    found = common.components(links)
+    placed = keys.join(found, keys.id == found.node, "left").select("band", "key", "id", F.coalesce("component", "id").alias("root"))
+    mixed = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = mixed.where("n > 2 and r <> s").select("band", "key")
+    members = stored(placed.join(mixed, ["band", "key"]))
+    prints = stored(placed.where("band = -1").select("key", "id", "root"))
+
+    def between(groups: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs (x, y) of the members of two groups: (by..., root) of x, then other and root_y of y."""
+        x = rows.select(*by, "root", F.col("id").alias("x"))
+        y = rows.select(*[F.col(c).alias(f"{c}_y") for c in by], F.col("root").alias("root_y"), F.col("id").alias("y"))
+        return groups.join(x, [*by, "root"]).join(y, [*[f"{c}_y" for c in by], "root_y"]).select("x", "y")
+
+    groups = members.select("band", "key", "root").distinct()
+    others = groups.select("band", "key", F.col("root").alias("root_y"))
+    same = groups.join(others, ["band", "key"]).where("root < root_y").withColumns({"band_y": F.col("band"), "key_y": F.col("key")})
+    groups = prints.select("key", "root").distinct()
+    apart = (
+        close.select(F.col("a").alias("key"), F.col("b").alias("key_y"))
+        .join(groups, "key")
+        .join(groups.select(F.col("key").alias("key_y"), F.col("root").alias("root_y")), "key_y")
+        .where("root <> root_y")
     )
-    pairs = met.where("x <> y").union(close)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _ordered(between(same, members, ["band", "key"]).union(between(apart, prints, ["key"])))
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,12 +313,24 @@ def _with(pairs: DataFrame, rows: DataFrame, end: str, **columns: str) -> DataFr
 def similar_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between ids of texts whose shingles have the similarity asked for; all are verified.
 
+    Classes that share a key or are at most two bits apart are linked, or connected by other links, if they
+    are similar: see `_first_candidates` and `_other_candidates`.
+    """
+    keys = _keys(classes)
+    links = stored(_similar(_first_candidates(keys), docs, classes))
+    close = stored(near_links(classes.select("fp")))
+    return links.union(_similar(_other_candidates(keys, close, links), docs, classes))
+
+
+def _similar(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of candidate pairs (a, b) that have the similarity asked for.
+
     Before whole texts are sent for, pairs go whose numbers of shingles alone rule the similarity out, and those
     whose minimum hashes agree by six standard deviations less than they do at that similarity (a pair that
     has it is lost so with a chance of 3 in 10 billion).
     """
     size, agree = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"), shared_marks("marks_a", "marks_b") >= AGREE
-    pairs = stored(_candidates(classes))
+    pairs = stored(candidates)
     pairs = _with(_with(pairs, classes, "b", marks="marks_b", n="n_b"), classes, "a", marks="marks_a", n="n_a")
     pairs = stored(pairs.where(size).where(agree).select("a", "b"))
     text = common.text_or_empty()

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from contactmill.llm import simhash_dedup as sim
 from tests.llm import cases
@@ -93,6 +94,16 @@ def test_crowded_values_are_split_without_losing_links(spark):
             same_components(spark, prints, crowd)
 
 
+def test_no_link_is_left_out_in_a_crowd(spark):
+    rng = random.Random(4)
+    prints = sorted({rng.choice((0, 1 << 63)) ^ rng.getrandbits(7) ^ (rng.getrandbits(3) << 32) for _ in range(120)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    want = {(max(x, y), min(x, y)) for x in signed for y in signed if x != y and ((x ^ y) % (1 << 64)).bit_count() <= 2}
+    for crowd in (0, 5, sim.CROWD):
+        links = [(r.a, r.b) for r in sim.near_links(spark.createDataFrame([(p,) for p in signed * 2], "fp long"), crowd).collect()]
+        assert len(links) == len(want) and set(links) == want
+
+
 def test_verification_rejects_entries_of_the_same_segment(spark):
     low = 0x5EED
     far = [low | (x << 32) for x in (0, 0b111, 0b111000)]
@@ -126,6 +137,31 @@ def words(text):
     return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, 1))}
 
 
+def test_every_similar_pair_of_a_key_is_connected(spark):
+    """Eight families of three texts under the same bands, under one fingerprint, and under fingerprints two bits apart."""
+    rng = random.Random(6)
+    rows, families = [], []
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        families.append([" ".join(base[:-i] if i else base) for i in range(3)])
+        rows += [(len(rows) + i, t) for i, t in enumerate(families[-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.select(F.xxhash64("text").alias("id"), "doc_id", sim.sketch_column("text").alias("sketch")).select("id", "doc_id", "sketch.*")
+    alone, shared = F.array(F.col("doc_id") + 100), F.array(F.lit(7).cast("long"))
+    near = F.get(F.array(F.lit(0), F.lit(1), F.lit(1 << 40)), (F.col("doc_id") % 3).cast("int")).cast("long")
+    for bands, fp in ((shared, F.expr("shiftleft(doc_id, 20) * 7")), (alone, F.lit(5).cast("long")), (alone, near)):
+        classes = own.withColumn("bands", bands).withColumn("fp", fp).drop("doc_id").localCheckpoint()
+        root = {r.id: r.id for r in classes.collect()}
+        names = {r.id: r.doc_id for r in own.collect()}
+        for r in sim.similar_links(docs, classes).collect():
+            x, y = root[r.a], root[r.b]
+            root = {i: y if c == x else c for i, c in root.items()}
+        groups = {}
+        for i, c in root.items():
+            groups.setdefault(c, set()).add(names[i])
+        assert sorted(map(sorted, groups.values())) == [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(8)]
+
+
 def test_near_copies_by_five_words_leave_one(spark):
     """Copies at a similarity of 0.8 to 0.95, many of them far beyond two bits, and pairs below 0.8 that stay."""
     import corpus_pipeline
