@@ -16,8 +16,10 @@ A pair of a given Jaccard similarity is a matter of other distances: at 0.8 abou
 a key that bears that many is so short that each holds a fixed share of all texts. `without_similar`
 therefore adds the keys of minimum hashes in bands as candidates, and verifies every candidate by the exact
 similarity of its shingles. The members of a key are first compared with two of them, which joins most groups of
-copies; then with every member that is in another component by then. So every pair of a key is either compared or
-known to be connected, and a group of copies costs no square of pairs.
+copies; then, where a key still holds several components, with all its members. So every pair of a key is either
+compared or known to be connected, and a group of copies costs no square of pairs. Very many texts that are alike but
+not similar enough have to be compared with each other; this is done in blocks by matrix products, so that rows go to
+blocks and only links come back, never a row per pair.
 """
 
 from __future__ import annotations
@@ -53,6 +55,10 @@ BAND = 8
 #: The share of equal minimum hashes that a pair needs to be compared in full, and tasks that share a text's pairs.
 AGREE = SIMILARITY - 6.2 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * BAND)) ** 0.5
 PARTS = 64
+#: Texts and shingles in a block of a key's members, two of which are compared in a task, and columns of a product.
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 1 << 10
 
 
 def fingerprint(text: str | None) -> int:
@@ -205,6 +211,12 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+@F.pandas_udf(T.BinaryType())
+def shingle_column(texts: pd.Series) -> pd.Series:
+    """The shingles of texts, the bytes of their hashes one after another."""
+    return pd.Series([shingles(t).tobytes() for t in texts])
+
+
 SKETCH = T.StructType([
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), T.StructField("n", T.IntegerType()),
 ])
@@ -233,9 +245,10 @@ def shared_marks(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """The keys (band, key, id) of classes (id, fp, bands): their bands, and the fingerprint as band -1."""
-    each = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    return each.union(classes.select("id", F.lit(-1).alias("band"), F.col("fp").alias("key"))).select("band", "key", "id")
+    """The keys (band, key, id, n) of classes (id, fp, bands, n): their bands, and the fingerprint as band -1."""
+    each = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    prints = classes.select("id", "n", F.lit(-1).alias("band"), F.col("fp").alias("key"))
+    return each.union(prints).select("band", "key", "id", "n")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -254,36 +267,69 @@ def _first_candidates(keys: DataFrame) -> DataFrame:
     return _ordered(met)
 
 
-def _other_candidates(keys: DataFrame, close: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components of ``links`` that share a key or whose fingerprints are ``close``.
+def _meetings(keys: DataFrame, close: DataFrame, links: DataFrame) -> DataFrame:
+    """The members a of meetings b, in which all pairs of different components are to be compared: (a, b, root).
 
-    Members of a key are grouped by component, and pairs of groups are formed before those of members, so
-    a group connected already makes none. Two members of a key were compared as the ends of it.
+    Members meet that share a key or whose fingerprints are ``close``, where they are of different components (root) of
+    ``links``. The members of a key are dealt to blocks and each two blocks meet: a member goes to as many meetings as
+    there are blocks, about an eighth of the square root of the members. Two members of a key were compared as its ends.
+    A meeting is named by a hash; two under one name would be compared together, which changes no link.
     """
     found = common.components(links)
-    placed = keys.join(found, keys.id == found.node, "left").select("band", "key", "id", F.coalesce("component", "id").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
-    mixed = mixed.where("n > 2 and r <> s").select("band", "key")
-    members = stored(placed.join(mixed, ["band", "key"]))
-    prints = stored(placed.where("band = -1").select("key", "id", "root"))
-
-    def between(groups: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
-        """Pairs (x, y) of the members of two groups: (by..., root) of x, then other and root_y of y."""
-        x = rows.select(*by, "root", F.col("id").alias("x"))
-        y = rows.select(*[F.col(c).alias(f"{c}_y") for c in by], F.col("root").alias("root_y"), F.col("id").alias("y"))
-        return groups.join(x, [*by, "root"]).join(y, [*[f"{c}_y" for c in by], "root_y"]).select("x", "y")
-
-    groups = members.select("band", "key", "root").distinct()
-    others = groups.select("band", "key", F.col("root").alias("root_y"))
-    same = groups.join(others, ["band", "key"]).where("root < root_y").withColumns({"band_y": F.col("band"), "key_y": F.col("key")})
-    groups = prints.select("key", "root").distinct()
-    apart = (
-        close.select(F.col("a").alias("key"), F.col("b").alias("key_y"))
-        .join(groups, "key")
-        .join(groups.select(F.col("key").alias("key_y"), F.col("root").alias("root_y")), "key_y")
-        .where("root <> root_y")
-    )
-    return _ordered(between(same, members, ["band", "key"]).union(between(apart, prints, ["key"])))
+    placed = stored(keys.join(found, keys.id == found.node, "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("root")))
+    blocks = F.greatest(F.ceil(F.sqrt(F.count("*")) / 8), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    groups = placed.groupBy("band", "key").agg(F.count("*").alias("m"), blocks.cast("int").alias("k"), F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = groups.where("m > 2 and r <> s").select("band", "key", "k", F.col("key").alias("key_y"), F.lit(0).alias("k_y"))
+    prints = groups.where("band = -1").drop("m")
+    others = prints.select(*[F.col(c).alias(f"{c}_y") for c in ("key", "k", "r", "s")])
+    apart = close.select(F.col("a").alias("key"), F.col("b").alias("key_y")).join(prints, "key").join(others, "key_y")
+    apart = stored(apart.where("least(r, r_y) <> greatest(s, s_y)").select("band", "key", "k", "key_y", "k_y"))
+    back = apart.select("band", F.col("key_y").alias("key"), F.col("k_y").alias("k"), F.col("key").alias("key_y"), F.col("k").alias("k_y"))
+    # A key meets itself (k_y 0: each block meets the others, or stays alone) or the blocks of another key.
+    at = F.expr("int(pmod(xxhash64(id), k))")
+    to = F.expr("case when k_y > 0 then sequence(0, k_y - 1) when k = 1 then array(0) else array_remove(sequence(0, k - 1), at) end")
+    ends = F.array_sort(F.array(F.struct("key", F.col("at").alias("block")), F.struct(F.col("key_y").alias("key"), F.col("to").alias("block"))))
+    dealt = placed.join(mixed.union(apart).union(back), ["band", "key"]).withColumn("at", at).withColumn("to", F.explode(to))
+    return dealt.select(F.col("id").alias("a"), F.xxhash64("band", ends).alias("b"), "root")
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each two of sets (sorted, without repeats) share; that of a set with itself is unspecified."""
+    values = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values)
+    values, owners = values[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    counts = np.diff(np.r_[starts, len(values)])
+    # Elements of one set only are shared by none.
+    owners, counts = owners[np.repeat(counts > 1, counts)], counts[counts > 1]
+    both, ends = np.zeros((len(sets), len(sets)), dtype=np.int32), np.r_[0, np.cumsum(counts)]
+    for i in range(0, len(counts), COLUMNS):
+        j = min(i + COLUMNS, len(counts))
+        holds = np.zeros((len(sets), j - i), dtype=np.float32)
+        holds[owners[ends[i] : ends[j]], np.repeat(np.arange(j - i), counts[i:j])] = 1
+        both += (holds @ holds.T).astype(np.int32)
+    return both
+
+
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of similar texts of a meeting that join all components with such a link: a forest, not every link."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sizes, ids, roots = np.array([len(x) for x in sets]), rows["a"].to_numpy(), rows["root"].to_numpy()
+    both = _shared(sets)
+    alike = np.array([both[i] / (sizes[i] + sizes - both[i]) >= SIMILARITY for i in range(len(sets))])
+    found, left = [], np.full(len(sets), True)
+    for start in range(len(sets)):
+        reached = [start] if left[start] else []
+        left[start] = False
+        while reached:
+            i = reached.pop()
+            same = roots == roots[i]
+            new = np.flatnonzero(left & (same | alike[i]))
+            found += [(ids[i], ids[j]) for j in new if not same[j]]
+            left[new] = False
+            reached += new.tolist()
+    return pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]}, dtype=np.int64)
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,12 +360,24 @@ def similar_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between ids of texts whose shingles have the similarity asked for; all are verified.
 
     Classes that share a key or are at most two bits apart are linked, or connected by other links, if they
-    are similar: see `_first_candidates` and `_other_candidates`.
+    are similar: see `_first_candidates` and `_meetings`.
     """
     keys = _keys(classes)
     links = stored(_similar(_first_candidates(keys), docs, classes))
     close = stored(near_links(classes.select("fp")))
-    return links.union(_similar(_other_candidates(keys, close, links), docs, classes))
+    met = stored(_meetings(keys, close, links))
+    sets = _texts(docs, met.select(F.col("a").alias("id"))).select("id", shingle_column("text").alias("shingles"))
+    full = _with(met, sets, "a", shingles="shingles")
+    return links.union(full.groupBy("b").applyInPandas(_joined, "a long, b long").distinct())
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (id, text) of ids, once each."""
+    text = common.text_or_empty()
+    return common.stored_texts(
+        docs.select(F.xxhash64(text).alias("id"), text.alias("text")).join(ids.distinct(), "id", "left_semi")
+        .groupBy("id").agg(F.first("text").alias("text"))
+    )
 
 
 def _similar(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -333,12 +391,7 @@ def _similar(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> Data
     pairs = stored(candidates)
     pairs = _with(_with(pairs, classes, "b", marks="marks_b", n="n_b"), classes, "a", marks="marks_a", n="n_a")
     pairs = stored(pairs.where(size).where(agree).select("a", "b"))
-    text = common.text_or_empty()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = common.stored_texts(
-        docs.select(F.xxhash64(text).alias("id"), text.alias("text")).join(ends, "id", "left_semi")
-        .groupBy("id").agg(F.first("text").alias("text"))
-    )
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     full = _with(_with(pairs, texts, "b", text="other"), texts, "a", text="text")
     return full.select("a", "b", "text", "other").sortWithinPartitions("a").mapInPandas(_verified, "a long, b long")
 

@@ -191,3 +191,65 @@ def test_similar_awkward_documents(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "2", "5", "7", "9", "None"]
     assert sim.without_similar(spark, cases.empty(spark)).collect() == []
     assert sim.without_similar(spark, cases.awkward(spark, [r for r in cases.ROWS if r[0] == 6] * 3)).count() == 1
+
+
+def crowd_of_texts(spark, n=300):
+    """Texts of one kind, of which each 2i is similar to 2i + 1 (i < 25) and to no other; their classes but for the keys."""
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(n):
+        if i % 2 and i < 50:
+            texts.append(texts[-1] + " end")
+            continue
+        text = list(base)
+        for at in rng.sample(range(120), 5):
+            text[at] = f"own{i}x{at}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = docs.select(F.xxhash64("text").alias("id"), "doc_id", sim.sketch_column("text").alias("sketch")).select("id", "doc_id", "sketch.*")
+    sets = [words(t) for t in texts]
+    like = {(i, j) for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert like == {(i, i + 1) for i in range(0, 50, 2)}
+    return docs, own.localCheckpoint(), like
+
+
+def linked(docs, own, classes):
+    names = {r.id: r.doc_id for r in own.collect()}
+    return {tuple(sorted((names[r.a], names[r.b]))) for r in sim.similar_links(docs, classes).collect()}
+
+
+def test_a_crowd_that_is_not_similar_makes_no_square_of_rows(spark, monkeypatch):
+    docs, own, like = crowd_of_texts(spark)
+    sent, plain = [], sim._with
+
+    def counted(pairs, *args, **kwargs):
+        sent.append(pairs.count())
+        return plain(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(sim, "_with", counted)
+    alone = own.withColumn("fp", F.xxhash64("id")).withColumn("bands", F.array(F.lit(7).cast("long")))
+    assert linked(docs, own, alone.drop("doc_id")) == like
+    # The two ends of a key, then few blocks; all pairs are 44,850.
+    assert max(sent) <= 3 * 300
+
+
+def test_all_pairs_of_blocks_meet(spark, monkeypatch):
+    """A key in many blocks, and two fingerprints two bits apart with uneven numbers of blocks."""
+    docs, own, like = crowd_of_texts(spark, 90)
+    monkeypatch.setattr(sim, "BLOCK", 7)
+    alone, shared = F.array(F.col("doc_id") + 100), F.array(F.lit(7).cast("long"))
+    near = F.when(F.col("doc_id") % 2 == 0, F.lit(0)).otherwise(F.lit(1 << 40)).cast("long")
+    uneven = F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") > 60), F.lit(0)).otherwise(F.lit(1 << 40)).cast("long")
+    for bands, fp in ((shared, F.expr("shiftleft(doc_id, 20) * 7")), (alone, near), (alone, uneven)):
+        assert linked(docs, own, own.withColumn("bands", bands).withColumn("fp", fp).drop("doc_id")) == like
+    monkeypatch.setattr(sim, "BLOCK_SHINGLES", 50)
+    assert linked(docs, own, own.withColumn("bands", shared).withColumn("fp", F.lit(5).cast("long")).drop("doc_id")) == like
+
+
+def test_shared_elements_are_counted_in_slices(monkeypatch):
+    monkeypatch.setattr(sim, "COLUMNS", 3)
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(25)] + [[1000]]
+    both = sim._shared([sim.np.array(x, dtype="uint64") for x in sets])
+    assert all(both[i][j] == len(set(sets[i]) & set(sets[j])) for i in range(26) for j in range(26) if i != j)
+    assert sim._shared([sim.np.array([5], dtype="uint64")]).shape == (1, 1)
